@@ -42,8 +42,8 @@ class QualityParams:
     repeat_percent: int = 50
     min_chars_for_classes: int = 200
     min_words_for_lexicon: int = 100
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.45
+    max_class_distance: float = 0.22
+    max_word_distance: float = 0.25
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,9 +62,11 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     A window's code holds its hash in the high bits and its position in as few low bits as the text's length takes; sorting the codes brings
     equal windows together.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = [c for c in docs.columns if c != "quality"]
+    kept = [f"_own{i}" for i in range(len(names))]  # no column of the caller's can clash with a step's
+    own = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("text"))
     split = own.select(
-        "row",
+        *kept,
         "text",
         F.split(F.trim(F.col("text"), F.lit(BREAKS)), WORD_BREAK).alias("words"),
         F.regexp_replace("text", "[a-z ]+", "").alias("rare"),
@@ -75,7 +77,7 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.when(F.get("words", F.lit(0)) == "", F.lit(0)).otherwise(F.size("words"))
     cased = sorted({v for w in LEXICON for v in (w, w.capitalize(), w.upper())})
     counted = split.select(
-        "row",
+        *kept,
         "words",
         n.alias("n"),
         F.ceil(F.log2(F.size("words") + 1)).cast("int").alias("place_bits"),
@@ -105,6 +107,8 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     lower = F.col("n_chars") - F.col("n_rare") - F.col("blanks")
     space = F.col("blanks") + F.col("other space")
     rest = F.col("n_rare") - F.col("upper") - F.col("digit") - F.col("punctuation") - F.col("other space")
+    # one expression over the list of words: unrolled, it would make a method too large to be compiled
+    counts = F.transform(F.array(*[F.lit(w) for w in LEXICON]), lambda w: (F.size("common") - F.size(F.array_remove("common", w))).cast("long"))
     quality = F.struct(
         F.col("n").cast("long").alias("n_words"),
         (F.col("n_chars") - space).alias("word_chars"),
@@ -112,9 +116,9 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines",
         F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.array(lower, space, F.col("upper"), F.col("digit"), F.col("punctuation"), rest).alias("class_counts"),
-        F.array(*[(F.size("common") - F.size(F.array_remove("common", w))).cast("long") for w in LEXICON], (F.col("n") - F.size("common")).cast("long")).alias("word_counts"),
+        F.concat(counts, F.array((F.col("n") - F.size("common")).cast("long"))).alias("word_counts"),
     )
-    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "quality"], quality.alias("quality"))
+    return placed.select(*[F.col(k).alias(c) for c, k in zip(names, kept, strict=True)], quality.alias("quality"))
 
 
 def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
