@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules, url_filters
+from . import bpe, chat_format, media_ts, packing, quality_rules, token_codes, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance")
 
 
+END_ID = 2
+
+
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token segments of all documents, written and read back: place, length and checksum of every document's ids."""
+    import public_tokenizers
+
+    segments = token_codes.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return token_codes.read_tokens(segments, token_codes.ids_crc32, "ids_crc32 long")
+
+
+def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a stored transport stream, with what is read back from it."""
+    return media_ts.read_media(media_ts.store_media(table(spark, sf_dir, "documents")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the public ranks, and the bytes that they decode to."""
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 RULES = (
     url_filters.Rule("allow", "org", "/"),
     url_filters.Rule("block", "example.org", "/es/"),
@@ -122,6 +145,9 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op7_token_codes": op7_token_codes,
+    "op8_media_ts": op8_media_ts,
     "op9_url_filters": op9_url_filters,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op9_url_filters": OP9_SQL}
