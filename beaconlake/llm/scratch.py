@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from beaconlake.session import ship_package
+
 _local_roots: dict[str, str] = {}
 
 
@@ -35,6 +37,7 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
-    """Bound the Arrow batches that Python operators get, in rows and in bytes, for this session."""
+    """Make the session ready for Python operators: the workers have this package, and Arrow batches are bounded in rows and bytes."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
