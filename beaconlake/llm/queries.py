@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, media_ts, packing, quality_rules, token_codes, url_filters
+from . import bpe, chat_format, language_id, media_ts, packing, quality_rules, token_codes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,30 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance")
 
 
+def _remainder(of: str, n: int):
+    return F.crc32(F.col(of).cast("string")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, by a network that learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.filter(_remainder("doc_id", 5) != 0))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every whole text."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 END_ID = 2
 
 
@@ -145,6 +169,8 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_token_codes": op7_token_codes,
     "op8_media_ts": op8_media_ts,
     "op9_url_filters": op9_url_filters,
