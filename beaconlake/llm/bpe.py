@@ -64,7 +64,7 @@ class RankQueue:
 class RankBpe:
     """Encoder and decoder for a file of ranks (base64 token and rank a line) and its pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 1 << 18):
+    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 1 << 19):
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.queue = RankQueue(max(self.ranks.values()) + 1)
@@ -130,15 +130,22 @@ class RankBpe:
         if len(self.words) > self.cache_size or len(self.chunks) > self.cache_size:
             self.words.clear()
             self.chunks.clear()
-        head, *tails = cut(text)
-        known, out = self.chunks, [self._fresh(head)] if head else []
-        for tail in tails:
-            found = known.get(tail)
-            if found is None:
-                found = self._fresh(" " + tail)
-                if len(tail) <= CACHED_CHARS:
-                    known[tail] = found
-            out.append(found)
+        lines = cut(text)
+        if lines is None:
+            return self._fresh(text)
+        known, out, newline = self.chunks, [], self._word("\n")
+        for i, (head, *tails) in enumerate(lines):
+            if i:
+                out.append(newline)
+            if head:
+                out.append(self._fresh(head))
+            for tail in tails:
+                found = known.get(tail)
+                if found is None:
+                    found = self._fresh(" " + tail)
+                    if len(tail) <= CACHED_CHARS:
+                        known[tail] = found
+                out.append(found)
         return " ".join(out)
 
     def encode(self, text: str) -> list[int]:

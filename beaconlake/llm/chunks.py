@@ -1,18 +1,28 @@
 """Cutting texts where no pre-token of a byte-level vocabulary can reach across.
 
-A pre-token takes at most one space, in front; so a text may be cut before any space whose neighbour on the left is no
-white space. Texts with a space after other white space are left whole: there, a run of white space is a pre-token of its own.
+A pre-token takes at most one space, in front, and a run of white space before other characters is one pre-token without its last
+character. So a text may be cut before any space or newline that begins or ends a run of white space, and after a newline that ends one.
+Texts where a space or newline stands inside a run, or ends the text in a run of two or more, are left whole.
 """
 
 from __future__ import annotations
 
 import re
 
-_RUN = re.compile(r"\s ")
+_INSIDE = re.compile(r"\s[ \n](?:\s|\Z)")
 #: Longer chunks are encoded anew each time, so that a cache holds words and not texts.
 CACHED_CHARS = 64
+#: Characters that make a pre-token of their own after letters.
+MARKS = frozenset(".,;:!?")
 
 
-def cut(text: str) -> list[str]:
-    """``[head, tail, ...]``: the text is the head and a space before each tail; only a head when it must stay whole."""
-    return [text] if _RUN.search(text) else text.split(" ")
+def cut(text: str) -> list[list[str]] | None:
+    """Lines as ``[head, tail, ...]`` with a space before each tail and a newline between lines; None if the text must stay whole."""
+    if _INSIDE.search(text):
+        return None
+    return [line.split(" ") for line in text.split("\n")]
+
+
+def bare(chunk: str) -> str:
+    """The chunk without a mark behind letters, which is encoded apart from them."""
+    return chunk[:-1] if chunk[-1:] in MARKS and chunk[:-1].isalpha() else chunk

@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import CACHED_CHARS, cut
+from .chunks import CACHED_CHARS, MARKS, bare, cut
 from .scratch import bounded_batches, written
 
 BLOCK = 512
@@ -105,30 +106,69 @@ class Codes:
 class ChunkEncoder:
     """The tokenizers library over chunks that it treats apart; ids of short chunks are kept, at most ``cache_size``."""
 
-    def __init__(self, tokenizer_path: str, cache_size: int = 1 << 18):
+    def __init__(self, tokenizer_path: str, cache_size: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # without the space that belongs to each
         self.cache_size = cache_size
+        self.mark_ids = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
+        (self.newline,) = self._encode(["\n"])
+        # what the tokenizer writes for a space begins exactly the tokens that begin with one
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_tails(self, tails: list[str]) -> list[bytes]:
+        """Ids of each tail and its space: tails are encoded in rows, and a token that begins with a space begins a tail."""
+        out: list[bytes] = []
+        for at in range(0, len(tails), 512):
+            row = tails[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(row)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(row):
+                data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                out += [data[i:j] for i, j in zip((4 * cuts).tolist(), ends, strict=True)]
+            else:
+                out += self._encode([" " + tail for tail in row])
+        return out
+
+    def _learn(self, heads: set[str], tails: set[str]) -> None:
+        """Make the ids of all heads and tails known."""
+        for known, encode, chunks in ((self.heads, self._encode, heads), (self.tails, self._encode_tails, tails)):
+            new = [c for c in chunks if c not in known]
+            parts = [bare(c) for c in new]
+            missing = list({p for p in parts if p not in known})
+            known.update(zip(missing, encode(missing), strict=True))
+            for c, p in zip(new, parts, strict=True):
+                if c != p:
+                    known[c] = known[p] + self.mark_ids[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > self.cache_size:
-            self.known.clear()
+        if len(self.tails) + len(self.heads) > self.cache_size:
+            self.tails.clear()
+            self.heads.clear()
         parts = [cut(t) for t in texts]
-        known = self.known
-        new = list({tail for p in parts for tail in p[1:] if tail not in known})
-        known.update(zip(new, self._encode([" " + tail for tail in new]), strict=True))
-        heads = self._encode([p[0] for p in parts])
-        out = [head + b"".join(map(known.__getitem__, p[1:])) for head, p in zip(heads, parts, strict=True)]
-        for tail in new:
-            if len(tail) > CACHED_CHARS:
-                del known[tail]
+        heads = {line[0] for p in parts for line in p or ()}
+        tails: set[str] = set()
+        for p in parts:
+            for line in p or ():
+                tails.update(line[1:])
+        self._learn(heads, tails)
+        whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        head_of, tail_of, newline = self.heads.__getitem__, self.tails.__getitem__, self.newline
+        out = [newline.join([head_of(line[0]) + b"".join(map(tail_of, line[1:])) for line in p]) if p is not None else next(whole) for p in parts]
+        for known, chunks in ((self.heads, heads), (self.tails, tails)):
+            for c in chunks:
+                if len(c) > CACHED_CHARS:
+                    del known[c]
         return out
 
 
