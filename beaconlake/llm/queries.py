@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, media_ts, packing, quality_rules, token_codes, toxicity, url_filters
+from . import bpe, chat_format, language_id, media_ts, ngram_join, packing, quality_rules, token_codes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 4-word shingles and its component at a similarity of 85 percent."""
+    joined = ngram_join.link_components(table(spark, sf_dir, "documents"), ngram_join.JoinParams(words=4, percent=85))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 ODD_CHAT = "\\### Assistant: </turn> ok"
 
 
@@ -167,6 +173,7 @@ FROM fitted WHERE place = 1
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
