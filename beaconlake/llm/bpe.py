@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import CACHED_CHARS, cut
+from .chunks import CACHED_CHARS, bare, cut
 from .scratch import bounded_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -37,7 +37,11 @@ class RankQueue:
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        heappush(self.buckets[rank], position)
+        bucket = self.buckets[rank]
+        if bucket:
+            heappush(bucket, position)
+            return
+        bucket.append(position)
         self.leaves[rank >> 6] |= 1 << (rank & 63)
         self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
         self.top |= 1 << (rank >> 12)
@@ -50,21 +54,22 @@ class RankQueue:
         word = self.leaves[leaf]
         rank = (leaf << 6) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            word &= word - 1
-            self.leaves[leaf] = word
-            if not word:
-                self.middle[m] &= ~(1 << (leaf & 63))
-                if not self.middle[m]:
-                    self.top &= ~(1 << m)
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        position = bucket.pop()
+        word &= word - 1
+        self.leaves[leaf] = word
+        if not word:
+            self.middle[m] &= ~(1 << (leaf & 63))
+            if not self.middle[m]:
+                self.top &= ~(1 << m)
         return rank, position
 
 
 class RankBpe:
     """Encoder and decoder for a file of ranks (base64 token and rank a line) and its pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 1 << 19):
+    def __init__(self, ranks_path: str, pattern: str, cache_size: int = 1 << 20):
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.queue = RankQueue(max(self.ranks.values()) + 1)
@@ -123,12 +128,16 @@ class RankBpe:
         return found
 
     def _fresh(self, chunk: str) -> str:
+        body = bare(chunk)
+        if body is not chunk:  # letters and a mark
+            return f"{self._word(body)} {self._word(chunk[-1])}"
         return " ".join(map(self._word, self.findall(chunk)))
 
     def ids_text(self, text: str) -> str:
         """The ids in decimal, one space between."""
-        if len(self.words) > self.cache_size or len(self.chunks) > self.cache_size:
+        if len(self.words) > self.cache_size:
             self.words.clear()
+        if len(self.chunks) > self.cache_size:
             self.chunks.clear()
         lines = cut(text)
         if lines is None:
@@ -142,7 +151,8 @@ class RankBpe:
             for tail in tails:
                 found = known.get(tail)
                 if found is None:
-                    found = self._fresh(" " + tail)
+                    body = bare(tail)
+                    found = self._fresh(" " + tail) if body is tail else f"{self._word(' ' + body)} {self._word(tail[-1])}"
                     if len(tail) <= CACHED_CHARS:
                         known[tail] = found
                 out.append(found)
