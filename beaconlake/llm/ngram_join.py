@@ -12,9 +12,10 @@ all documents (of fixed size) last, so that common passages hardly make blocks.
 Steps:
 
 1. equal sets become one class, so copies are never paired;
-2. in every block, each class is verified against the block's least class, and components are formed from these links;
-3. blocks that still hold classes of several components go through the R-tree, and only pairs across components are verified. A block over
-   ``cell`` classes is dealt out in pairs of parts.
+2. each class is verified against one class of its blocks, the least, and components are formed from these links;
+3. blocks that still hold classes of several components go through the R-tree: first each class is verified against the point of another component with the
+   largest bound, and components are formed again; then all pairs across components that the bound allows are verified. A block over ``cell`` classes
+   is dealt out in pairs of parts.
 
 So a group of near copies costs about one verification a member, and no link between different sets is lost where it could join two components.
 
@@ -143,8 +144,8 @@ class Tree:
             children = [self._node(part) for part in np.array_split(order, 4)]
         return some.max(0), int(self.sizes[at].min()), at, children
 
-    def search(self, queries: np.ndarray, query_sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query numbers, point numbers) of pairs whose bound reaches the limit."""
+    def search(self, queries: np.ndarray, query_sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(query numbers, point number, bounds) of pairs whose bound reaches the limit."""
         stack = [(self.root, np.arange(len(queries)))]
         while stack:
             (high, least, at, children), asked = stack.pop()
@@ -157,9 +158,9 @@ class Tree:
                 continue
             for point in at:
                 bound = np.minimum(queries[asked], self.points[point]).sum(1)
-                found = asked[_reaches(bound, query_sizes[asked] + self.sizes[point], percent)]
-                if len(found):
-                    yield found, np.full(len(found), point)
+                reached = _reaches(bound, query_sizes[asked] + self.sizes[point], percent)
+                if reached.any():
+                    yield asked[reached], int(point), bound[reached]
 
 
 def _vectors(sets: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -209,8 +210,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(blocks: DataFrame, labels: DataFrame, vectors: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs (a, b), a > b, of classes in one block but in different components, whose bound allows a link: by R-tree."""
+def _across(blocks: DataFrame, labels: DataFrame, vectors: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
+    """Pairs (a, b), a > b, of classes in one block but in different components, whose bound allows a link: by R-tree.
+
+    With ``nearest``, of each class in a cell only the pair with the largest bound.
+    """
     label = labels.select(F.col("node").alias("cls"), "label")
     marked = blocks.select("block", "cls").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     of = Window.partitionBy("block")
@@ -224,24 +228,25 @@ def _across(blocks: DataFrame, labels: DataFrame, vectors: DataFrame, p: JoinPar
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs_of(cls: np.ndarray, label: np.ndarray, part: np.ndarray, n: np.ndarray, points: np.ndarray, same_part: bool) -> pa.RecordBatch:
-        one, two = [], []
-        if len(cls) <= 2 * p.leaf:
-            i, j = np.triu_indices(len(cls), 1)
-            keep = label[i] != label[j]
-            i, j = i[keep], j[keep]
-            keep = _reaches(np.minimum(points[i], points[j]).sum(1), n[i] + n[j], p.percent)
-            found = [(i[keep], j[keep])]
-        else:
-            found = [(q, pt) for q, pt in Tree(points, n, p.leaf).search(points, n, p.percent)]
-        for i, j in found:
-            keep = (label[i] != label[j]) & (cls[i] != cls[j])
+        best, who = np.full(len(cls), -1), np.zeros(len(cls), np.int64)
+        out = [np.zeros((0, 2), np.int64)]
+        for asked, point, bound in Tree(points, n, p.leaf).search(points, n, p.percent):
+            keep = label[asked] != label[point]
             if not same_part:
-                keep &= part[i] != part[j]
-            x, y = cls[i[keep]], cls[j[keep]]
-            one.append(np.maximum(x, y))
-            two.append(np.minimum(x, y))
-        out = np.unique(np.stack([np.concatenate(one), np.concatenate(two)], 1), axis=0) if one else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=schema)
+                keep &= part[asked] != part[point]
+            asked, bound = asked[keep], bound[keep]
+            if nearest:
+                better = bound > best[asked]
+                best[asked[better]], who[asked[better]] = bound[better], point
+            else:
+                asked = asked[cls[asked] > cls[point]]  # the other order comes when that point asks
+                out.append(np.stack([cls[asked], np.full(len(asked), cls[point])], 1))
+        if nearest:
+            one = np.flatnonzero(best >= 0)
+            x, y = cls[one], cls[who[one]]
+            out.append(np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0))
+        pairs = np.concatenate(out)
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -300,12 +305,16 @@ def link_components(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str =
     texts = written(found.select("cls", "text"), "texts")
 
     stars = blocks.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(_verified(_bounded(stars, vectors, p), texts, p), "links")
+    tried = written(_bounded(stars, vectors, p).groupBy("a").agg(F.min("b").alias("b")), "pairs")
+    links = written(_verified(tried, texts, p), "links")
     labels = connected(links)
-    across = _across(blocks, labels, vectors, p).join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(across, texts, p), "links")
-    if more.limit(1).count():
-        labels = connected(links.union(more))
+    for nearest in (True, False):
+        pairs = written(_across(blocks, labels, vectors, p, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        more = written(_verified(pairs, texts, p), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = connected(links)
 
     label = labels.select(F.col("node").alias("cls"), "label")
     grouped = least.select("cls", "first_id").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

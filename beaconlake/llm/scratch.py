@@ -28,11 +28,22 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a new Parquet table in the shared folder and return a scan of it."""
+    """Write ``df`` as a new Parquet table in the shared folder and return a scan of it.
+
+    The shuffle files of the write go as soon as the table is committed, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
