@@ -1,0 +1,20 @@
+"""Window frames over the packets of a device."""
+
+from __future__ import annotations
+
+from pyspark.sql.window import Window, WindowSpec
+
+
+def by_device() -> WindowSpec:
+    """A device's packets in order."""
+    return Window.partitionBy("device_id").orderBy("pkt_no")
+
+
+def so_far() -> WindowSpec:
+    """A device's packets up to this one."""
+    return by_device().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def in_epoch() -> WindowSpec:
+    """The packets of a device's epoch up to this one: a keyframe begins an epoch, which bounds how far a value is carried."""
+    return Window.partitionBy("device_id", "epoch").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
