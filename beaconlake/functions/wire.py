@@ -1,26 +1,37 @@
-"""Column functions over binary packets."""
+"""Column functions over binary packets.
+
+Bytes are read from an array of numbers that is made once a packet; ``let`` binds such a value, so that no step of a fold computes it anew.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CRC_INIT, CRC_POLY = 0xFFFF, 0x1021
 
 
-def byte_at(data: Column, at: Column | int) -> Column:
-    """The byte at a 0-based place, 0 to 255; null beyond the end."""
-    at = F.lit(at) if isinstance(at, int) else at
-    one = F.hex(F.substring(data, at + 1, F.lit(1)))
-    return F.when((at >= 0) & (at < F.octet_length(data)), F.conv(one, 16, 10).cast("int"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
+def byte_values(data: Column) -> Column:
+    """The bytes of a binary as array<int>, 0 to 255."""
+    digits = F.hex(data)
+    size = F.octet_length(data)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    return let(digits, lambda h: F.transform(places, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
-def little_endian(data: Column, at: Column | int, width: int) -> Column:
-    """An unsigned little-endian number of ``width`` bytes."""
+
+def number_at(values: Column, at: Column | int, width: int) -> Column:
+    """An unsigned little-endian number of ``width`` bytes at a 0-based place; null beyond the end."""
     at = F.lit(at) if isinstance(at, int) else at
-    total = byte_at(data, at).cast("long")
+    total = F.get(values, at).cast("long")
     for k in range(1, width):
-        total = total + byte_at(data, at + k).cast("long") * (1 << (8 * k))
+        total = total + F.get(values, at + k).cast("long") * (1 << (8 * k))
     return total
 
 
@@ -30,15 +41,20 @@ def to_little_endian(value: Column, width: int) -> Column:
     return F.concat(*parts)
 
 
-def crc16(data: Column) -> Column:
-    """CRC-16 (polynomial 0x1021, from all ones, not reflected) with built-in functions: a fold over bytes and bits."""
+def _after_byte(high: int) -> int:
+    """What the register becomes after eight steps with this byte on top and nothing below."""
+    crc = high << 8
+    for _ in range(8):
+        crc = (crc << 1 ^ (CRC_POLY if crc & 0x8000 else 0)) & 0xFFFF
+    return crc
 
-    def shift(crc: Column, _: Column) -> Column:
-        doubled = (crc * 2).bitwiseAND(F.lit(0xFFFF))
-        return F.when(crc >= 0x8000, doubled.bitwiseXOR(F.lit(CRC_POLY))).otherwise(doubled)
 
-    def step(crc: Column, at: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(byte_at(data, at - 1) * 256), shift)
+def crc16(data: Column) -> Column:
+    """CRC-16 (polynomial 0x1021, from all ones, not reflected) with built-in functions: a fold over the bytes with a table made from the rule."""
+    table = F.array(*[F.lit(_after_byte(b)) for b in range(256)])
+
+    def step(crc: Column, byte: Column) -> Column:
+        top = F.call_function("shiftright", crc, F.lit(8)).bitwiseXOR(byte)
+        return F.get(table, top).bitwiseXOR(crc.bitwiseAND(F.lit(255)) * 256)
 
-    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(CRC_INIT), step)
+    return let(byte_values(data), lambda values: F.aggregate(values, F.lit(CRC_INIT), step))

@@ -104,9 +104,9 @@ def delta_known_task(spark, sf_dir):
     return state.delta_known_task(v.changes(spark, sf_dir)).select("device_id", "pkt_no", "epoch", "task_idx_d", "state_d")
 
 
-@query(f"WITH {KNOWN} SELECT device_id, pkt_no, epoch, task_idx_d, state_d, lag(state_d) OVER (PARTITION BY device_id, epoch, task_idx_d ORDER BY pkt_no) AS state_before FROM known")
+@query(f"WITH {KNOWN} SELECT device_id, pkt_no, epoch, task_idx_d, state_d, coalesce(lag(state_d) OVER (PARTITION BY device_id, epoch, task_idx_d ORDER BY pkt_no), -1) AS state_before FROM known")
 def rebuild_task_state(spark, sf_dir):
-    return state.rebuild_task_state(v.changes(spark, sf_dir)).select("device_id", "pkt_no", "epoch", "task_idx_d", "state_d", "state_before")
+    return state.rebuild_task_state(v.changes(spark, sf_dir)).select("device_id", "pkt_no", "epoch", "task_idx_d", "state_d", F.coalesce("state_before", F.lit(-1)).alias("state_before"))
 
 
 @query(f"WITH {v.TELEMETRY} SELECT device_id, pkt_no, state, heap_free_bytes, sequence_num FROM telemetry QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY pkt_no DESC) = 1")
@@ -225,9 +225,9 @@ def rolling_min(spark, sf_dir):
     return trend.heap_window(v.telemetry(spark, sf_dir), P).select("device_id", "pkt_no", F.col("window_min").alias("rolling_min"))
 
 
-@query(f"WITH {T40} SELECT device_id, pkt_no, first_half_min FROM fitted")
+@query(f"WITH {T40} SELECT device_id, pkt_no, coalesce(first_half_min, -1) AS first_half_min FROM fitted")
 def first_half_min(spark, sf_dir):
-    return trend.first_half_min(v.telemetry(spark, sf_dir), P40).select("device_id", "pkt_no", "first_half_min")
+    return trend.first_half_min(v.telemetry(spark, sf_dir), P40).select("device_id", "pkt_no", F.coalesce("first_half_min", F.lit(-1)).alias("first_half_min"))
 
 
 @query(f"WITH {T} SELECT device_id, pkt_no, n, round(slope, 6) AS slope, round(r2, 6) AS r2 FROM fitted")
@@ -255,9 +255,9 @@ def oom_projection(spark, sf_dir):
     return latest.filter("projection > 0").select("device_id", "pkt_no", F.round("projection", 4).alias("projection"), "verdict").orderBy("projection", "device_id")
 
 
-@query(f"WITH {T40} SELECT device_id, pkt_no, first_half_min, window_min FROM series WHERE projection = -2.0")
+@query(f"WITH {T} SELECT device_id, pkt_no, first_half_min, window_min FROM series WHERE projection = -2.0")
 def sawtooth_alert(spark, sf_dir):
-    return _series(spark, sf_dir, P40).filter("projection = -2.0").select("device_id", "pkt_no", "first_half_min", "window_min")
+    return _series(spark, sf_dir, P).filter("projection = -2.0").select("device_id", "pkt_no", "first_half_min", "window_min")
 
 
 @query(f"WITH {T} SELECT device_id, pkt_no, round(projection, 4) AS projection, verdict AS kind FROM series WHERE projection > 0 OR projection = -2.0")
@@ -455,15 +455,16 @@ def progress_window(spark, sf_dir):
 @query(
     f"""WITH {v.TELEMETRY}, span AS (SELECT device_id, min(epoch_us(arrival_ts)) // 86400000000 AS d0, max(epoch_us(arrival_ts)) // 86400000000 + 1 AS d1 FROM telemetry GROUP BY device_id),
     scrapes AS (SELECT device_id, unnest(range(d0, d1 + 1)) * 86400 AS scrape_s FROM span)
-    SELECT s.device_id, s.scrape_s, (SELECT arg_max(t.heap_free_bytes, t.pkt_no) FROM telemetry t WHERE t.device_id = s.device_id AND epoch_us(t.arrival_ts) <= s.scrape_s * 1000000) AS heap_free_bytes FROM scrapes s"""
+    SELECT s.device_id, s.scrape_s, coalesce((SELECT arg_max(t.heap_free_bytes, t.pkt_no) FROM telemetry t WHERE t.device_id = s.device_id AND epoch_us(t.arrival_ts) <= s.scrape_s * 1000000), -1) AS heap_free_bytes FROM scrapes s"""
 )
 def sampled_asof(spark, sf_dir):
     """What a scrape at each midnight sees."""
     packets = v.telemetry(spark, sf_dir)
     day = F.floor(F.unix_micros("arrival_ts") / 86400000000)
     span = packets.groupBy("device_id").agg(F.min(day).alias("d0"), (F.max(day) + 1).alias("d1"))
-    scrapes = span.select("device_id", F.timestamp_seconds(F.explode(F.sequence("d0", "d1")) * 86400).alias("scrape_ts"))
-    return panels.sampled_asof(packets, scrapes, "heap_free_bytes").select("device_id", F.unix_seconds("scrape_ts").alias("scrape_s"), "heap_free_bytes")
+    days = span.select("device_id", F.explode(F.sequence("d0", "d1")).alias("day"))
+    scrapes = days.select("device_id", F.timestamp_seconds(F.col("day") * 86400).alias("scrape_ts"))
+    return panels.sampled_asof(packets, scrapes, "heap_free_bytes").select("device_id", F.unix_seconds("scrape_ts").alias("scrape_s"), F.coalesce("heap_free_bytes", F.lit(-1)).alias("heap_free_bytes"))
 
 
 @query(
@@ -572,15 +573,18 @@ def read_progress_log(spark, sf_dir):
     return text.read_progress_log(log_lines(spark, sf_dir)).select("file", "line_no", "packets", "drops", "seq_gaps")
 
 
-def frame_rows(spark, sf_dir):
-    """``changes`` as frames: keyframes with four tasks, deltas with the fields that are given; every 97th event's checksum is broken."""
+def frame_rows(spark, sf_dir, repeat=False):
+    """``changes`` as frames: keyframes with four tasks, deltas with the fields that are given; every 97th event's checksum is broken.
+
+    With ``repeat``, every 89th event's delta gives its task field twice.
+    """
     rows = v.changes(spark, sf_dir).filter("state is not null")
     entry = "array<struct<task_idx:int,field:int,value:bigint>>"
 
     def one(task, field, value):
         return F.struct(task.cast("int").alias("task_idx"), F.lit(field).alias("field"), value.cast("long").alias("value"))
 
-    entries = F.array_compact(F.array(F.when(F.col("heap_d").isNotNull(), one(F.lit(15), 5, F.col("heap_d"))), F.when(F.col("cpu_d").isNotNull(), one(F.lit(15), 7, F.col("cpu_d"))), one(F.col("task_idx_d"), 1, F.col("state_d")))).cast(entry)
+    entries = F.array_compact(F.array(F.when(F.col("heap_d").isNotNull(), one(F.lit(15), 5, F.col("heap_d"))), F.when(F.col("cpu_d").isNotNull(), one(F.lit(15), 7, F.col("cpu_d"))), one(F.col("task_idx_d"), 1, F.col("state_d")), F.when(F.lit(repeat) & (F.col("event_id") % 89 == 0), one(F.col("task_idx_d"), 1, F.col("state_d"))))).cast(entry)
     tasks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.concat(F.lit("task-"), i.cast("string")).alias("name"), F.col("state").alias("state"), i.alias("priority"), (i * 100).alias("stack_hwm_words"), (i * 1000).alias("runtime_ticks")))
     ticks = F.col("event_id")
     key = frames.keyframe_payload(F.col("sequence_num"), ticks, tasks, F.col("heap_d"), F.col("heap_d"), F.col("cpu_d"))
@@ -590,14 +594,14 @@ def frame_rows(spark, sf_dir):
     return rows.select("device_id", "pkt_no", "event_id", F.when(F.col("event_id") % 97 == 0, broken).otherwise(frame).alias("frame"))
 
 
-def chunks(spark, sf_dir):
+def chunks(spark, sf_dir, repeat=False):
     """The frames of each device as a capture in chunks that cut them: each chunk ends five bytes into the next frame."""
     order = Window.partitionBy("device_id").orderBy("pkt_no")
     following = F.lead("frame").over(order)
     first = F.row_number().over(order) == 1
     own = F.when(first, F.col("frame")).otherwise(F.substring(F.col("frame"), F.lit(6), F.octet_length("frame")))
     cut = F.concat(own, F.coalesce(F.substring(following, 1, 5), F.lit(b"")))
-    return frame_rows(spark, sf_dir).select("device_id", F.lit("run").alias("capture_id"), F.col("pkt_no").alias("chunk_no"), F.lit(None).cast("timestamp").alias("arrival_ts"), cut.alias("bytes"))
+    return frame_rows(spark, sf_dir, repeat).select("device_id", F.lit("run").alias("capture_id"), F.col("pkt_no").alias("chunk_no"), F.lit(None).cast("timestamp").alias("arrival_ts"), cut.alias("bytes"))
 
 
 @query(f"WITH {v.CHANGES} SELECT device_id, count(*) FILTER (event_id % 97 <> 0) AS packets, count(*) FILTER (event_id % 97 = 0) AS crc_drops, CAST(0 AS BIGINT) AS version_rejects, CAST(0 AS BIGINT) AS truncated FROM changes WHERE state IS NOT NULL GROUP BY device_id")
@@ -629,7 +633,10 @@ def expand_payloads(spark, sf_dir):
     return frames.expand_payloads(packets).drop("place")
 
 
-@query()
+@query(
+    f"""WITH {ACCEPTED.replace("is_valid_keyframe AS k, heap_d", "is_valid_keyframe AS k, event_id, heap_d")}
+    SELECT device_id, pkt_no, task_idx_d AS task_idx, 'state' AS field, state_d AS value, 'repeated' AS problem FROM kept, range(2) WHERE NOT k AND event_id % 89 = 0 AND task_idx_d < 4"""
+)
 def strict_delta(spark, sf_dir):
-    packets = frames.packets_of(frames.ingest_frames(chunks(spark, sf_dir)))
-    return frames.strict_delta(frames.expand_payloads(packets))
+    packets = frames.packets_of(frames.ingest_frames(chunks(spark, sf_dir, repeat=True)))
+    return frames.strict_delta(frames.expand_payloads(packets)).select("device_id", "pkt_no", "task_idx", "field", "value", "problem")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from beaconlake.functions.wire import byte_at, crc16, little_endian, to_little_endian
+from beaconlake.functions.wire import byte_values, crc16, let, number_at, to_little_endian
 from beaconlake.operators.state import keyframe_epoch
 from beaconlake.params import MAX_TASKS
 from beaconlake.session import ship_package
@@ -112,20 +112,20 @@ def _frame_rows(rows: list[tuple]) -> pd.DataFrame:
 def parse_framed(frames: DataFrame, data: str = "frame") -> DataFrame:
     """One frame a row: its fields and ``status``, with built-in functions."""
     d = F.col(data)
-    length = little_endian(d, 10, 2)
-    body = F.substring(d, F.lit(3), (length + 10).cast("int"))
+    values = byte_values(F.substring(d, 1, 12))
+    head = let(values, lambda b: F.struct(F.get(b, 2).alias("version"), F.get(b, 3).alias("packet_type"), number_at(b, 4, 2).cast("int").alias("sequence_num"), number_at(b, 6, 4).alias("timestamp_ticks"), number_at(b, 10, 2).cast("int").alias("length")))
+    read = frames.withColumn("head", head)
+    length = F.col("head.length")
+    read = read.withColumns({"own_crc": crc16(F.substring(d, F.lit(3), length + 10)), "sent_crc": let(byte_values(F.substring(d, length + 13, F.lit(2))), lambda b: number_at(b, 0, 2))})
     whole = (F.substring(d, 1, 2) == F.lit(SYNC)) & (F.octet_length(d) == length + 14)
-    status = F.when(~F.coalesce(whole, F.lit(False)), "truncated").when(byte_at(d, 2) != VERSION, "version").when(crc16(body) != little_endian(d, length + 12, 2), "crc").otherwise("ok")
-    return frames.withColumns({
-        "status": status, "packet_type": byte_at(d, 3), "sequence_num": little_endian(d, 4, 2).cast("int"), "timestamp_ticks": little_endian(d, 6, 4),
-        "payload": F.substring(d, F.lit(13), length.cast("int")),
-    })
+    status = F.when(~F.coalesce(whole, F.lit(False)), "truncated").when(F.col("head.version") != VERSION, "version").when(F.col("own_crc") != F.col("sent_crc"), "crc").otherwise("ok")
+    return read.select(*[F.col(f"`{c}`") for c in frames.columns], status.alias("status"), "head.packet_type", "head.sequence_num", "head.timestamp_ticks", F.substring(d, F.lit(13), length).alias("payload"))
 
 
 def framed(packet_type: Column, sequence_num: Column, ticks: Column, payload: Column) -> Column:
     """A packet as the bytes of a frame."""
     body = F.concat(F.lit(bytes([VERSION])), to_little_endian(packet_type, 1), to_little_endian(sequence_num, 2), to_little_endian(ticks, 4), to_little_endian(F.octet_length(payload), 2), payload)
-    return F.concat(F.lit(SYNC), body, to_little_endian(crc16(body), 2))
+    return let(body, lambda b: F.concat(F.lit(SYNC), b, to_little_endian(crc16(b), 2)))
 
 
 def packets_of(frames: DataFrame) -> DataFrame:
@@ -142,23 +142,25 @@ def frame_quality(frames: DataFrame) -> DataFrame:
 
 def parse_keyframe(payload: Column) -> Column:
     """struct(timestamp_ticks, task_count, tasks, heap_free_bytes, heap_min_ever_bytes, cpu_utilization_pct), or null where the length or task count is wrong."""
-    n = byte_at(payload, 6)
-    good = (n <= MAX_TASKS) & (F.octet_length(payload) == 16 + 24 * n)
+    def of(values: Column) -> Column:
+        n = F.get(values, 6)
+        good = (n <= MAX_TASKS) & (F.size(values) == 16 + 24 * n)
 
-    def task(i: Column) -> Column:
-        at = 7 + 24 * i
-        return F.struct(
-            F.regexp_replace(F.decode(F.substring(payload, at + 1, F.lit(16)), "US-ASCII"), r"\x00+$", "").alias("name"), byte_at(payload, at + 16).alias("state"), byte_at(payload, at + 17).alias("priority"),
-            little_endian(payload, at + 18, 2).cast("int").alias("stack_hwm_words"), little_endian(payload, at + 20, 4).alias("runtime_ticks"),
-        )
+        def task(i: Column) -> Column:
+            at = 7 + 24 * i
+            return F.struct(
+                F.regexp_replace(F.decode(F.substring(payload, at + 1, F.lit(16)), "US-ASCII"), r"\x00+$", "").alias("name"), F.get(values, at + 16).alias("state"), F.get(values, at + 17).alias("priority"),
+                number_at(values, at + 18, 2).cast("int").alias("stack_hwm_words"), number_at(values, at + 20, 4).alias("runtime_ticks"),
+            )
+
+        tasks = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n), task)
+        end = 7 + 24 * n
+        return F.when(good, F.struct(
+            number_at(values, 2, 4).alias("timestamp_ticks"), n.alias("task_count"), tasks.alias("tasks"),
+            number_at(values, end, 4).alias("heap_free_bytes"), number_at(values, end + 4, 4).alias("heap_min_ever_bytes"), F.get(values, end + 8).alias("cpu_utilization_pct"),
+        ))
 
-    tasks = F.transform(F.sequence(F.lit(0), n - 1), task)
-    none = F.slice(F.transform(F.array(F.lit(0)), task), 1, 0)
-    end = 7 + 24 * n
-    return F.when(good, F.struct(
-        little_endian(payload, 2, 4).alias("timestamp_ticks"), n.alias("task_count"), F.when(n > 0, tasks).otherwise(none).alias("tasks"),
-        little_endian(payload, end, 4).alias("heap_free_bytes"), little_endian(payload, end + 4, 4).alias("heap_min_ever_bytes"), byte_at(payload, end + 8).alias("cpu_utilization_pct"),
-    ))
+    return let(byte_values(payload), of)
 
 
 def parse_delta(payload: Column, task_count: Column) -> Column:
@@ -167,7 +169,6 @@ def parse_delta(payload: Column, task_count: Column) -> Column:
     An entry of an unknown task is skipped by the width of its field (none if that is unknown too); elsewhere an unknown field or a cut-off value ends the
     parse, and what came before holds.
     """
-    size = F.octet_length(payload)
     entry = "array<struct<task_idx:int,field:int,value:bigint>>"
 
     def width(field: Column, system: Column) -> Column:
@@ -176,15 +177,15 @@ def parse_delta(payload: Column, task_count: Column) -> Column:
             out = F.when((field == code) & (system == F.lit(code >= 5)), F.lit(w)).otherwise(out)
         return out
 
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        tag = byte_at(payload, at)
+    def step(values: Column, acc: Column) -> Column:
+        at, size = acc["at"], F.size(values)
+        tag = F.get(values, at)
         task, field = F.call_function("shiftright", tag, F.lit(4)), tag.bitwiseAND(F.lit(15))
         system = task == SYSTEM_TAG
         w = width(field, system)
         known = system | (task < task_count)
         stops = (at >= size) | (known & ((w == 0) | (at + 1 + w > size)))
-        value = F.when(w == 1, byte_at(payload, at + 1).cast("long")).when(w == 2, little_endian(payload, at + 1, 2)).otherwise(little_endian(payload, at + 1, 4))
+        value = F.when(w == 1, number_at(values, at + 1, 1)).when(w == 2, number_at(values, at + 1, 2)).otherwise(number_at(values, at + 1, 4))
         one = F.array(F.struct(task.alias("task_idx"), field.alias("field"), value.alias("value")))
         halted = acc["halted"] | stops
         return F.struct(
@@ -193,8 +194,8 @@ def parse_delta(payload: Column, task_count: Column) -> Column:
         )
 
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("halted"), F.array().cast(entry).alias("entries"))
-    steps = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, begin, step, lambda acc: acc["entries"])
+    # every entry takes a byte or more, so as many steps as bytes are enough
+    return let(byte_values(payload), lambda values: F.aggregate(values, begin, lambda acc, _: step(values, acc), lambda acc: acc["entries"]))
 
 
 def expand_payloads(packets: DataFrame) -> DataFrame:
