@@ -144,15 +144,19 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
     if len(label) == 0 or label.min() == label.max():
         return ToxicityModel([], params, p.window)
 
-    texts = [t.encode("utf-8", "replace") for _, t in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    hashes, counts = word_inputs(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    parts = []
+    for first in range(0, len(rows), 128):  # the inputs of a few texts at a time, as they take many times the texts' size
+        texts = [t.encode("utf-8", "replace") for _, t in rows[first : first + 128]]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        parts.append(word_inputs(np.frombuffer(b"".join(texts), np.uint8), offsets))
+    hashes, counts = np.concatenate([h for h, _ in parts], 1), np.concatenate([c for _, c in parts])
+    del parts
     owner = np.repeat(np.arange(len(rows)), counts)
     base = label.mean()
     keys, odds = [], []
     for i in range(len(INPUTS)):
         values, inverse = np.unique(hashes[i], return_inverse=True)
-        pairs = np.unique(inverse * len(rows) + owner)  # each text counts once
+        pairs = np.unique(inverse.astype(np.int64) * len(rows) + owner)  # each text counts once
         value, text = pairs // len(rows), pairs % len(rows)
         seen = np.bincount(value, minlength=len(values))
         toxic = np.bincount(value, weights=label[text], minlength=len(values))
