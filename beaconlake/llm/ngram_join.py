@@ -45,10 +45,32 @@ class JoinParams:
 
     words: int = 5
     percent: int = 80
-    groups: int = 64
-    sketch_bits: int = 17
+    groups: int = 512
+    sketch_bits: int = 18
     cell: int = 4096
     leaf: int = 16
+    broadcast_rows: int = 500_000
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A count vector as bytes, with one, two or four bytes a coordinate as its largest count takes."""
+    most = int(counts.max(initial=0))
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _points(column, groups: int) -> np.ndarray:
+    """Packed count vectors as the rows of a matrix."""
+    packed = column.to_pylist()
+    widths = {len(x) for x in packed}
+    if widths == {groups}:
+        return np.frombuffer(b"".join(packed), "u1").reshape(len(packed), groups)
+    kinds = {groups: "u1", 2 * groups: "<u2", 4 * groups: "<u4"}
+    return np.array([np.frombuffer(x, kinds[len(x)]) for x in packed], np.uint32).reshape(len(packed), groups)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima."""
+    return np.minimum(a, b).sum(1, dtype=np.int64)
 
 
 def _reaches(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -78,7 +100,7 @@ def sketch(docs: DataFrame, p: JoinParams, text: str) -> np.ndarray:
 def _excess(counts: np.ndarray) -> np.ndarray:
     """By how much a slot's count is out of the ordinary; 0 for ordinary ones."""
     middle = np.median(counts)
-    limit = middle + 6 * np.sqrt(middle + 1)
+    limit = middle + 3 * np.sqrt(middle + 1)
     return np.where(counts > limit, counts - middle, 0).astype(np.float32)
 
 
@@ -109,7 +131,7 @@ def summarise(docs: DataFrame, p: JoinParams, doc_id: str, text: str) -> DataFra
                     prefix.append(None)
                     continue
                 seen.add(one)
-                counts.append(np.bincount((s % np.uint64(p.groups)).astype(np.int64), minlength=p.groups).astype("<i4").tobytes())
+                counts.append(_packed(np.bincount((s % np.uint64(p.groups)).astype(np.int64), minlength=p.groups)))
                 first = len(s) - -(-p.percent * len(s) // 100) + 1
                 order = np.lexsort((s, excess.value[(s >> shift).astype(np.int64)]))[:first]
                 prefix.append(s[order].astype(np.int64))
@@ -139,7 +161,7 @@ class Tree:
         some = self.points[at]
         children = None
         if len(at) > self.leaf:
-            wide = int((some.max(0) - some.min(0)).argmax())
+            wide = int(np.ptp(some, 0).argmax())
             order = at[np.argsort(some[:, wide], kind="stable")]
             children = [self._node(part) for part in np.array_split(order, 4)]
         return some.max(0), int(self.sizes[at].min()), at, children
@@ -149,7 +171,7 @@ class Tree:
         stack = [(self.root, np.arange(len(queries)))]
         while stack:
             (high, least, at, children), asked = stack.pop()
-            bound = np.minimum(queries[asked], high).sum(1)
+            bound = _overlap(queries[asked], high)
             asked = asked[_reaches(bound, query_sizes[asked] + least, percent)]
             if not len(asked):
                 continue
@@ -157,7 +179,7 @@ class Tree:
                 stack += [(child, asked) for child in children]
                 continue
             for point in at:
-                bound = np.minimum(queries[asked], self.points[point]).sum(1)
+                bound = _overlap(queries[asked], self.points[point])
                 reached = _reaches(bound, query_sizes[asked] + self.sizes[point], percent)
                 if reached.any():
                     yield asked[reached], int(point), bound[reached]
@@ -178,14 +200,27 @@ def _bounded(pairs: DataFrame, vectors: DataFrame, p: JoinParams) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<i4").reshape(len(batch), -1) for k in (4, 5))
+            ca, cb = _points(batch.column(4), p.groups), _points(batch.column(5), p.groups)
             both = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            keep = _reaches(np.minimum(ca, cb).sum(1), both, p.percent)
+            keep = _reaches(_overlap(ca, cb), both, p.percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
 
 
+def _texts(pairs: DataFrame, least: DataFrame, named: DataFrame, p: JoinParams) -> DataFrame:
+    """``cls, text`` of the classes in the pairs: one row's text each; rows of one id are told apart by their texts.
+
+    The list of wanted rows is broadcast only up to ``broadcast_rows``; a longer one is joined by shuffle.
+    """
+    classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = written(least.join(classes, "cls", "left_semi").select("cls", "one.*"), "chosen")
+    if chosen.count() <= p.broadcast_rows:
+        chosen = F.broadcast(chosen)
+    found = named.join(chosen, (named["key"] == chosen["text_key"]) & named["id"].eqNullSafe(chosen["doc_id"]))
+    return written(found.select("cls", "text"), "texts")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
     """The pairs (a, b) whose sets, taken from the whole texts, are linked."""
     a, b = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
@@ -257,7 +292,7 @@ def _across(blocks: DataFrame, labels: DataFrame, vectors: DataFrame, p: JoinPar
             rows = pa.Table.from_batches(held)
             column = lambda k: rows.column(k).to_numpy()
             block, c1, c2 = column("block"), column("c1"), column("c2")
-            points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<i4").reshape(len(block), -1)
+            points = _points(rows.column("counts"), p.groups)
             edges = np.flatnonzero((block[1:] != block[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])) + 1
             for at in np.split(np.arange(len(block)), edges):
                 yield pairs_of(column("cls")[at], column("label")[at], column("mine")[at], column("n")[at], points[at], c1[at[0]] == c2[at[0]])
@@ -298,20 +333,19 @@ def link_components(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str =
     blocks = blocks_of(sets)
     vectors = _vectors(sets, blocks)
     least = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"))
-    # one row's text for each class that stands in a block; rows of one id are told apart by their texts
-    chosen = least.join(vectors.select("cls"), "cls", "left_semi").select("cls", "one.*")
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    found = named.join(chosen, (named["key"] == chosen["text_key"]) & named["id"].eqNullSafe(chosen["doc_id"]))
-    texts = written(found.select("cls", "text"), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_verified(pairs, _texts(pairs, least, named, p), p), "links")
 
     stars = blocks.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     tried = written(_bounded(stars, vectors, p).groupBy("a").agg(F.min("b").alias("b")), "pairs")
-    links = written(_verified(tried, texts, p), "links")
+    links = verified(tried)
     labels = connected(links)
     for nearest in (True, False):
         pairs = written(_across(blocks, labels, vectors, p, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
-        more = written(_verified(pairs, texts, p), "links")
+        more = verified(pairs)
         if more.limit(1).count():
             links = links.union(more)
             labels = connected(links)
@@ -325,13 +359,13 @@ def link_components(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str =
 
 
 def keep_first(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, all columns as they are: that of the least doc_id, then the least text_key.
+    """``docs`` with one row of each component, all columns as they are: that of the least doc_id (null last), then the least text_key.
 
     Rows with an empty set all stay. Of rows alike in id and text, any one stays.
     """
     judged = written(link_components(docs, p, doc_id, text), "judged")
     full = judged.filter("class_id is not null")
-    ids = full.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.*")
+    ids = full.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("one")).select("one.doc_id", "one.text_key")
     keep = ids.unionByName(judged.filter("class_id is null").select("doc_id", "text_key").distinct())
     known, key = F.col(doc_id).cast("long"), F.xxhash64(text)
     keep = keep.select(F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key"))
