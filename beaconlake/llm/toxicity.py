@@ -35,9 +35,9 @@ INPUTS = ("word", *(f"head{k}" for k in HEADS), "tail")
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    max_toxic: int = 1500
-    max_clean: int = 3000
-    max_chars: int = 20000
+    max_toxic: int = 1000
+    max_clean: int = 2000
+    max_chars: int = 8000
     window: int = 64
     learned: int = 2
     hidden: int = 8
@@ -149,13 +149,14 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
         texts = [t.encode("utf-8", "replace") for _, t in rows[first : first + 128]]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         parts.append(word_inputs(np.frombuffer(b"".join(texts), np.uint8), offsets))
-    hashes, counts = np.concatenate([h for h, _ in parts], 1), np.concatenate([c for _, c in parts])
-    del parts
+    counts = np.concatenate([c for _, c in parts])
     owner = np.repeat(np.arange(len(rows)), counts)
     base = label.mean()
-    keys, odds = [], []
+    keys = []
+    at = np.zeros((len(INPUTS), len(owner)), np.int32)  # table rows
+    odds = np.zeros((len(INPUTS), len(owner)), np.float32)
     for i in range(len(INPUTS)):
-        values, inverse = np.unique(hashes[i], return_inverse=True)
+        values, inverse = np.unique(np.concatenate([h[i] for h, _ in parts]), return_inverse=True)
         pairs = np.unique(inverse.astype(np.int64) * len(rows) + owner)  # each text counts once
         value, text = pairs // len(rows), pairs % len(rows)
         seen = np.bincount(value, minlength=len(values))
@@ -173,10 +174,9 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
         params[f"T{i}"] = np.concatenate([own[:, None], learned], 1)
         y = label[owner]
         without = log_odds(toxic[inverse] - y, seen[inverse] - toxic[inverse] - (1 - y)) * (seen[inverse] > 1)
-        odds.append(np.where(known[inverse], without, 0.0).astype(np.float32))
-        hashes[i] = place[inverse].astype(np.uint64)
-    at = hashes.astype(np.int64)  # table rows (inputs, words)
-    odds = np.stack(odds)
+        odds[i] = np.where(known[inverse], without, 0.0)
+        at[i] = place[inverse]
+    del parts
     hot = np.maximum(odds, 0).mean(0) ** 2  # few words that most inputs find toxic outweigh many doubtful ones
     starts = np.concatenate([[0], np.cumsum(counts)])
     worst = np.zeros(len(rows), np.int64)  # first word of the window with the largest log-odds
