@@ -18,6 +18,8 @@ Steps:
    is dealt out in pairs of parts.
 
 So a group of near copies costs about one verification a member, and no link between different sets is lost where it could join two components.
+``link_components`` stops there. ``link_counts`` goes on to the links inside the components: every link joins two classes of one component, so all pairs of
+classes of each component are compared on their whole texts, and the links of a row are counted.
 
 Defined results: null and empty texts, and those without words, have an empty set (size 0) and are linked with nothing; rows of equal sets are
 linked; a null id is never a component's id unless all its members' ids are null.
@@ -49,6 +51,8 @@ class JoinParams:
     sketch_bits: int = 18
     cell: int = 4096
     leaf: int = 16
+    link_rows: int = 1024
+    link_shingles: int = 1 << 20
     broadcast_rows: int = 500_000
 
 
@@ -245,6 +249,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of whole cells, from batches in order of the cells; the first three columns name the cell."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:  # a cell of several batches is held until it is whole
+        if not len(batch):
+            continue
+        keys = [batch.column(k)[0].as_py() for k in range(3)]
+        if held and keys != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        ends = [batch.column(k)[len(batch) - 1].as_py() for k in range(3)]
+        if ends != keys:
+            same = np.ones(len(batch), bool)
+            for k in range(3):
+                same &= np.asarray(batch.column(k)) == ends[k]
+            tail = int(same.argmax())
+            yield pa.Table.from_batches([*held, batch.slice(0, tail)])
+            held = [batch.slice(tail)]
+        else:
+            held.append(batch)
+        last = ends
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cells_in(rows: pa.Table) -> list[np.ndarray]:
+    """Row numbers of each cell in a table of whole cells."""
+    keys = [rows.column(k).to_numpy() for k in range(3)]
+    new = np.zeros(max(0, len(rows) - 1), bool)
+    for key in keys:
+        new |= key[1:] != key[:-1]
+    return np.split(np.arange(len(rows)), np.flatnonzero(new) + 1)
+
+
 def _across(blocks: DataFrame, labels: DataFrame, vectors: DataFrame, p: JoinParams, nearest: bool) -> DataFrame:
     """Pairs (a, b), a > b, of classes in one block but in different components, whose bound allows a link: by R-tree.
 
@@ -284,55 +323,95 @@ def _across(blocks: DataFrame, labels: DataFrame, vectors: DataFrame, p: JoinPar
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            rows = pa.Table.from_batches(held)
-            column = lambda k: rows.column(k).to_numpy()
-            block, c1, c2 = column("block"), column("c1"), column("c2")
-            points = _points(rows.column("counts"), p.groups)
-            edges = np.flatnonzero((block[1:] != block[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])) + 1
-            for at in np.split(np.arange(len(block)), edges):
+        for rows in _whole_cells(batches):
+            column = lambda k: rows.column(k).to_numpy()  # noqa: E731, B023
+            c1, c2, points = column("c1"), column("c2"), _points(rows.column("counts"), p.groups)
+            for at in _cells_in(rows):
                 yield pairs_of(column("cls")[at], column("label")[at], column("mine")[at], column("n")[at], points[at], c1[at[0]] == c2[at[0]])
 
-        last = None
-        for batch in batches:  # a cell of several batches is held until it is whole
-            if not len(batch):
-                continue
-            keys = [batch.column(k)[0].as_py() for k in range(3)]
-            if last is not None and keys != last:
-                yield from flush()
-                held = []
-            ends = [batch.column(k)[len(batch) - 1].as_py() for k in range(3)]
-            if ends != keys:
-                same = np.ones(len(batch), bool)
-                for k in range(3):
-                    same &= np.asarray(batch.column(k)) == ends[k]
-                tail = int(same.argmax())
-                held.append(batch.slice(0, tail))
-                yield from flush()
-                held = [batch.slice(tail)]
-            else:
-                held.append(batch)
-            last = ends
-        yield from flush()
-
     ordered = ready.select("block", "c1", "c2", "cls", "label", "mine", "n", "counts")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_components(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id, class_id`` for every row; the component's id is its least doc_id.
+def _linked_weight(sets: list[np.ndarray], weight: np.ndarray, part: np.ndarray, same_part: bool, percent: int) -> np.ndarray:
+    """For each set the summed weight of the other sets that it is linked with; unless ``same_part``, only of those in another part.
 
-    ``text_key`` is Spark's xxhash64 of the text.
+    Overlaps are exact: shingles that many sets hold are counted by a matrix product, the others through the list of sets that hold them.
+    """
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = (held > 1) & (held * 8 >= m) & (m >= 32)
+    place = np.cumsum(dense) - 1
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # sums stay exact
+    grid, of_dense = np.zeros((m, int(dense.sum())), kind), dense[column]
+    grid[owner[of_dense], place[column[of_dense]]] = 1
+    thin = ((held > 1) & ~dense)[column]
+    row, col = owner[thin], column[thin]
+    order = np.argsort(col, kind="stable")
+    holder, first = row[order], np.searchsorted(col[order], np.arange(len(held)))
+    ends = np.searchsorted(row, np.arange(m + 1))
+    cost = np.concatenate([[0], np.cumsum(held[col])])[ends]  # holders met by the rows before each row
+    out, low = np.zeros(m, np.int64), 0
+    while low < m:
+        high = max(low + 1, min(low + 256, int(np.searchsorted(cost, cost[low] + (1 << 22), "right")) - 1))
+        common = np.rint(grid[low:high] @ grid.T).astype(np.int64)
+        some = slice(ends[low], ends[high])
+        many = held[col[some]]
+        if len(many):
+            met = holder[np.repeat(first[col[some]] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            common += np.bincount(np.repeat(row[some] - low, many) * m + met, minlength=(high - low) * m).reshape(high - low, m)
+        linked = (common > 0) & _reaches(common, sizes[low:high, None] + sizes, percent)
+        if same_part:
+            linked[np.arange(high - low), np.arange(low, high)] = False
+        else:
+            linked &= part[low:high, None] != part
+        out[low:high] = linked @ weight
+        low = high
+    return out
+
+
+def _links_inside(labels: DataFrame, least: DataFrame, named: DataFrame, p: JoinParams) -> DataFrame:
+    """``cls, others``: to how many rows of other classes the rows of a class are linked; classes without such links are left out.
+
+    A component over ``link_rows`` classes or ``link_shingles`` shingles is dealt out in pairs of parts. Cells send one number a class.
     """
+    label = labels.select(F.col("node").alias("cls"), "label")
+    classes = written(least.join(label, "cls").select("cls", "label", "n", "rows", "one"), "classes")
+    totals = classes.groupBy("label").agg(F.count("*").alias("held"), F.sum("n").alias("shingles")).filter("held > 1")
+    parts = totals.select("label", F.greatest(F.ceil(F.col("held") / p.link_rows), F.ceil(F.col("shingles") / p.link_shingles)).cast("int").alias("parts"))
+    placed = classes.join(parts, "label").withColumn("mine", F.pmod(F.xxhash64("cls", F.lit("part")), F.col("parts")).cast("int"))
+    texts = _texts(placed.select(F.col("cls").alias("a"), F.col("cls").alias("b")), least, named, p)
+    # as in _across: k parts become k (k + 1) / 2 cells
+    celled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = celled.select("label", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "cls", "mine", F.col("rows").alias("weight"))
+    ready = cells.join(texts, "cls").select("label", "c1", "c2", "cls", "mine", "weight", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            cls, mine, weight = (rows.column(k).to_numpy() for k in ("cls", "mine", "weight"))
+            c1, c2 = rows.column("c1").to_numpy(), rows.column("c2").to_numpy()
+            sets = [x for chunk in rows.column("text").chunks for x in shingle_sets(*buffer_of(chunk), p.words)]
+            others = np.zeros(len(rows), np.int64)
+            for at in _cells_in(rows):
+                if len(at) > 1:
+                    others[at] = _linked_weight(sets[at[0] : at[-1] + 1], weight[at], mine[at], bool(c1[at[0]] == c2[at[0]]), p.percent)
+            some = others > 0
+            yield pa.record_batch([pa.array(cls[some]), pa.array(others[some])], ["cls", "others"])
+
+    dealt = ready.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2")
+    return written(dealt.mapInArrow(run, "cls long, others long").groupBy("cls").agg(F.sum("others").alias("others")), "others")
+
+
+def _joined(docs: DataFrame, p: JoinParams, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows of ``link_components``, the components' labels, the classes with a row each, and the texts by id and key."""
     bounded_batches(docs.sparkSession, megabytes=8)
     sets = summarise(docs, p, doc_id, text)
     blocks = blocks_of(sets)
     vectors = _vectors(sets, blocks)
-    least = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"))
+    least = sets.filter("cls is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.count("*").alias("rows")
+    )
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -355,7 +434,24 @@ def link_components(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str =
     smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component"))
     component_of = written(grouped.join(smallest, "label").select("cls", "component"), "components")
     component = F.when(F.col("cls").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return sets.join(component_of, "cls", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"))
+    rows = sets.join(component_of, "cls", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"))
+    return rows, labels, least, named
+
+
+def link_components(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, class_id`` for every row; the component's id is its least doc_id.
+
+    ``text_key`` is Spark's xxhash64 of the text.
+    """
+    return _joined(docs, p, doc_id, text)[0]
+
+
+def link_counts(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``link_components`` and ``n_links``: with how many other rows a row is linked, those of its own class among them."""
+    rows, labels, least, named = _joined(docs, p, doc_id, text)
+    others = _links_inside(labels, least, named, p)
+    counted = least.select("cls", "rows").join(others, "cls", "left").select(F.col("cls").alias("class_id"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return rows.join(counted, "class_id", "left").select(*rows.columns, F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

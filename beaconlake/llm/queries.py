@@ -27,6 +27,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op2_ngram_join with the number of other documents that each document is linked with."""
+    counted = ngram_join.link_counts(table(spark, sf_dir, "documents"), ngram_join.JoinParams(words=4, percent=85))
+    return counted.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 ODD_CHAT = "\\### Assistant: </turn> ok"
 
 
@@ -174,6 +180,7 @@ FROM fitted WHERE place = 1
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
+    "op2_ngram_links": op2_ngram_links,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,

@@ -80,6 +80,37 @@ def test_registered_query_equals_brute_force(spark):
     assert sorted(map(tuple, queries.op2_ngram_join(spark, sf).collect())) == brute(rows, 4, 85)
 
 
+def brute_links(rows, n, percent):
+    """(doc_id, number of other rows that are linked with it) by comparing all pairs."""
+    sets = []
+    for _, text, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    linked = [0] * len(rows)
+    for i, s in enumerate(sets):
+        for j in range(i):
+            k = len(s & sets[j])
+            if k and 100 * k >= percent * (len(s) + len(sets[j]) - k):
+                linked[i] += 1
+                linked[j] += 1
+    return sorted((row[0], linked[i]) for i, row in enumerate(rows))
+
+
+@pytest.mark.parametrize("params", [ngram_join.JoinParams(words=4, percent=85), ngram_join.JoinParams(cell=20, leaf=4, sketch_bits=6, link_rows=7), ngram_join.JoinParams(words=1, percent=60, groups=16, link_shingles=900)])
+def test_link_counts_equal_brute_force(spark, params):
+    rows = made_rows(3, 600)
+    rows += [(1000 + i, text, "copy") for i, (_, text, _) in enumerate(rows[:40])]
+    got = ngram_join.link_counts(spark.createDataFrame(rows, DOCS).repartition(4), params)
+    want = brute_links(rows, params.words, params.percent)
+    assert max(n for _, n in want) > 3  # links inside components, more than a star gives
+    assert sorted(map(tuple, got.select("doc_id", "n_links").collect())) == want
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute(rows, params.words, params.percent)
+
+
+def test_link_counts_empty(spark):
+    assert ngram_join.link_counts(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_odd_rows_and_keep_first(spark):
     a, b = " ".join(f"x{i}" for i in range(60)), " ".join(f"x{i}" for i in range(59)) + " other"
     rows = [(5, a, ""), (3, b, ""), (5, a, ""), (7, None, ""), (8, "", ""), (9, " \n", ""), (10, "one", ""), (11, "ONE", ""), (None, a, ""), (12, "y " * 30000, "")]
