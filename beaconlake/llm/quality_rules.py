@@ -4,7 +4,8 @@
 counts and two histograms: characters by class, and words by common word. ``fit_references`` sums the histograms of
 the documents that pass the base rule, by language, into one reference a language. ``judge`` rejects a document that
 fails the base rule, or whose distance to the nearest reference is over the limit; a histogram under its minimum
-length says too little and isn't compared.
+length says too little and isn't compared. The word limit widens for texts under ``full_limit_words``, as the squared distance of a
+sample of n words to its own distribution is about (cells - 1) / (8 ln 2 n): 1.44 / n for eight common words and the rest.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D. Defined results: a null text has no words and no
 characters and so fails the base rule; repeated rows are judged alike; without a document that passes the base rule there is no
@@ -41,9 +42,11 @@ class QualityParams:
     min_words: int = 50
     repeat_percent: int = 50
     min_chars_for_classes: int = 200
-    min_words_for_lexicon: int = 100
+    min_words_for_lexicon: int = 50
     max_class_distance: float = 0.22
     max_word_distance: float = 0.25
+    full_limit_words: int = 100
+    word_spread: float = 1.44
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -160,6 +163,12 @@ def js_distance(p: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def word_limit(n_words: Column, params: QualityParams) -> Column:
+    """The largest word distance of a text that is kept; wider for short texts by their sampling spread."""
+    spread = params.word_spread * F.greatest(1 / n_words - 1 / params.full_limit_words, F.lit(0.0))
+    return F.sqrt(params.max_word_distance**2 + spread)
+
+
 def judge(features: DataFrame, references: dict[str, tuple[list[float], list[float]]], params: QualityParams) -> DataFrame:
     """The features with ``base_failed``, ``class_distance``, ``word_distance``, ``nearest`` and ``kept``.
 
@@ -179,7 +188,7 @@ def judge(features: DataFrame, references: dict[str, tuple[list[float], list[flo
         "word_distance": F.when(F.col("n_words") >= params.min_words_for_lexicon, F.col("near")["w"]),
         "nearest": F.col("near")["name"],
     })
-    far = F.coalesce(F.col("class_distance") > params.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > params.max_word_distance, F.lit(False))
+    far = F.coalesce(F.col("class_distance") > params.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > word_limit(F.col("n_words"), params), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("c", "w", "near")
 
 

@@ -147,6 +147,16 @@ def test_quality_against_labels(spark):
     assert counts.get((0, False), 0) >= 0.5 * (counts.get((0, True), 0) + counts.get((0, False), 0))
 
 
+def test_short_documents_against_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    judged = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed and n_words < 100")
+    for fold in (0, 1):  # the limit was set on fold 0
+        rows = judged.filter(F.crc32(F.col("doc_id").cast("string")) % 2 == fold).groupBy("quality", "kept").count().collect()
+        counts = {(r.quality, r.kept): r["count"] for r in rows}
+        assert counts.get((1, False), 0) <= 0.01 * counts[1, True]
+        assert counts.get((0, False), 0) >= 0.6 * (counts.get((0, True), 0) + counts.get((0, False), 0))
+
+
 # ---- URL filters
 
 PAGES = "page_id long, url string, html string, host string, verdict string"
