@@ -1,28 +1,115 @@
-"""Cutting texts where no pre-token of a byte-level vocabulary can reach across.
+"""Texts as lists of chunks that a byte-level vocabulary encodes apart from each other, and ids by chunk.
 
-A pre-token takes at most one space, in front, and a run of white space before other characters is one pre-token without its last
-character. So a text may be cut before any space or newline that begins or ends a run of white space, and after a newline that ends one.
-Texts where a space or newline stands inside a run, or ends the text in a run of two or more, are left whole.
+The rule holds for the pattern ``PATTERN`` alone. A pre-token of it holds a space only in front, and of a run of white space before other
+characters the last one stands apart. So a text may be cut before any space or newline that stands alone between characters that aren't white
+space, and before both of two newlines. A text with other white space is cut only at its lone spaces and newlines.
+``chunk_lists`` cuts a batch with Arrow's kernels and numbers the distinct chunks; ``ChunkIds`` keeps the ids of the short ones it has seen, at most
+``cache_size``. With another pattern, or where a text holds a string that the tokenizer looks for first, the text is one chunk.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-_INSIDE = re.compile(r"\s[ \n](?:\s|\Z)")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Fixed value: the pattern that the rule above was made for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space in the widest sense of the libraries; what only some of them count as such is never cut at.
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_ODD = _WHITE.replace("\n", "")
+#: A run of white space that isn't one character, or two newlines before something else.
+_RUNS = f"[{_ODD}][{_WHITE}]|\n[{_ODD}]|\n\n(?:\n|\\z)"
+_LONE = re.compile(f"(?<=[^{_WHITE}])(?=[ \n][^{_WHITE}])")
+CUT = "\0"
+#: Characters that make pre-tokens of their own after letters; an apostrophe doesn't.
+MARKS = ".,;:!?#*$%&|<>-()\""
 #: Longer chunks are encoded anew each time, so that a cache holds words and not texts.
 CACHED_CHARS = 64
-#: Characters that make a pre-token of their own after letters.
-MARKS = frozenset(".,;:!?")
 
 
-def cut(text: str) -> list[list[str]] | None:
-    """Lines as ``[head, tail, ...]`` with a space before each tail and a newline between lines; None if the text must stay whole."""
-    if _INSIDE.search(text):
-        return None
-    return [line.split(" ") for line in text.split("\n")]
+def chunk_lists(texts: pa.Array, whole: tuple[str, ...] | None = ()) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct chunks, the number of each chunk of the batch in order, and where each text's chunks end.
+
+    Texts that hold one of the strings ``whole`` stay one chunk; all do if it is None. Null counts as empty.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if whole is None:
+        distinct = texts.dictionary_encode()
+        return distinct.dictionary.to_pylist(), distinct.indices.to_numpy(), np.arange(1, len(texts) + 1)
+    kept = pc.match_substring(texts, CUT)
+    for string in whole:
+        kept = pc.or_(kept, pc.match_substring(texts, string))
+    odd = pc.and_not(pc.match_substring_regex(texts, _RUNS), kept)
+    marked = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
+    lists = pc.split_pattern(marked, CUT)
+    slow = np.flatnonzero(pc.or_(kept, odd).to_numpy(zero_copy_only=False))
+    if len(slow):
+        at, parts = 0, []
+        for i in slow.tolist():
+            text = texts[i].as_py()
+            own = [text] if kept[i].as_py() else _LONE.split(text)
+            parts += [lists.slice(at, i - at), pa.array([own], lists.type)]
+            at = i + 1
+        lists = pa.concat_arrays([*parts, lists.slice(at)])
+    distinct = lists.flatten().dictionary_encode()
+    return distinct.dictionary.to_pylist(), distinct.indices.to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+class ChunkIds:
+    """Ids of texts from the ids of their chunks; ``fresh`` gives those of chunks that aren't known yet, as little-endian 32-bit integers."""
+
+    def __init__(self, fresh: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] | None, cache_size: int = 1 << 21):
+        self.fresh, self.whole, self.cache_size = fresh, whole, cache_size
+        self.known: dict[str, bytes] = {}
+
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that aren't known; marks behind letters are encoded apart from them, as the pattern takes them."""
+        if self.whole is None:
+            return self.fresh(chunks)
+        known = self.known
+        bodies = [c.rstrip(MARKS) for c in chunks]
+        cuts = [len(b) if b[1:].isalpha() and (b[0] == " " or b[0].isalpha()) else 0 for b in bodies]
+        parts = {x for c, k in zip(chunks, cuts, strict=True) for x in ((c[:k], c[k:]) if 0 < k < len(c) else (c,))}
+        new = [x for x in parts if x not in known]
+        found = dict(zip(new, self.fresh(new), strict=True))
+        known.update(found if max(map(len, new), default=0) <= CACHED_CHARS else {c: ids for c, ids in found.items() if len(c) <= CACHED_CHARS})
+        of = lambda x: found[x] if x in found else known[x]
+        return [of(c[:k]) + of(c[k:]) if 0 < k < len(c) else of(c) for c, k in zip(chunks, cuts, strict=True)]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch (uint32), and where each text's end."""
+        if len(self.known) > self.cache_size:
+            self.known.clear()
+        chunks, at, ends = chunk_lists(texts, self.whole)
+        found = list(map(self.known.get, chunks))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = [chunks[i] for i in missing]
+        for i, c, ids in zip(missing, new, self._learned(new), strict=True):
+            found[i] = ids
+            if len(c) <= CACHED_CHARS:
+                self.known[c] = ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        taken = sizes[at]
+        stop = np.cumsum(taken)
+        out = flat[np.repeat(first[at] - stop + taken, taken) + np.arange(stop[-1] if len(stop) else 0)]
+        return out, np.concatenate([[0], stop])[ends]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        ids, ends = self.ids(pa.array(texts, pa.large_string()))
+        return [part.tobytes() for part in np.split(ids, ends[:-1])] if texts else []
 
 
-def bare(chunk: str) -> str:
-    """The chunk without a mark behind letters, which is encoded apart from them."""
-    return chunk[:-1] if chunk[-1:] in MARKS and chunk[:-1].isalpha() else chunk
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 4096, megabytes: int = 8) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``megabytes``; a row is never cut, and batches without rows are left out."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        step = max(1, min(rows, int(len(batch) * (megabytes << 20) / max(1, batch.nbytes))))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)

@@ -14,6 +14,7 @@ Defined results: a null or empty text has only the end id; a null doc_id sorts f
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import CACHED_CHARS, MARKS, bare, cut
-from .scratch import bounded_batches, written
+from beaconlake.session import ship_package
+
+from .chunks import ChunkIds, sliced
+from .scratch import written
 
 BLOCK = 512
 MAGIC = b"DAC1"
@@ -103,79 +106,55 @@ class Codes:
         return out
 
 
-class ChunkEncoder:
-    """The tokenizers library over chunks that it treats apart; ids of short chunks are kept, at most ``cache_size``."""
+class ChunkEncoder(ChunkIds):
+    """The tokenizers library over chunks; over whole texts where the file doesn't say the pattern that chunks are cut by."""
 
-    def __init__(self, tokenizer_path: str, cache_size: int = 1 << 20):
+    def __init__(self, tokenizer_path: str, cache_size: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}  # without the space that belongs to each
-        self.cache_size = cache_size
-        self.mark_ids = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
-        (self.newline,) = self._encode(["\n"])
+        says = json.loads(self.tokenizer.to_str())
+        before = says["pre_tokenizer"] or {}
+        by_pattern = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and says["model"]["type"] == "BPE"
+        plain = not (says["normalizer"] or says["truncation"] or says["padding"])
+        super().__init__(self._chunks, tuple(t["content"] for t in says["added_tokens"]) if by_pattern and plain else None, cache_size)
         # what the tokenizer writes for a space begins exactly the tokens that begin with one
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.spaced[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_tails(self, tails: list[str]) -> list[bytes]:
-        """Ids of each tail and its space: tails are encoded in rows, and a token that begins with a space begins a tail."""
-        out: list[bytes] = []
-        for at in range(0, len(tails), 512):
-            row = tails[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(row)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.spaced[ids])
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.whole is not None:
+            space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+            self.spaced[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks of a space and a word are encoded in rows: a token that begins with a space begins a chunk."""
+        if self.whole is None:
+            return self._one_by_one(chunks)
+        out: dict[str, bytes] = {}
+        words = [c for c in chunks if c[:1] == " " and c.isprintable() and c.count(" ") == 1]
+        for at in range(0, len(words), 512):
+            row = words[at : at + 512]
+            joined = "".join(row)
+            if any(w in joined for w in self.whole):
+                continue
+            data = self._one_by_one([joined])[0]
+            cuts = (4 * np.flatnonzero(self.spaced[np.frombuffer(data, "<u4")])).tolist()
             if len(cuts) == len(row):
-                data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                out += [data[i:j] for i, j in zip((4 * cuts).tolist(), ends, strict=True)]
-            else:
-                out += self._encode([" " + tail for tail in row])
-        return out
-
-    def _learn(self, heads: set[str], tails: set[str]) -> None:
-        """Make the ids of all heads and tails known."""
-        for known, encode, chunks in ((self.heads, self._encode, heads), (self.tails, self._encode_tails, tails)):
-            new = [c for c in chunks if c not in known]
-            parts = [bare(c) for c in new]
-            missing = list({p for p in parts if p not in known})
-            known.update(zip(missing, encode(missing), strict=True))
-            for c, p in zip(new, parts, strict=True):
-                if c != p:
-                    known[c] = known[p] + self.mark_ids[c[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if len(self.tails) + len(self.heads) > self.cache_size:
-            self.tails.clear()
-            self.heads.clear()
-        parts = [cut(t) for t in texts]
-        heads = {line[0] for p in parts for line in p or ()}
-        tails: set[str] = set()
-        for p in parts:
-            for line in p or ():
-                tails.update(line[1:])
-        self._learn(heads, tails)
-        whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        head_of, tail_of, newline = self.heads.__getitem__, self.tails.__getitem__, self.newline
-        out = [newline.join([head_of(line[0]) + b"".join(map(tail_of, line[1:])) for line in p]) if p is not None else next(whole) for p in parts]
-        for known, chunks in ((self.heads, heads), (self.tails, tails)):
-            for c in chunks:
-                if len(c) > CACHED_CHARS:
-                    del known[c]
-        return out
+                out.update(zip(row, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)])), strict=True))
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, self._one_by_one(rest), strict=True))
+        return list(map(out.__getitem__, chunks))
 
 
+NO_IDS = np.zeros(0, "<u4")
 _loaded: dict[str, ChunkEncoder] = {}
 
 
 def loaded(tokenizer_path: str) -> ChunkEncoder:
+    """This worker's encoder for a tokenizer file."""
     if tokenizer_path not in _loaded:
         _loaded[tokenizer_path] = ChunkEncoder(tokenizer_path)
     return _loaded[tokenizer_path]
@@ -183,28 +162,43 @@ def loaded(tokenizer_path: str) -> ChunkEncoder:
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, segment_tokens: int = 1 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode all texts, write the segments, and return the table of them (columns of SEGMENTS)."""
-    bounded_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    ship_package(docs.sparkSession)
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("codes", pa.binary())])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, schema = loaded(tokenizer_path), TaskContext.get().partitionId(), None
-        held: list[tuple[int | None, bytes]] = []
-        seq = first = size = 0
+        encoder, part = loaded(tokenizer_path), TaskContext.get().partitionId()
+        seq = first = 0
+        names: list[pa.Array] = []
+        held, sizes = [NO_IDS], [np.zeros(0, np.int64)]
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            row = {"part": part, "seq": seq, "first_token": first, "n_tokens": len(ids), "doc_ids": [d for d, _ in held], "doc_tokens": [len(x) // 4 for _, x in held], "codes": encode_codes(ids)}
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("codes", pa.binary())])
-        for batch in batches:
-            for one, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                held.append((one, ids + end))
-                size += len(ids) // 4 + 1
+            nonlocal seq, first
+            ids = np.concatenate(held)
+            row = {"part": [part], "seq": [seq], "first_token": [first], "n_tokens": [len(ids)], "doc_ids": [pa.concat_arrays(names).to_pylist()], "doc_tokens": [np.concatenate(sizes)], "codes": [encode_codes(ids)]}
+            seq, first = seq + 1, first + len(ids)
+            names.clear()
+            del held[1:], sizes[1:]
+            return pa.RecordBatch.from_pydict(row, schema)
+
+        for batch in sliced(batches):
+            ids, ends = encoder.ids(batch.column(1))
+            ends = ends + np.arange(1, len(batch) + 1)  # each text's end id included
+            with_end = np.full(len(ids) + len(batch), end_id, "<u4")
+            own = np.ones(len(with_end), bool)
+            own[ends - 1] = False
+            with_end[own] = ids
+            size, at = sum(map(len, held)), 0
+            while at < len(batch):  # as many texts as it takes to fill the segment
+                before = int(ends[at - 1]) if at else 0
+                stop = min(len(batch), int(np.searchsorted(ends, before + segment_tokens - size)) + 1)
+                names.append(batch.column(0).slice(at, stop - at))
+                held.append(with_end[before : ends[stop - 1]])
+                sizes.append(np.diff(ends[at:stop], prepend=before))
+                size, at = size + len(held[-1]), stop
                 if size >= segment_tokens:
                     yield flush()
-                    seq, first, size, held = seq + 1, first + size, 0, []
-        if held:
+                    size = 0
+        if names:
             yield flush()
 
     named = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
@@ -218,7 +212,7 @@ def read_tokens(segments: DataFrame, per_document, schema: str) -> DataFrame:
 
     Returns ``doc_id, start, n_tokens`` and the columns of ``schema``; ``start`` is the number of ids of all documents before it.
     """
-    bounded_batches(segments.sparkSession, rows=4)
+    ship_package(segments.sparkSession)
     sums = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("part", before.alias("part_start"))  # one row a part of the table
@@ -226,13 +220,14 @@ def read_tokens(segments: DataFrame, per_document, schema: str) -> DataFrame:
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                codes, at, out = Codes(row["codes"]), 0, []
-                for one, n in zip(row["doc_ids"], row["doc_tokens"], strict=True):
-                    out.append((one, row["start"] + at, n, *per_document(codes.slice(at, at + n))))
-                    at += n
-                yield pa.RecordBatch.from_pydict(dict(zip(["doc_id", "start", "n_tokens", *names], map(list, zip(*out, strict=True)), strict=True)))
+        for batch in sliced(batches, rows=1):
+            row = batch.to_pylist()[0]
+            codes = Codes(row["codes"])
+            ids = codes.slice(0, len(codes))  # every document of the segment is wanted
+            ends = np.cumsum(row["doc_tokens"], dtype=np.int64)
+            own = [per_document(part) for part in np.split(ids, ends[:-1])]
+            columns = [row["doc_ids"], row["start"] + ends - row["doc_tokens"], row["doc_tokens"], *map(list, zip(*own, strict=True))]
+            yield pa.RecordBatch.from_pydict(dict(zip(["doc_id", "start", "n_tokens", *names], columns, strict=True)))
 
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {schema}")
 
