@@ -62,7 +62,7 @@ def chunk_lists(texts: pa.Array, whole: tuple[str, ...] | None = ()) -> tuple[li
 class ChunkIds:
     """Ids of texts from the ids of their chunks; ``fresh`` gives those of chunks that aren't known yet, as little-endian 32-bit integers."""
 
-    def __init__(self, fresh: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] | None, cache_size: int = 1 << 21):
+    def __init__(self, fresh: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] | None, cache_size: int = 1 << 19):
         self.fresh, self.whole, self.cache_size = fresh, whole, cache_size
         self.known: dict[str, bytes] = {}
 

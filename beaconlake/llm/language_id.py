@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconlake.session import ship_package
+
 from . import bigru
-from .scratch import bounded_batches
+from .chunks import sliced
 
 PAD = 256
 UNKNOWN = "und"
@@ -162,13 +164,13 @@ class Scorer:
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every row."""
     spark = docs.sparkSession
-    bounded_batches(spark, megabytes=8)
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # some tens of kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = shared.value.languages
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches, rows=512):
             column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             raw = column.buffers()[2]

@@ -22,7 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .scratch import bounded_batches, written
+from beaconlake.session import ship_package
+
+from .chunks import sliced
+from .scratch import written
 
 FRAME = 576
 FRAMES_PER_PES = 64
@@ -180,10 +183,10 @@ def demux(media: bytes) -> Stream:
 
 def store_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``doc_id, n_bytes, media, timestamps, access_offsets`` for every row and return the table."""
-    bounded_batches(docs.sparkSession)
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows=512):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             media = [mux(payload_of(t)) for t in texts]
             found = [demux(m) for m in media]
@@ -200,14 +203,22 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Digests and features of every stored stream, computed from the bytes read back (columns of FEATURES)."""
-    bounded_batches(stored.sparkSession)
+    """Digests and features of every stored stream, computed from the bytes read back (columns of FEATURES).
+
+    Of a null or damaged stream all of them are null.
+    """
+    ship_package(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows=512):
             columns: list[list] = [[] for _ in range(6)]
             for media in batch.column(2).to_pylist():
-                stream = demux(media)
+                try:
+                    stream = demux(media or b"")
+                except ValueError:
+                    for column in columns:
+                        column.append(None)
+                    continue
                 samples = np.frombuffer(stream.payload, np.uint8)
                 feature = (
                     f"frames={len(samples) // FRAME};packets={len(media) // PACKET};access_points={len(stream.access_points)};"

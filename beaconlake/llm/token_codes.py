@@ -109,7 +109,7 @@ class Codes:
 class ChunkEncoder(ChunkIds):
     """The tokenizers library over chunks; over whole texts where the file doesn't say the pattern that chunks are cut by."""
 
-    def __init__(self, tokenizer_path: str, cache_size: int = 1 << 21):
+    def __init__(self, tokenizer_path: str, cache_size: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 

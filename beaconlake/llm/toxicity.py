@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconlake.session import ship_package
+
 from . import bigru
-from .scratch import bounded_batches
+from .chunks import sliced
 
 SCHEMA = "doc_id long, score double, predicted int"
 HEADS = (4, 5, 6, 7, 8, 10)
@@ -306,13 +308,13 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Dat
 
 def _scored(docs: DataFrame, model: ToxicityModel, schema, text: str, keep: list[str], only_clean: bool = False) -> DataFrame:
     spark = docs.sparkSession
-    bounded_batches(spark, megabytes=8)
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches, rows=512):
             column = batch.column(names.index(text)).cast(pa.large_binary()).fill_null(b"")
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             raw = column.buffers()[2]
