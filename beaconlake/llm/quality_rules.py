@@ -1,15 +1,17 @@
 """Quality rules: base counts, and divergence from language references by Jensen-Shannon distance.
 
-``quality_features`` takes one pass over the whole texts with built-in functions only and gives each document's base
-counts and two histograms: characters by class, and words by common word. ``fit_references`` sums the histograms of
-the documents that pass the base rule, by language, into one reference a language. ``judge`` rejects a document that
+All with built-in functions. ``candidate_words`` reads every text and finds each language's words that stand in most documents, by a mergeable
+sketch of fixed size. ``quality_features`` takes one pass over the whole texts and gives each document's base
+counts and two histograms: characters by class, and candidate words. ``fit_references`` puts the histograms of
+the documents that pass the base rule together into one reference for every language that has ``min_reference_docs`` of them; its common words are the ``common_words``
+candidates with the largest exact share of these documents. ``judge`` rejects a document that
 fails the base rule, or whose distance to the nearest reference is over the limit; a histogram under its minimum
-length says too little and isn't compared. The word limit widens for texts under ``full_limit_words``, as the squared distance of a
+length says too little and isn't compared, and a document whose language has no reference isn't either. The word limit widens for texts under ``full_limit_words``, as the squared distance of a
 sample of n words to its own distribution is about (cells - 1) / (8 ln 2 n): 1.44 / n for eight common words and the rest.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D. Defined results: a null text has no words and no
-characters and so fails the base rule; repeated rows are judged alike; without a document that passes the base rule there is no
-reference, and the base rule alone decides.
+characters and so fails the base rule; repeated rows are judged alike; a document without a language is compared with all references; without
+a reference the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -23,14 +25,6 @@ from pyspark.sql import functions as F
 from .packing import BREAKS, WORD_BREAK
 from .scratch import written
 
-# Frequent function words of the reference languages.
-COMMON_WORDS = {
-    "de": ["den", "der", "die", "ein", "und", "von", "zu"],
-    "en": ["a", "and", "be", "is", "of", "that", "the", "to"],
-    "es": ["de", "del", "en", "la", "las", "los", "que", "un"],
-    "fr": ["de", "des", "du", "et", "la", "le", "les", "un"],
-}
-LEXICON = sorted({w for words in COMMON_WORDS.values() for w in words})
 #: Counted among the characters that are neither a-z nor the plain space; those two are counted by difference.
 RARE_CLASSES = {"upper": r"[^A-Z]+", "digit": r"[^0-9]+", "punctuation": r"[^.,;:!?'\"()\-]+", "other space": r"[^\x09-\x0D]+"}
 CLASSES = ["lower", "space", "upper", "digit", "punctuation", "rest"]
@@ -47,6 +41,20 @@ class QualityParams:
     max_word_distance: float = 0.25
     full_limit_words: int = 100
     word_spread: float = 1.44
+    common_words: int = 8
+    candidates: int = 16
+    tracked_words: int = 20_000
+    min_reference_docs: int = 20
+    long_text_words: int = 8192
+
+
+@dataclass(frozen=True)
+class Reference:
+    """Mean histograms of a language: characters by class, and its common words with all others last."""
+
+    classes: tuple[float, ...]
+    words: tuple[str, ...]
+    shares: tuple[float, ...]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,33 +66,50 @@ def _removed(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, "")).cast("long")
 
 
-def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``quality`` of base counts and histograms; a column of that name is replaced.
+def words_of(text: Column) -> Column:
+    """The words of a text; one empty string where it has none."""
+    return F.split(F.trim(F.coalesce(text, F.lit("")), F.lit(BREAKS)), WORD_BREAK)
+
+
+def candidate_words(docs: DataFrame, params: QualityParams, text: str = "text", lang: str = "lang") -> list[str]:
+    """Lower-case words that may be among the common ones of a language: ``candidates`` a language, by the number of documents that hold them.
+
+    Every document of ``min_words`` words or more counts. A task's state is a sketch a language of ``tracked_words`` words; only the found words come
+    to the driver.
+    """
+    split = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), words_of(F.lower(F.col(text))).alias("words")).filter(F.size("words") >= params.min_words)
+    each = split.select("lang", F.explode(F.array_distinct("words")).alias("word"))
+    top = F.expr(f"approx_top_k(word, {params.candidates}, {params.tracked_words})")
+    found = each.groupBy("lang").agg(top.alias("top")).select(F.explode("top.item").alias("word")).distinct().collect()
+    return sorted(r["word"] for r in found)
+
+
+def with_quality(docs: DataFrame, lexicon: list[str], params: QualityParams = QualityParams(), text: str = "text", name: str = "quality") -> DataFrame:
+    """``docs`` with a struct ``name`` of base counts and histograms; ``docs`` must have no column of that name.
 
     The steps are projections of their own, so that the word list, the window codes and their sorted form are made once a text.
     A window's code holds its hash in the high bits and its position in as few low bits as the text's length takes; sorting the codes brings
-    equal windows together.
+    equal windows together. Over ``long_text_words`` words, pairs of a 64-bit hash and a position are sorted instead.
     """
-    names = [c for c in docs.columns if c != "quality"]
+    names = docs.columns
     kept = [f"_own{i}" for i in range(len(names))]  # no column of the caller's can clash with a step's
     own = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("text"))
     split = own.select(
         *kept,
         "text",
-        F.split(F.trim(F.col("text"), F.lit(BREAKS)), WORD_BREAK).alias("words"),
+        words_of(F.col("text")).alias("words"),
         F.regexp_replace("text", "[a-z ]+", "").alias("rare"),
         (F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit("")))).cast("long").alias("blanks"),
         F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BREAKS)) != "").alias("lines"),
     )
     # splitting a text without words gives one empty string
     n = F.when(F.get("words", F.lit(0)) == "", F.lit(0)).otherwise(F.size("words"))
-    cased = sorted({v for w in LEXICON for v in (w, w.capitalize(), w.upper())})
     counted = split.select(
         *kept,
         "words",
         n.alias("n"),
         F.ceil(F.log2(F.size("words") + 1)).cast("int").alias("place_bits"),
-        F.transform(F.filter("words", lambda w: w.isin(*cased)), F.lower).alias("common"),
+        F.filter(F.transform("words", F.lower), lambda w: w.isin(*lexicon)).alias("common"),
         *[_removed(F.col("rare"), outside).alias(name) for name, outside in RARE_CLASSES.items()],
         _removed(F.col("rare"), SYMBOLS).alias("n_symbols"),
         F.length("text").cast("long").alias("n_chars"),
@@ -97,21 +122,29 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
         hashed = F.xxhash64(word, F.get("words", i + 1), F.get("words", i + 2))
         return F.call_function("shiftleft", hashed, F.col("place_bits")).bitwiseOR(i.cast("long"))
 
-    coded = counted.withColumn("codes", F.sort_array(F.slice(F.transform("words", code), F.lit(1), F.greatest(F.col("n") - 2, F.lit(0)))))
+    def windows(each: Callable[[Column, Column], Column]) -> Column:
+        return F.sort_array(F.slice(F.transform("words", each), F.lit(1), F.greatest(F.col("n") - 2, F.lit(0))))
 
     def window(x: Column) -> Column:
         return F.call_function("shiftright", x, F.col("place_bits"))
 
-    twice = F.filter("codes", lambda x, i: window(x).eqNullSafe(window(F.get("codes", i - 1))) | window(x).eqNullSafe(window(F.get("codes", i + 1))))
+    def twice(codes: str, of: Callable[[Column], Column]) -> Column:
+        return F.filter(codes, lambda x, i: of(x).eqNullSafe(of(F.get(codes, i - 1))) | of(x).eqNullSafe(of(F.get(codes, i + 1))))
+
+    def pair(word: Column, i: Column) -> Column:
+        return F.struct(F.xxhash64(word, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.cast("long").alias("at"))
+
+    long_text = F.col("n") > params.long_text_words
+    coded = counted.withColumns({"codes": F.when(~long_text, windows(code)), "pairs": F.when(long_text, windows(pair))})
     low_bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place_bits")) - 1
-    placed = coded.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low_bits))))
+    starts = F.when(long_text, F.transform(twice("pairs", lambda x: x["h"]), lambda x: x["at"])).otherwise(F.transform(twice("codes", window), lambda x: x.bitwiseAND(low_bits)))
+    placed = coded.withColumn("starts", F.sort_array(starts))
     # windows of three overlap: each start adds the words since the start before it, three at most
     added = F.transform("starts", lambda x, i: F.least(F.lit(3).cast("long"), x - F.get("starts", i - 1)))
     lower = F.col("n_chars") - F.col("n_rare") - F.col("blanks")
     space = F.col("blanks") + F.col("other space")
     rest = F.col("n_rare") - F.col("upper") - F.col("digit") - F.col("punctuation") - F.col("other space")
-    # one expression over the list of words: unrolled, it would make a method too large to be compiled
-    counts = F.transform(F.array(*[F.lit(w) for w in LEXICON]), lambda w: (F.size("common") - F.size(F.array_remove("common", w))).cast("long"))
+    counts = F.transform(F.array_distinct("common"), lambda w: F.struct(w, (F.size("common") - F.size(F.array_remove("common", w))).cast("long")))
     quality = F.struct(
         F.col("n").cast("long").alias("n_words"),
         (F.col("n_chars") - space).alias("word_chars"),
@@ -119,31 +152,38 @@ def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines",
         F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.array(lower, space, F.col("upper"), F.col("digit"), F.col("punctuation"), rest).alias("class_counts"),
-        F.concat(counts, F.array((F.col("n") - F.size("common")).cast("long"))).alias("word_counts"),
+        F.map_from_entries(counts).alias("word_counts"),
     )
-    return placed.select(*[F.col(k).alias(c) for c, k in zip(names, kept, strict=True)], quality.alias("quality"))
+    return placed.select(*[F.col(k).alias(c) for c, k in zip(names, kept, strict=True)], quality.alias(name))
 
 
-def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_counts, word_counts``."""
+def quality_features(docs: DataFrame, params: QualityParams = QualityParams(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_counts, word_counts`` (a map of the candidate words that occur)."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return with_quality(named).select("doc_id", "lang", "quality.*")
+    return with_quality(named, candidate_words(named, params), params).select("doc_id", "lang", "quality.*")
 
 
 def base_failed(params: QualityParams) -> Column:
     return (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.repeat_percent * F.col("n_words"))
 
 
-def fit_references(features: DataFrame, params: QualityParams) -> dict[str, tuple[list[float], list[float]]]:
-    """Language to its mean class and word histogram over all documents that pass the base rule; each document weighs alike.
+def fit_references(features: DataFrame, params: QualityParams) -> dict[str, Reference]:
+    """A reference for every language with ``min_reference_docs`` documents that pass the base rule; each document weighs alike.
 
-    The languages are those of COMMON_WORDS, so at most as many rows come to the driver.
+    The driver gets at most ``candidates`` words and a histogram of a language.
     """
-    good = features.filter(~base_failed(params) & F.col("lang").isin(*COMMON_WORDS))
-    shares = good.select("lang", _normalised(F.col("class_counts")).alias("c"), _normalised(F.col("word_counts")).alias("w"))
-    sums = [F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(len(LEXICON) + 1)]
-    found = shares.groupBy("lang").agg(*sums).collect()
-    return {r["lang"]: ([r[f"c{i}"] or 0.0 for i in range(len(CLASSES))], [r[f"w{i}"] or 0.0 for i in range(len(LEXICON) + 1)]) for r in found}
+    good = features.filter(~base_failed(params) & F.col("lang").isNotNull())
+    shares = good.select("lang", _normalised(F.col("class_counts")).alias("c"))
+    found = shares.groupBy("lang").agg(F.count("*").alias("docs"), *[F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES))]).filter(F.col("docs") >= params.min_reference_docs).collect()
+    held = good.select("lang", "n_words", F.explode("word_counts").alias("word", "times"))
+    # integer parts of a billion add up alike in any order
+    words = held.groupBy("lang", "word").agg(F.count("*").alias("holders"), F.sum(F.expr("times * 1000000000 div n_words")).alias("weight")).collect()
+    out = {}
+    for row in found:
+        common = sorted((w for w in words if w["lang"] == row["lang"]), key=lambda w: (-w["holders"], w["word"]))[: params.common_words]
+        part = [w["weight"] / 1e9 / row["docs"] for w in common]
+        out[row["lang"]] = Reference(tuple(row[f"c{i}"] or 0.0 for i in range(len(CLASSES))), tuple(w["word"] for w in common), (*part, max(0.0, 1.0 - sum(part))))
+    return out
 
 
 def _normalised(counts: Column) -> Column:
@@ -151,9 +191,9 @@ def _normalised(counts: Column) -> Column:
     return let(total, lambda t: F.transform(counts, lambda x: F.when(t > 0, x / t).otherwise(F.lit(0.0))))
 
 
-def js_distance(p: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of a normalised histogram to a reference."""
-    q = F.array(*[F.lit(float(x)) for x in reference])
+def js_distance(p: Column, q: Column | list[float]) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two normalised histograms."""
+    q = F.array(*[F.lit(float(x)) for x in q]) if isinstance(q, list) else q
 
     def part(a: Column, b: Column) -> Column:
         m = (a + b) / 2
@@ -169,19 +209,33 @@ def word_limit(n_words: Column, params: QualityParams) -> Column:
     return F.sqrt(params.max_word_distance**2 + spread)
 
 
-def judge(features: DataFrame, references: dict[str, tuple[list[float], list[float]]], params: QualityParams) -> DataFrame:
+def judge(features: DataFrame, references: dict[str, Reference], params: QualityParams) -> DataFrame:
     """The features with ``base_failed``, ``class_distance``, ``word_distance``, ``nearest`` and ``kept``.
 
-    The nearest reference is the one with the least sum of both distances (the first by name among equals). A distance is null
-    where its histogram is too short, or there is no reference.
+    The nearest reference is the one with the least sum of both distances, in billionths (the first by name among equals). All three are null for a document whose
+    language has no reference, and a distance is null where its histogram is too short.
     """
-    out = features.withColumns({"base_failed": base_failed(params), "c": _normalised(F.col("class_counts")), "w": _normalised(F.col("word_counts"))})
+    out = features.withColumns({"base_failed": base_failed(params), "c": _normalised(F.col("class_counts"))})
     if references:
-        each = F.array(*[F.struct(js_distance(F.col("c"), c).alias("c"), js_distance(F.col("w"), w).alias("w"), F.lit(name).alias("name")) for name, (c, w) in sorted(references.items())])
-        summed = F.transform(each, lambda x: F.struct((x["c"] + x["w"]).alias("total"), x["name"].alias("name"), x["c"].alias("c"), x["w"].alias("w")))
-        out = out.withColumn("near", F.array_min(summed))
+        def numbers(values) -> Column:
+            return F.array(*[F.lit(float(x)) for x in values])
+
+        known = F.array(*[
+            F.struct(F.lit(name).alias("name"), numbers(r.classes).alias("c"), F.array(*[F.lit(w) for w in r.words]).cast("array<string>").alias("words"), numbers(r.shares).alias("w"))
+            for name, r in sorted(references.items())
+        ])
+
+        def words(r: Column) -> Column:
+            """The document's shares of the reference's words, and of all others."""
+            own = F.transform(r["words"], lambda w: F.coalesce(F.col("word_counts")[w], F.lit(0)) / F.col("n_words"))
+            return let(own, lambda p: F.concat(p, F.array(1.0 - F.aggregate(p, F.lit(0.0), lambda s, x: s + x))))
+
+        each = F.transform(known, lambda r: F.struct(js_distance(F.col("c"), r["c"]).alias("c"), js_distance(words(r), r["w"]).alias("w"), r["name"].alias("name")))
+        summed = F.transform(each, lambda x: F.struct(F.round((x["c"] + x["w"]) * 1e9).cast("long").alias("total"), x["name"].alias("name"), x["c"].alias("c"), x["w"].alias("w")))
+        compared = (F.col("n_words") > 0) & (F.col("lang").isNull() | F.col("lang").isin(*references))
+        out = out.withColumn("near", F.when(compared, F.array_min(summed)))
     else:
-        out = out.withColumn("near", F.lit(None).cast("struct<total:double,name:string,c:double,w:double>"))
+        out = out.withColumn("near", F.lit(None).cast("struct<total:bigint,name:string,c:double,w:double>"))
     n_chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumns({
         "class_distance": F.when(n_chars >= params.min_chars_for_classes, F.col("near")["c"]),
@@ -189,12 +243,12 @@ def judge(features: DataFrame, references: dict[str, tuple[list[float], list[flo
         "nearest": F.col("near")["name"],
     })
     far = F.coalesce(F.col("class_distance") > params.max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > word_limit(F.col("n_words"), params), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("c", "w", "near")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("c", "near")
 
 
 def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Features and verdict of every document; the features are written once and read for the references and the verdicts."""
-    features = written(quality_features(docs, doc_id, text, lang), "quality")
+    features = written(quality_features(docs, params, doc_id, text, lang), "quality")
     return judge(features, fit_references(features, params), params)
 
 
@@ -203,8 +257,11 @@ def keep_good(docs: DataFrame, params: QualityParams = QualityParams(), text: st
 
     The rows are written once together with their features, so that neither the references nor the verdicts need a join.
     """
-    rated = written(with_quality(docs, text), "rated")
-    features = rated.select(F.col(lang).alias("lang"), "quality.*")
+    name = "quality"
+    while name in docs.columns:
+        name += "_"
+    rated = written(with_quality(docs, candidate_words(docs, params, text, lang), params, text, name), "rated")
+    features = rated.select(F.col(lang).alias("lang"), f"{name}.*")
     references = fit_references(features, params)
-    own = rated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(None).cast("string").alias("lang"), "quality.*")
+    own = rated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{lang}`").alias("lang"), f"{name}.*")
     return judge(own, references, params).filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
