@@ -8,6 +8,7 @@ SEQ_MOD = 1 << 16
 COUNTER_MOD = 1 << 32
 KEYFRAME_EVERY = 50
 MAX_TASKS = 16
+SYSTEM_TAG = 15
 OFFLINE_SECONDS = 30
 SCRAPE_SECONDS, PUSH_SECONDS, PROGRESS_SECONDS = 5, 30, 10
 PROFILE_BLOCK = 100
@@ -15,16 +16,16 @@ PROFILE_BLOCK = 100
 #: Labels of task states 0 to 4.
 TASK_STATES = ["running", "ready", "blocked", "suspended", "deleted"]
 
-#: Metric, name and unit in the semantic convention, scope, help text.
+#: Metric, name and unit in the semantic convention. Own: scope and help text.
 METRICS = [
-    ("rtos_heap_free_bytes", "rtos.heap.free_bytes", "By", "device", "Current free heap in bytes"),
-    ("rtos_heap_min_ever_bytes", "rtos.heap.min_ever_bytes", "By", "device", "Lowest free heap ever observed"),
-    ("rtos_heap_oom_projection_seconds", "rtos.heap.oom_projection_seconds", "s", "device", "Projected seconds until the heap is exhausted; -1 means no leak"),
-    ("rtos_cpu_utilization_ratio", "rtos.cpu.utilization_ratio", "1", "device", "Total CPU utilization, 0 to 1"),
-    ("rtos_telemetry_packet_loss_ratio", "rtos.telemetry.packet_loss_ratio", "1", "device", "Fraction of telemetry packets lost"),
-    ("rtos_task_state", "rtos.task.state", "1", "task", "1 if the task is in the labelled state, else 0"),
-    ("rtos_task_stack_watermark_bytes", "rtos.task.stack_watermark", "By", "task", "Least free stack bytes ever observed"),
-    ("rtos_task_cpu_ratio", "rtos.task.cpu_ratio", "1", "task", "CPU share of the task, 0 to 1"),
+    ("rtos_heap_free_bytes", "rtos.heap.free_bytes", "By", "device", "Bytes of heap that are free now"),
+    ("rtos_heap_min_ever_bytes", "rtos.heap.min_ever_bytes", "By", "device", "Fewest free heap bytes since the start"),
+    ("rtos_heap_oom_projection_seconds", "rtos.heap.oom_projection_seconds", "s", "device", "Seconds until no heap is left at the present trend; -1 without a leak, -2 with a falling minimum"),
+    ("rtos_cpu_utilization_ratio", "rtos.cpu.utilization_ratio", "1", "device", "Busy part of the processor, from 0 to 1"),
+    ("rtos_telemetry_packet_loss_ratio", "rtos.telemetry.packet_loss_ratio", "1", "device", "Part of the packets that did not arrive, from 0 to 1"),
+    ("rtos_task_state", "rtos.task.state", "1", "task", "1 for the state that the task is in, 0 for the others"),
+    ("rtos_task_stack_watermark_bytes", "rtos.task.stack_watermark", "By", "task", "Fewest free stack bytes since the start"),
+    ("rtos_task_cpu_ratio", "rtos.task.cpu_ratio", "1", "task", "Part of the run time that the task took, from 0 to 1"),
 ]
 
 #: Panel thresholds as (metric, lower bound inclusive, class); the class of the highest bound that is reached holds.

@@ -73,29 +73,32 @@ CHANGES = (
 )"""
 )
 
+#: Apart from the orders' numbers: what the second and later snapshots of an order are moved by.
+SNAPSHOT_PARTS = 1 << 40
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task a line item; a snapshot an order; at most 16 tasks a snapshot."""
+    """One task a line item; a snapshot for every 16 line items of an order (the first has the order's number)."""
     by_order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     code = F.concat("l_returnflag", "l_linestatus")
     state = F.when(code == "AF", 0).when(code == "AO", 1).when(code == "NF", 2).when(code == "NO", 3).when(code == "RF", 4).otherwise(5)
-    numbered = table(spark, sf_dir, "lineitem").withColumn("task_idx", F.row_number().over(by_order) - 1).filter(F.col("task_idx") < MAX_TASKS)
+    place = F.row_number().over(by_order) - 1
+    numbered = table(spark, sf_dir, "lineitem").withColumns({"task_idx": place % MAX_TASKS, "part": F.floor(place / MAX_TASKS)})
     return numbered.select(
-        F.concat(F.lit("dev-"), (F.col("l_orderkey") % 100).cast("string")).alias("device_id"), F.col("l_orderkey").alias("snapshot_id"), "task_idx",
+        F.concat(F.lit("dev-"), (F.col("l_orderkey") % 100).cast("string")).alias("device_id"), (F.col("l_orderkey") + F.col("part") * F.lit(SNAPSHOT_PARTS)).alias("snapshot_id"), "task_idx",
         F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("task-"), F.col("l_linenumber").cast("string"))).alias("task_name"), state.alias("state"),
         F.col("l_linenumber").alias("priority"), F.col("l_quantity").cast("int").alias("stack_hwm_words"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("runtime_ticks"),
     )
 
 
-TASKS = """task_rows AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS task_idx FROM lineitem
+TASKS = f"""task_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS place FROM lineitem
 ), tasks AS (
-  SELECT 'dev-' || (l_orderkey % 100) AS device_id, l_orderkey AS snapshot_id, task_idx, CASE WHEN l_linenumber = 7 THEN '' ELSE 'task-' || l_linenumber END AS task_name,
+  SELECT 'dev-' || (l_orderkey % 100) AS device_id, l_orderkey + place // {MAX_TASKS} * {SNAPSHOT_PARTS} AS snapshot_id, CAST(place % {MAX_TASKS} AS INTEGER) AS task_idx, CASE WHEN l_linenumber = 7 THEN '' ELSE 'task-' || l_linenumber END AS task_name,
     CASE l_returnflag || l_linestatus WHEN 'AF' THEN 0 WHEN 'AO' THEN 1 WHEN 'NF' THEN 2 WHEN 'NO' THEN 3 WHEN 'RF' THEN 4 ELSE 5 END AS state,
     l_linenumber AS priority, CAST(l_quantity AS INTEGER) AS stack_hwm_words, CAST(round(l_extendedprice * 100) AS BIGINT) AS runtime_ticks
-  FROM task_rows WHERE task_idx < 16
+  FROM task_rows
 )"""
 
 

@@ -15,9 +15,12 @@ LABEL = r'([A-Za-z_][A-Za-z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line``; the number orders the lines of a file."""
-    read = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
-    return read.withColumn("line_no", F.monotonically_increasing_id())
+    """``file, line_no, line``; the number orders the lines of a file.
+
+    It is the split's first byte and the row's place in its task, which is below the split size, so it holds for a large file of many splits too.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), (F.col("_metadata.file_block_start") + place).alias("line_no"), F.col("value").alias("line"))
 
 
 def texts_of(spark: SparkSession, path: str) -> DataFrame:
@@ -80,11 +83,14 @@ def read_profile_lines(texts: DataFrame) -> DataFrame:
 
 def read_otlp_dump(texts: DataFrame) -> DataFrame:
     """``name, unit, attrs, ts, value`` of every data point in a collector's debug text."""
-    metrics = F.expr("slice(split(text, r'(?m)^Metric #\\d+\\s*$'), 2, 1000000)")
-    blocks = texts.select(F.explode(metrics).alias("block"))
+    def behind(column: str, head: str):
+        """The parts behind each head line."""
+        return F.explode(F.filter(F.split(column, head), lambda part, i: i > 0))
+
+    blocks = texts.select(behind("text", r"(?m)^Metric #\d+\s*$").alias("block"))
     head = blocks.select(
         F.regexp_extract("block", r"-> Name: (\S+)", 1).alias("name"), F.regexp_extract("block", r"-> Unit: (\S+)", 1).alias("unit"),
-        F.explode(F.expr("slice(split(block, r'(?m)^NumberDataPoints #\\d+\\s*$'), 2, 1000000)")).alias("point"),
+        behind("block", r"(?m)^NumberDataPoints #\d+\s*$").alias("point"),
     )
     names, values = (F.regexp_extract_all("point", F.lit(r"-> ([\w.]+): \w+\((.*)\)"), F.lit(i)) for i in (1, 2))
     stamp = F.regexp_extract("point", r"(?m)^Timestamp: (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1)
