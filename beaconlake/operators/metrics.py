@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beaconlake.operators.quality import loss_ratio
-from beaconlake.params import METRICS, TASK_STATES, THRESHOLDS
+from beaconlake.params import COUNTER_MOD, METRICS, TASK_STATES, THRESHOLDS
 
 
 
@@ -37,6 +37,19 @@ def task_cpu_share(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("cpu_share", F.col("runtime_ticks") / F.when(total == 0, F.lit(1)).otherwise(total))
 
 
+def interval_cpu_share(tasks: DataFrame) -> DataFrame:
+    """``cpu_share`` of the ticks since the task's snapshot before (the counter wraps at 2^32); null where the snapshot has no such ticks."""
+    before = F.lag("runtime_ticks").over(Window.partitionBy("device_id", "task_idx").orderBy("snapshot_id"))
+    stepped = tasks.withColumn("interval_ticks", F.pmod(F.col("runtime_ticks") - before, F.lit(COUNTER_MOD)))
+    total = F.sum("interval_ticks").over(Window.partitionBy("device_id", "snapshot_id"))
+    return stepped.withColumn("cpu_share", F.col("interval_ticks") / F.nullif(total, F.lit(0)))
+
+
+def cpu_heatmap(shares: DataFrame, seconds: int) -> DataFrame:
+    """``device_id, task_label, bucket, cpu_share``: the mean share of each task in each interval, from rows with ``ts``."""
+    return shares.groupBy("device_id", "task_label", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.avg("cpu_share").alias("cpu_share")).select("device_id", "task_label", F.col("w.start").alias("bucket"), "cpu_share")
+
+
 def named_tasks(tasks: DataFrame) -> DataFrame:
     """One row a (device, snapshot, label): of tasks with one label the highest index counts; shares are of all tasks' ticks."""
     shared = task_cpu_share(tasks).withColumn("task_label", task_label(F.col("task_name")))
@@ -120,9 +133,10 @@ def otel_rename(metrics: DataFrame) -> DataFrame:
 
 
 def otlp_export(metrics: DataFrame, seconds: int) -> DataFrame:
-    """The last value of each series in each push interval, and its JSON payload."""
+    """The last value of each series in each push interval, and its JSON payload; of values at one instant the largest."""
     every = metrics.filter("ts is not null").withColumn("series", F.to_json(F.array_sort(F.map_entries("attrs"))))
-    last = every.groupBy("metric", "series", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"), F.first("attrs").alias("attrs"))
+    last = every.groupBy("metric", "series", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max(F.struct("ts", "value")).alias("s"), F.first("attrs").alias("attrs"))
+    last = last.select("metric", "series", "w", "s.value", "s.ts", "attrs")
     named = last.join(F.broadcast(metric_dimension(metrics.sparkSession)), "metric")
     points = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
     payload = F.to_json(F.struct(F.col("otel_name").alias("name"), "unit", F.struct(F.array(F.struct(points.alias("attributes"), F.col("value").alias("asDouble"))).alias("dataPoints")).alias("data")))

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def of_device(metrics: DataFrame, device_id: str | None) -> DataFrame:
+    """The rows of one device, or all."""
+    return metrics if device_id is None else metrics.filter(F.col("device_id") == device_id)
+
+
 def label_values(metrics: DataFrame, metric: str) -> DataFrame:
     """Devices that report a metric, ascending."""
     return metrics.filter(F.col("metric") == metric).select("device_id").distinct().orderBy("device_id")
 
 
-def last_not_null(metrics: DataFrame, order: Column) -> DataFrame:
-    """The last value that isn't null of each metric and device, by ``order``."""
-    return metrics.filter("value is not null").groupBy("metric", "device_id").agg(F.max_by("value", order).alias("value"))
+def last_not_null(metrics: DataFrame, order: Column, device_id: str | None = None) -> DataFrame:
+    """The last value that isn't null of each metric and device (or of one device), by ``order``."""
+    return of_device(metrics, device_id).filter("value is not null").groupBy("metric", "device_id").agg(F.max_by("value", order).alias("value"))
 
 
-def panel_timeseries(metrics: DataFrame, names: list[str], start: Column, end: Column, seconds: int, order: Column) -> DataFrame:
-    """The last value of each bucket in [start, end) for each metric and device."""
-    ranged = metrics.filter(F.col("metric").isin(*names) & (F.col("ts") >= start) & (F.col("ts") < end))
+def panel_timeseries(metrics: DataFrame, names: list[str], start: Column, end: Column, seconds: int, order: Column, device_id: str | None = None) -> DataFrame:
+    """The last value of each bucket in [start, end) for each metric and device (or of one device)."""
+    ranged = of_device(metrics, device_id).filter(F.col("metric").isin(*names) & (F.col("ts") >= start) & (F.col("ts") < end))
     return ranged.groupBy("metric", "device_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max_by("value", order).alias("value")).select("metric", "device_id", F.col("w.start").alias("bucket"), "value")
 
 

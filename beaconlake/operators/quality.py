@@ -28,10 +28,14 @@ def loss_ratio(drops: Column, packets: Column) -> Column:
     return F.when(packets > 0, drops / packets).otherwise(F.lit(0.0))
 
 
-def packet_quality(packets: DataFrame) -> DataFrame:
-    """Packets, gaps, missing packets and loss of each device."""
+def packet_quality(packets: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Packets, gaps, missing packets and loss of each device; with the decoded ``frames`` also ``crc_drops``, which the loss doesn't count."""
     sums = seq_gaps(packets).groupBy("device_id").agg(F.count("*").alias("packets"), F.sum("gap").cast("long").alias("seq_gaps"), F.sum("missing_packets").alias("missing_packets"))
-    return sums.withColumn("loss_ratio", loss_ratio(F.col("seq_gaps"), F.col("packets")))
+    rated = sums.withColumn("loss_ratio", loss_ratio(F.col("seq_gaps"), F.col("packets")))
+    if frames is None:
+        return rated
+    dropped = frames.groupBy("device_id").agg(F.count_if(F.col("status") == "crc").alias("crc_drops"))
+    return rated.join(dropped, "device_id", "left").withColumn("crc_drops", F.coalesce("crc_drops", F.lit(0)))
 
 
 def counter_unwrap(readings: DataFrame, value: str = "raw_ticks", modulus: int = COUNTER_MOD) -> DataFrame:
@@ -40,9 +44,17 @@ def counter_unwrap(readings: DataFrame, value: str = "raw_ticks", modulus: int =
     return readings.withColumn("elapsed", elapsed).withColumn("unwrapped", F.first(value).over(so_far()) + F.sum("elapsed").over(so_far()))
 
 
-def device_offline(packets: DataFrame, now: Column, timeout_seconds: int) -> DataFrame:
-    """``device_id, last_seen, offline``: silent for more than the timeout at ``now`` (strictly)."""
+def device_offline(packets: DataFrame, now: Column | DataFrame, timeout_seconds: int) -> DataFrame:
+    """``device_id, last_seen, offline``: silent for more than the timeout at ``now`` (strictly), a column or a table of one row with such a column."""
     last = packets.groupBy("device_id").agg(F.max("arrival_ts").alias("last_seen"))
+    if isinstance(now, DataFrame):
+        timed = last.crossJoin(F.broadcast(now.select("now")))
+        return device_state_at(timed, F.col("now"), timeout_seconds).drop("now")
+    return device_state_at(last, now, timeout_seconds)
+
+
+def device_state_at(last: DataFrame, now: Column, timeout_seconds: int) -> DataFrame:
+    """``offline`` for rows with ``last_seen``."""
     return last.withColumn("offline", (F.unix_micros(now) - F.unix_micros("last_seen")) > timeout_seconds * 1_000_000)
 
 

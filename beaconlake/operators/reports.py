@@ -59,6 +59,41 @@ def stack_risk(used: Column, total: Column) -> Column:
     return F.when(share > 90, "CRITICAL").when(share > 80, "HIGH").when(share > 70, "MEDIUM").when(share.isNotNull(), "LOW")
 
 
+def stack_growth(samples: DataFrame, ahead_seconds: float = 3600.0, min_samples: int = 10) -> DataFrame:
+    """``device_id, task_name, samples, predicted, overflow``: a parabola through a task's stack use (x seconds, used) and its value ahead of the last sample.
+
+    Times count from the task's mean in units of its spread, which keeps the power sums well conditioned. Tasks with too few samples, or fewer than three times, have
+    no prediction. ``overflow`` compares with the largest ``total``.
+    """
+    keys = ["device_id", "task_name"]
+    base = samples.groupBy(*keys).agg(F.avg("x").alias("_mid"), F.stddev_pop("x").alias("_unit"))
+    u, y = (F.col("x") - F.col("_mid")) / F.col("_unit"), F.col("used").cast("double")
+    powers = samples.join(base, keys).filter("_unit > 0").groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.count_distinct("x").alias("_times"), F.max("total").alias("_total"), F.max((F.col("x") - F.col("_mid") + ahead_seconds) / F.col("_unit")).alias("_u"),
+        *[F.sum(F.pow(u, k)).alias(f"_s{k}") for k in (1, 2, 3, 4)], *[F.sum(y * F.pow(u, k)).alias(f"_t{k}") for k in (0, 1, 2)],
+    )
+    n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("samples", "_s1", "_s2", "_s3", "_s4", "_t0", "_t1", "_t2"))
+
+    def determinant(rows) -> Column:
+        (a, b, c), (d, e, f), (g, h, i) = rows
+        return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+    whole = determinant([(n, s1, s2), (s1, s2, s3), (s2, s3, s4)])
+    parts = [determinant([(t0, s1, s2), (t1, s2, s3), (t2, s3, s4)]), determinant([(n, t0, s2), (s1, t1, s3), (s2, t2, s4)]), determinant([(n, s1, t0), (s1, s2, t1), (s2, s3, t2)])]
+    at = F.col("_u")
+    enough = (F.col("samples") >= min_samples) & (F.col("_times") >= 3)
+    predicted = F.when(enough, (parts[0] + parts[1] * at + parts[2] * at * at) / F.nullif(whole, F.lit(0.0)))
+    return powers.select(*keys, "samples", predicted.alias("predicted"), "_total").withColumn("overflow", F.col("predicted") > F.col("_total")).drop("_total")
+
+
+def latency(packets: DataFrame, ticks_per_second: int) -> DataFrame:
+    """``latency_us`` of each packet: arrival less device time, over the least such difference of its device, which stands for the clocks' offset."""
+    apart = F.unix_micros("arrival_ts") - F.expr(f"timestamp_ticks * 1000000 div {ticks_per_second}")
+    timed = packets.withColumn("_apart", apart)
+    least = timed.groupBy("device_id").agg(F.min("_apart").alias("_offset"))
+    return timed.join(least, "device_id").withColumn("latency_us", F.col("_apart") - F.col("_offset")).drop("_apart", "_offset")
+
+
 def zscore(samples: DataFrame, value: str, limit: float = 3.0) -> DataFrame:
     """``z`` and ``anomaly`` of each value against its device's mean and population deviation; 0 where that is 0."""
     base = samples.groupBy("device_id").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))

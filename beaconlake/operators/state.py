@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beaconlake.functions.frames import by_device, so_far, in_epoch
-from beaconlake.params import KEYFRAME_EVERY
+from beaconlake.params import KEYFRAME_EVERY, SYSTEM_TAG
 
 
 
@@ -37,6 +37,54 @@ def rebuild_task_state(packets: DataFrame) -> DataFrame:
     return delta_known_task(packets).withColumn("state_before", F.lag("state_d").over(by_task))
 
 
+def full_state(changes: DataFrame) -> DataFrame:
+    """``device_id, epoch, pkt_no, heap_free_bytes, heap_min_ever_bytes, cpu_utilization_pct`` after each packet that sets one of them.
+
+    ``changes`` has the columns of ``expand_payloads``; of a field that is set twice in a packet, the later one holds.
+    """
+    return _carried(changes.filter("scope = 'system'"), ["device_id", "epoch"], ["heap_free_bytes", "heap_min_ever_bytes", "cpu_utilization_pct"])
+
+
+def task_state(changes: DataFrame) -> DataFrame:
+    """``device_id, epoch, task_idx, pkt_no, state, priority, stack_hwm_words, runtime_ticks`` of a task after each packet that sets one of them."""
+    return _carried(changes.filter("scope = 'task'"), ["device_id", "epoch", "task_idx"], ["state", "priority", "stack_hwm_words", "runtime_ticks"])
+
+
+def _carried(changes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """A row a packet with the last value of every field: the fields of a packet come together first, then values are carried inside the epoch."""
+    given = [F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("place"))).alias(f) for f in fields]
+    packets = changes.groupBy(*keys, "pkt_no").agg(*given)
+    so_far = Window.partitionBy(*keys).orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
+    return packets.select(*keys, "pkt_no", *[F.last(f, ignorenulls=True).over(so_far).alias(f) for f in fields])
+
+
+def current_tasks(tasks: DataFrame, names: DataFrame, include_stale: bool = False) -> DataFrame:
+    """The last state of every task with its name: those of the device's last epoch or, with ``include_stale``, of all epochs by name.
+
+    ``tasks`` has the columns of ``task_state``, ``names`` those of ``task_names``. ``snapshot_id`` is the epoch.
+    """
+    named = tasks.join(names, ["device_id", "epoch", "task_idx"])
+    columns = ["pkt_no", "state", "priority", "stack_hwm_words", "runtime_ticks"]
+    if include_stale:
+        last = named.groupBy("device_id", "task_name").agg(F.max_by(F.struct("task_idx", *columns), F.struct("epoch", "pkt_no", "task_idx")).alias("s"))
+        return last.select("device_id", F.lit(0).cast("long").alias("snapshot_id"), "s.task_idx", "task_name", *[f"s.{c}" for c in columns])
+    last = named.groupBy("device_id", "epoch", "task_idx").agg(F.max_by(F.struct("task_name", *columns), "pkt_no").alias("s"))
+    newest = last.groupBy("device_id").agg(F.max("epoch").alias("epoch"))
+    return last.join(newest, ["device_id", "epoch"]).select("device_id", F.col("epoch").alias("snapshot_id"), "task_idx", "s.*")
+
+
+def heap_samples(packets: DataFrame, include_prebaseline: bool = False) -> DataFrame:
+    """``device_id, pkt_no, arrival_ts, heap_free_bytes`` after each packet: the samples of the leak analytics.
+
+    Packets before the first keyframe give no sample or, with ``include_prebaseline``, one of 0 bytes.
+    """
+    epochs = keyframe_epoch(packets)
+    carried = F.last("heap_d", ignorenulls=True).over(in_epoch())
+    heap = F.when(F.col("has_baseline"), carried).otherwise(F.lit(0)).cast("long")
+    samples = epochs.select("device_id", "pkt_no", "arrival_ts", heap.alias("heap_free_bytes"), "has_baseline")
+    return (samples if include_prebaseline else samples.filter("has_baseline")).drop("has_baseline")
+
+
 def latest_state(packets: DataFrame, columns: list[str]) -> DataFrame:
     """The last packet's columns of each device."""
     last = packets.groupBy("device_id").agg(F.max_by(F.struct("pkt_no", *columns), "pkt_no").alias("s"))
@@ -49,12 +97,12 @@ def device_get_or_create(wanted: DataFrame, states: DataFrame, defaults: dict[st
     return joined.select("device_id", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()], F.col("found").isNull().alias("created"))
 
 
-def state_transitions(packets: DataFrame) -> DataFrame:
-    """Runs of one state: ``run, state, first_pkt, last_pkt, packets`` of each device."""
-    before = F.lag("state").over(by_device())
-    starts = packets.withColumn("starts", (~F.col("state").eqNullSafe(before) | (F.col("pkt_no") == F.min("pkt_no").over(Window.partitionBy("device_id")))).cast("int"))
-    runs = starts.withColumn("run", F.sum("starts").over(so_far()))
-    return runs.groupBy("device_id", "run").agg(F.first("state").alias("state"), F.min("pkt_no").alias("first_pkt"), F.max("pkt_no").alias("last_pkt"), F.count("*").alias("packets"))
+def state_transitions(packets: DataFrame, *keys: str) -> DataFrame:
+    """Runs of one state: ``run, state, first_pkt, last_pkt, packets`` of each device (and of further keys)."""
+    order = Window.partitionBy("device_id", *keys).orderBy("pkt_no")
+    starts = packets.withColumn("starts", (~F.col("state").eqNullSafe(F.lag("state").over(order)) | F.lag("pkt_no").over(order).isNull()).cast("int"))
+    runs = starts.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("device_id", *keys, "run").agg(F.first("state").alias("state"), F.min("pkt_no").alias("first_pkt"), F.max("pkt_no").alias("last_pkt"), F.count("*").alias("packets"))
 
 
 def change_capture(snapshots: DataFrame, fields: list[str]) -> DataFrame:
@@ -65,6 +113,26 @@ def change_capture(snapshots: DataFrame, fields: list[str]) -> DataFrame:
     return marked.select("device_id", "pkt_no", F.explode(F.array_compact(each)).alias("c")).select("device_id", "pkt_no", "c.field", "c.value")
 
 
+def task_timeline(tasks: DataFrame) -> DataFrame:
+    """``device_id, task_idx, first_pkt, last_pkt, packets``: the intervals in which a task was running (state 0)."""
+    return state_transitions(tasks, "task_idx").filter("state = 0").drop("run", "state")
+
+
+def task_change_capture(tasks: DataFrame, fields: tuple[str, ...] = ("state", "priority", "stack_hwm_words", "runtime_ticks")) -> DataFrame:
+    """``device_id, pkt_no, place, task_idx, field, value``: the task fields that differ from the task's snapshot before; all in its first.
+
+    ``place`` orders a packet's changes as they are sent: by task, then in the order of ``fields``. Tasks over 14 have no tag of their own and are left out.
+    """
+    order = Window.partitionBy("device_id", "task_idx").orderBy("pkt_no")
+    first = F.lag("pkt_no").over(order).isNull()
+    each = [
+        F.when(first | ~F.col(f).eqNullSafe(F.lag(f).over(order)), F.struct((F.col("task_idx") * len(fields) + i).cast("int").alias("place"), F.lit(f).alias("field"), F.col(f).cast("long").alias("value")))
+        for i, f in enumerate(fields)
+    ]
+    marked = tasks.filter(F.col("task_idx") < SYSTEM_TAG).select("device_id", "pkt_no", "task_idx", F.array(*each).alias("changes"))
+    return marked.select("device_id", "pkt_no", "task_idx", F.explode(F.array_compact("changes")).alias("c")).select("device_id", "pkt_no", "c.place", "task_idx", "c.field", "c.value")
+
+
 def snapshot_policy(snapshots: DataFrame, topology: str, every: int = KEYFRAME_EVERY) -> DataFrame:
     """``reason`` to store a full snapshot: first, forced (every n-th), topology (count or names changed); else null."""
     before = F.lag(topology).over(by_device())

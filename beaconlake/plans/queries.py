@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from beaconlake.functions.frames import so_far
 from beaconlake.operators import metrics, panels, quality, reports, state, trend
+from beaconlake.params import METRICS as METRIC_FAMILIES
 from beaconlake.params import OFFLINE_SECONDS, PROGRESS_SECONDS, PUSH_SECONDS, SCRAPE_SECONDS, OomParams
 from beaconlake.plans import views as v
 from beaconlake.sources import frames, text
@@ -130,8 +131,9 @@ def device_get_or_create(spark, sf_dir):
 )
 def device_offline(spark, sf_dir):
     packets = v.telemetry(spark, sf_dir)
-    now = packets.agg(F.max("arrival_ts")).first()[0]
-    found = quality.device_offline(packets, F.lit(now).cast("timestamp"), OFFLINE_SECONDS)
+    # the clock is one row, so the join sends that row to every task
+    clock = v.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
+    found = quality.device_offline(packets, clock, OFFLINE_SECONDS)
     return found.select("device_id", F.unix_micros("last_seen").alias("last_seen_us"), "offline")
 
 
@@ -411,14 +413,20 @@ def last_not_null(spark, sf_dir):
     f"""WITH {PACKET_METRICS} SELECT metric, device_id, epoch_us(ts) // 3600000000 * 3600 AS bucket_s, arg_max(value, ts) AS value FROM packet_metrics
     WHERE metric IN ('rtos_heap_free_bytes', 'rtos_heap_min_ever_bytes') AND ts >= (SELECT max(ts) - INTERVAL 5 DAY FROM packet_metrics) AND ts < (SELECT max(ts) FROM packet_metrics) GROUP BY ALL"""
 )
-def panel_timeseries(spark, sf_dir):
+def panel_timeseries(spark, sf_dir, device_id=None):
     packets = packet_metrics(spark, sf_dir)
-    end = v.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    until = F.lit(end).cast("timestamp")
-    found = panels.panel_timeseries(packets, ["rtos_heap_free_bytes", "rtos_heap_min_ever_bytes"], until - F.expr("INTERVAL 5 DAYS"), until, 3600, F.col("ts"))
+    clock = v.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("until"))
+    timed, until = packets.crossJoin(F.broadcast(clock)), F.col("until")
+    found = panels.panel_timeseries(timed, ["rtos_heap_free_bytes", "rtos_heap_min_ever_bytes"], until - F.expr("INTERVAL 5 DAYS"), until, 3600, F.col("ts"), device_id)
     return found.select("metric", "device_id", F.unix_seconds("bucket").alias("bucket_s"), "value")
 
 
+@query(ORACLE_SQL["panel_timeseries"].replace("WHERE metric IN", "WHERE device_id = 'dev-7' AND metric IN"))
+def panel_device(spark, sf_dir):
+    """The panel's series of one device."""
+    return panel_timeseries(spark, sf_dir, "dev-7")
+
+
 def _bucketed(seconds: int) -> str:
     return f"WITH {v.TELEMETRY} SELECT device_id, epoch_us(arrival_ts) // {seconds * 1000000} * {seconds} AS bucket_s, arg_max(heap_free_bytes, pkt_no) AS heap_free_bytes FROM telemetry GROUP BY ALL"
 
@@ -539,6 +547,25 @@ def zscore(spark, sf_dir):
 # ---------------------------------------------------------------- text and binary
 
 
+_HELP = ", ".join(f"('{name}', '{text}')" for name, _, _, _, text in METRIC_FAMILIES)
+
+
+@query(
+    f"""WITH {METRICS}, help(metric, description) AS (VALUES {_HELP}), lines AS (
+      SELECT device_id, metric, 2 AS part, metric || '{{' || labels || '}} ' AS head, value FROM metrics_long
+      UNION ALL SELECT DISTINCT device_id, metric, 0, '# HELP ' || metric || ' ' || description, NULL FROM metrics_long JOIN help USING (metric)
+      UNION ALL SELECT DISTINCT device_id, metric, 1, '# TYPE ' || metric || ' gauge', NULL FROM metrics_long)
+    SELECT device_id, metric, CAST(row_number() OVER (PARTITION BY device_id ORDER BY metric, part, head) AS INTEGER) AS line_no, head, round(value, 4) AS value FROM lines"""
+)
+def exposition_lines(spark, sf_dir):
+    """The lines of metric text, with the number of a sample apart from what stands before it."""
+    lines = render_exposition(spark, sf_dir)
+    sample = ~F.col("line").startswith("#")
+    number = F.regexp_extract("line", r"(\S+)$", 1)
+    head = F.when(sample, F.expr("substring(line, 1, length(line) - length(regexp_extract(line, '(\\\\S+)$', 1)))")).otherwise(F.col("line"))
+    return lines.select("device_id", "metric", "line_no", head.alias("head"), F.when(sample, F.round(number.cast("double"), 4)).alias("value"))
+
+
 @query()
 def render_exposition(spark, sf_dir):
     return metrics.render_exposition(metrics_long(spark, sf_dir))
@@ -640,3 +667,201 @@ def expand_payloads(spark, sf_dir):
 def strict_delta(spark, sf_dir):
     packets = frames.packets_of(frames.ingest_frames(chunks(spark, sf_dir, repeat=True)))
     return frames.strict_delta(frames.expand_payloads(packets)).select("device_id", "pkt_no", "task_idx", "field", "value", "problem")
+
+
+# ---------------------------------------------------------------- state from payloads
+
+
+def decoded_changes(spark, sf_dir):
+    """Packets decoded from chunks, and what their payloads set."""
+    packets = frames.packets_of(frames.ingest_frames(chunks(spark, sf_dir)))
+    return packets, frames.expand_payloads(packets)
+
+
+SET = ACCEPTED + """, system_rows AS (
+  SELECT device_id, epoch, pkt_no, last_value(heap_d % 4294967296 IGNORE NULLS) OVER w AS heap_free_bytes, last_value(CASE WHEN k THEN heap_d END IGNORE NULLS) OVER w AS heap_min_ever_bytes,
+    last_value(cpu_d IGNORE NULLS) OVER w AS cpu_utilization_pct, heap_d IS NOT NULL OR cpu_d IS NOT NULL AS given FROM kept WINDOW w AS (PARTITION BY device_id, epoch ORDER BY pkt_no ROWS UNBOUNDED PRECEDING)
+), task_rows AS (
+  SELECT device_id, epoch, task_idx_d AS task_idx, pkt_no, state_d AS state FROM kept WHERE NOT k AND task_idx_d < 4
+  UNION ALL SELECT device_id, epoch, i, pkt_no, state FROM kept, range(4) t(i) WHERE k
+)"""
+
+
+@query(f"WITH {SET} SELECT device_id, epoch, pkt_no, heap_free_bytes, heap_min_ever_bytes, cpu_utilization_pct FROM system_rows WHERE given")
+def rebuild_full_state(spark, sf_dir):
+    """The system fields after each packet that sets one, from the packets' bytes."""
+    return state.full_state(decoded_changes(spark, sf_dir)[1])
+
+
+@query(f"WITH {SET} SELECT device_id, epoch, task_idx, pkt_no, state, task_idx AS priority, task_idx * 100 AS stack_hwm_words, task_idx * 1000 AS runtime_ticks FROM task_rows")
+def rebuild_tasks(spark, sf_dir):
+    """Every task's fields after each packet that sets one, from the packets' bytes."""
+    return state.task_state(decoded_changes(spark, sf_dir)[1])
+
+
+_CURRENT = f"""WITH {SET}, newest AS (SELECT device_id, max(epoch) AS epoch FROM task_rows GROUP BY device_id)
+  SELECT device_id, epoch, task_idx, max(pkt_no) AS pkt_no, arg_max(state, pkt_no) AS state FROM task_rows JOIN newest USING (device_id, epoch) GROUP BY ALL"""
+
+
+@query(f"SELECT device_id, task_idx, 'task-' || task_idx AS task_name, pkt_no, state, epoch AS snapshot_id FROM ({_CURRENT})")
+def current_tasks(spark, sf_dir):
+    packets, changes = decoded_changes(spark, sf_dir)
+    found = state.current_tasks(state.task_state(changes), frames.task_names(packets))
+    return found.select("device_id", "task_idx", "task_name", "pkt_no", "state", "snapshot_id")
+
+
+@query(f"""WITH {SET} SELECT device_id, task_idx, 'task-' || task_idx AS task_name, arg_max(pkt_no, epoch * 1000000000 + pkt_no) AS pkt_no, arg_max(state, epoch * 1000000000 + pkt_no) AS state FROM task_rows GROUP BY device_id, task_idx""")
+def stale_tasks(spark, sf_dir):
+    """The last state of every task that was ever seen."""
+    packets, changes = decoded_changes(spark, sf_dir)
+    found = state.current_tasks(state.task_state(changes), frames.task_names(packets), include_stale=True)
+    return found.select("device_id", "task_idx", "task_name", "pkt_no", "state")
+
+
+@query(
+    f"""WITH cur AS ({_CURRENT}), named AS (SELECT *, 'device_id="' || device_id || '"' AS d, ',task_name="task-' || task_idx || '"' AS t FROM cur), labels(state_id, state_label) AS (VALUES (0, 'running'), (1, 'ready'), (2, 'blocked'), (3, 'suspended'), (4, 'deleted'))
+    SELECT 'rtos_task_stack_watermark_bytes' AS metric, device_id, d || t AS labels, task_idx * 400.0 AS value FROM named
+    UNION ALL SELECT 'rtos_task_cpu_ratio', device_id, d || t, round(task_idx / 6.0, 6) FROM named
+    UNION ALL SELECT 'rtos_task_state', device_id, d || ',state="' || state_label || '"' || t, CASE WHEN state = state_id THEN 1.0 ELSE 0.0 END FROM named, labels"""
+)
+def payload_task_metrics(spark, sf_dir):
+    """The task families of the metric table, from bytes to labels."""
+    packets, changes = decoded_changes(spark, sf_dir)
+    found = metrics.task_metrics(state.current_tasks(state.task_state(changes), frames.task_names(packets)))
+    return _text_labels(found).select("metric", "device_id", "labels", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH {ACCEPTED}, gapped AS (SELECT device_id, CASE WHEN (sequence_num - lag(sequence_num) OVER (PARTITION BY device_id ORDER BY own_pkt) - 1 + 2 * 65536) % 65536 > 0 THEN 1 ELSE 0 END AS gap FROM accepted)
+    SELECT device_id, packets, seq_gaps, crc_drops FROM (SELECT device_id, count(*) AS packets, CAST(sum(gap) AS BIGINT) AS seq_gaps FROM gapped GROUP BY device_id)
+      JOIN (SELECT device_id, count(*) FILTER (event_id % 97 = 0) AS crc_drops FROM changes WHERE state IS NOT NULL GROUP BY device_id) USING (device_id)"""
+)
+def frame_packet_quality(spark, sf_dir):
+    """Packets, gaps and failed checksums of each device, from its bytes."""
+    decoded = frames.ingest_frames(chunks(spark, sf_dir))
+    return quality.packet_quality(frames.packets_of(decoded), decoded).select("device_id", "packets", "seq_gaps", "crc_drops")
+
+
+@query(
+    f"""WITH {v.CHANGES} SELECT device_id, pkt_no, CASE WHEN epoch = 0 THEN 0 ELSE last_value(heap_d IGNORE NULLS) OVER (PARTITION BY device_id, epoch ORDER BY pkt_no ROWS UNBOUNDED PRECEDING) END AS heap_free_bytes FROM epochs"""
+)
+def heap_samples_prebaseline(spark, sf_dir):
+    """The samples of the leak analytics with those before the first keyframe."""
+    timed = v.changes(spark, sf_dir).withColumn("arrival_ts", F.lit(None).cast("timestamp"))
+    return state.heap_samples(timed, include_prebaseline=True).select("device_id", "pkt_no", "heap_free_bytes")
+
+
+# ---------------------------------------------------------------- tasks over time
+
+
+def task_packets(spark, sf_dir):
+    """The tasks view with the snapshots of a device as its packets."""
+    return v.tasks(spark, sf_dir).withColumn("pkt_no", F.col("snapshot_id"))
+
+
+_FIELDS = ["state", "priority", "stack_hwm_words", "runtime_ticks"]
+
+
+@query(
+    f"""WITH {v.TASKS}, wide AS (SELECT *, lag(snapshot_id) OVER w IS NULL AS first, {", ".join(f"lag({f}) OVER w AS {f}_0" for f in _FIELDS)} FROM tasks WHERE task_idx < 15 WINDOW w AS (PARTITION BY device_id, task_idx ORDER BY snapshot_id))
+    """ + " UNION ALL ".join(f"SELECT device_id, snapshot_id AS pkt_no, task_idx * 4 + {i} AS place, task_idx, '{f}' AS field, CAST({f} AS BIGINT) AS value FROM wide WHERE first OR {f} IS DISTINCT FROM {f}_0" for i, f in enumerate(_FIELDS))
+)
+def task_change_capture(spark, sf_dir):
+    return state.task_change_capture(task_packets(spark, sf_dir))
+
+
+@query(
+    f"""WITH {v.TASKS}, marked AS (SELECT *, CASE WHEN lag(snapshot_id) OVER w IS NULL OR state IS DISTINCT FROM lag(state) OVER w THEN 1 ELSE 0 END AS starts FROM tasks WINDOW w AS (PARTITION BY device_id, task_idx ORDER BY snapshot_id)),
+    runs AS (SELECT *, sum(starts) OVER (PARTITION BY device_id, task_idx ORDER BY snapshot_id) AS run FROM marked)
+    SELECT device_id, task_idx, min(snapshot_id) AS first_pkt, max(snapshot_id) AS last_pkt, count(*) AS packets FROM runs WHERE state = 0 GROUP BY device_id, task_idx, run"""
+)
+def task_timeline(spark, sf_dir):
+    return state.task_timeline(task_packets(spark, sf_dir))
+
+
+@query(
+    f"""WITH {v.TASKS}, stepped AS (SELECT *, (runtime_ticks - lag(runtime_ticks) OVER (PARTITION BY device_id, task_idx ORDER BY snapshot_id) + 4294967296) % 4294967296 AS step FROM tasks)
+    SELECT device_id, snapshot_id, task_idx, round(step / nullif(sum(step) OVER (PARTITION BY device_id, snapshot_id), 0), 9) AS cpu_share FROM stepped"""
+)
+def interval_cpu_share(spark, sf_dir):
+    return metrics.interval_cpu_share(v.tasks(spark, sf_dir)).select("device_id", "snapshot_id", "task_idx", F.round("cpu_share", 9).alias("cpu_share"))
+
+
+HEAT_SECONDS = 10_000
+
+
+@query(f"WITH {SHARED} SELECT device_id, task_label, snapshot_id // {HEAT_SECONDS} * {HEAT_SECONDS} AS bucket_s, round(avg(cpu_share), 9) AS cpu_share FROM named GROUP BY ALL")
+def cpu_heatmap(spark, sf_dir):
+    shares = metrics.named_tasks(v.tasks(spark, sf_dir)).withColumn("ts", F.timestamp_seconds("snapshot_id"))
+    return metrics.cpu_heatmap(shares, HEAT_SECONDS).select("device_id", "task_label", F.unix_seconds("bucket").alias("bucket_s"), F.round("cpu_share", 9).alias("cpu_share"))
+
+
+@query(
+    f"""WITH {v.TASKS}, base AS (SELECT device_id, task_name, avg(snapshot_id) AS mid, stddev_pop(snapshot_id) AS unit FROM tasks GROUP BY ALL),
+    scaled AS (SELECT device_id, task_name, snapshot_id, (snapshot_id - mid) / unit AS u, CAST(stack_hwm_words AS DOUBLE) AS y, (snapshot_id - mid + 3600) / unit AS ahead FROM tasks JOIN base USING (device_id, task_name) WHERE unit > 0),
+    sums AS (SELECT device_id, task_name, count(*) AS samples, count(DISTINCT snapshot_id) AS times, max(ahead) AS a, CAST(count(*) AS DOUBLE) AS n, sum(u) AS s1, sum(u*u) AS s2, sum(u*u*u) AS s3, sum(u*u*u*u) AS s4, sum(y) AS t0, sum(y*u) AS t1, sum(y*u*u) AS t2 FROM scaled GROUP BY ALL),
+    solved AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2) AS d, t0*(s2*s4-s3*s3) - s1*(t1*s4-s3*t2) + s2*(t1*s3-s2*t2) AS d0, n*(t1*s4-s3*t2) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2) AS d1, n*(s2*t2-t1*s3) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2) AS d2 FROM sums)
+    SELECT device_id, task_name, samples, round(CASE WHEN samples >= 10 AND times >= 3 THEN (d0 + d1*a + d2*a*a) / nullif(d, 0) END, 3) AS predicted, CASE WHEN samples >= 10 AND times >= 3 THEN (d0 + d1*a + d2*a*a) / nullif(d, 0) END > 50 AS overflow FROM solved"""
+)
+def stack_growth(spark, sf_dir):
+    rows = v.tasks(spark, sf_dir).select("device_id", "task_name", F.col("snapshot_id").cast("double").alias("x"), F.col("stack_hwm_words").alias("used"), F.lit(50).alias("total"))
+    return reports.stack_growth(rows).withColumn("predicted", F.round("predicted", 3))
+
+
+@query(f"WITH {T} SELECT device_id, pkt_no, n >= 60 AND slope < -0.01 AND r2 > 0.8 AS leak, round(CASE WHEN n >= 60 AND slope < -0.01 AND r2 > 0.8 THEN heap_free_bytes / abs(slope) / 3600 END, 4) AS hours FROM fitted")
+def leak_strict(spark, sf_dir):
+    found = trend.leak_strict(v.telemetry(spark, sf_dir), P, max_slope=-0.01)
+    return found.select("device_id", "pkt_no", "leak", F.round("hours", 4).alias("hours"))
+
+
+@query(
+    f"""WITH {v.TELEMETRY}, apart AS (SELECT device_id, pkt_no, epoch_us(arrival_ts) - event_id * 1000000 // 1000 AS a FROM telemetry)
+    SELECT device_id, pkt_no, a - min(a) OVER (PARTITION BY device_id) AS latency_us FROM apart"""
+)
+def latency(spark, sf_dir):
+    """Arrival over the device's own clock of a thousand ticks a second."""
+    packets = v.telemetry(spark, sf_dir).withColumn("timestamp_ticks", F.col("event_id"))
+    return reports.latency(packets, 1000).select("device_id", "pkt_no", "latency_us")
+
+
+# ---------------------------------------------------------------- evidence texts
+
+
+@query(f"WITH {v.CYCLES}, b AS (SELECT label, (n - 1) // 100 AS block, {_STATS} FROM cycles GROUP BY ALL) SELECT label || '-' || block AS file, label, min_cycles, max_cycles, mean_cycles, samples, 'MEASURE' AS kind FROM b")
+def read_profile_lines(spark, sf_dir):
+    """Block statistics printed into captures among other output, and read from them."""
+    blocks = reports.profile_blocks(v.cycles(spark, sf_dir))
+    line = F.format_string("\x02noise[MEASURE] %s min=%d max=%d mean=%d cycles samples=%d\r\nrest", "label", "min_cycles", "max_cycles", "mean_cycles", "samples")
+    texts = blocks.select(F.concat("label", F.lit("-"), F.col("block").cast("string")).alias("file"), line.alias("text"))
+    return text.read_profile_lines(texts).select("file", "label", "min_cycles", "max_cycles", "mean_cycles", "samples", "kind")
+
+
+_PUSHED = ORACLE_SQL["otlp_export"]
+
+
+@query(_PUSHED.replace("SELECT otel_name AS name, unit, device_id, epoch_us(ts) //", "SELECT otel_name AS name, unit, device_id, max(epoch_us(ts)) AS ts_us, epoch_us(ts) //").replace("SELECT otel_name", "SELECT otel_name"))
+def read_otlp_dump(spark, sf_dir):
+    """Pushed values as a collector prints them, a text a push, and read from that."""
+    pushed = metrics.otlp_export(packet_metrics(spark, sf_dir).filter("value is not null"), PUSH_SECONDS)
+    dump = F.concat(
+        F.lit("Metric #0\nDescriptor:\n     -> Name: "), "name", F.lit("\n     -> Unit: "), "unit", F.lit("\n     -> DataType: Gauge\nNumberDataPoints #0\nData point attributes:\n     -> device.id: Str("),
+        F.col("attrs")["device_id"], F.lit(")\nTimestamp: "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" +0000 UTC\nValue: "), F.col("value").cast("string"), F.lit("\n"),
+    )
+    read = text.read_otlp_dump(pushed.select(dump.alias("text")))
+    stamp = F.unix_micros("ts")
+    return read.select("name", "unit", F.col("attrs")["device.id"].alias("device_id"), stamp.alias("ts_us"), F.expr(f"unix_micros(ts) div {PUSH_SECONDS * 1000000} * {PUSH_SECONDS}").alias("push_s"), F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {v.TELEMETRY} SELECT device_id, epoch_us(date_trunc('second', arrival_ts)) // 1000000 AS ts_s, CAST(heap_free_bytes AS DOUBLE) AS value FROM telemetry")
+def read_soak_summary(spark, sf_dir):
+    """Samples as sections of a soak summary, and read from it."""
+    section = F.concat(F.lit("["), F.date_format("arrival_ts", "yyyy-MM-dd_HH-mm-ss"), F.lit(']\nrtos_heap_free_bytes{device_id="'), "device_id", F.lit('"} '), F.col("heap_free_bytes").cast("string"), F.lit("\n"))
+    read = text.read_soak_summary(v.telemetry(spark, sf_dir).select(section.alias("text")))
+    return read.select(F.col("attrs")["device_id"].alias("device_id"), F.unix_seconds("ts").alias("ts_s"), "value")
+
+
+@query("SELECT 'c' || c_custkey AS file, k AS key, CASE k WHEN 'Board' THEN c_name ELSE c_mktsegment || ': ' || c_nationkey END AS value FROM customer, (VALUES ('Board'), ('Notes')) t(k)")
+def read_soak_metadata(spark, sf_dir):
+    body = F.concat(F.lit("Run notes\nBoard: "), "c_name", F.lit("\nNotes: "), "c_mktsegment", F.lit(": "), F.col("c_nationkey").cast("string"))
+    texts = v.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("file"), body.alias("text"))
+    return text.read_soak_metadata(texts)

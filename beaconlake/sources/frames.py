@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from beaconlake.functions.wire import byte_values, crc16, let, number_at, to_little_endian
 from beaconlake.operators.state import keyframe_epoch
-from beaconlake.params import MAX_TASKS
+from beaconlake.params import MAX_TASKS, SYSTEM_TAG
 from beaconlake.session import ship_package
 
 SYNC, VERSION = b"\xaa\x55", 1
@@ -27,7 +27,6 @@ DELTA, KEYFRAME, DEVICE_INFO = 1, 2, 3
 HEADER, CRC = struct.Struct("<BBHIH"), struct.Struct("<H")
 #: Delta field to (name, bytes); 1 to 4 belong to tasks, 5 to 7 to the system.
 FIELDS = {1: ("state", 1), 2: ("priority", 1), 3: ("stack_hwm_words", 2), 4: ("runtime_ticks", 4), 5: ("heap_free_bytes", 4), 6: ("heap_min_ever_bytes", 4), 7: ("cpu_utilization_pct", 1)}
-SYSTEM_TAG = 15
 
 FRAMES = "device_id string, capture_id string, chunk_no long, arrival_ts timestamp, frame_no long, status string, packet_type int, sequence_num int, timestamp_ticks long, payload binary"
 
@@ -222,6 +221,13 @@ def expand_payloads(packets: DataFrame) -> DataFrame:
     return out.select("device_id", "epoch", "pkt_no", "place", F.when(F.col("e.task_idx") == SYSTEM_TAG, "system").otherwise("task").alias("scope"), "e.task_idx", name_of[F.col("e.field")].alias("field"), "e.value")
 
 
+def task_names(packets: DataFrame) -> DataFrame:
+    """``device_id, epoch, task_idx, task_name`` of the tasks in every valid keyframe."""
+    read = packets.withColumn("keyframe", F.when(F.col("packet_type") == KEYFRAME, parse_keyframe(F.col("payload"))))
+    epochs = keyframe_epoch(read.withColumn("is_valid_keyframe", F.col("keyframe").isNotNull())).filter("is_valid_keyframe")
+    return epochs.select("device_id", "epoch", F.posexplode("keyframe.tasks").alias("task_idx", "t")).select("device_id", "epoch", "task_idx", F.col("t.name").alias("task_name"))
+
+
 def strict_delta(changes: DataFrame) -> DataFrame:
     """Field changes that break the wire contract: a task field on the system tag or the reverse, or a key set twice in a packet."""
     tasks_only = [name for number, (name, _) in FIELDS.items() if number < 5]

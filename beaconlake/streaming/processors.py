@@ -1,26 +1,31 @@
 """Stateful streams: incremental decoding, device state, and leak analytics, each keyed by device.
 
 Rows of a device are taken in the order of their number within each micro-batch; a row whose number isn't above the last one is late and goes out
-marked so, without a change of state. State is bounded: one unfinished frame, one state record, or ``window_size`` samples a device. The RocksDB state store is
-needed (``use_rocksdb``).
+marked so (``late``, or the status ``late`` of a chunk), without a change of state. State is bounded: one unfinished frame, one state record and at most 15 tasks,
+or ``window_size`` samples a device. The RocksDB state store is needed (``use_rocksdb``).
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from beaconlake.params import SEQ_MOD, OomParams
+from beaconlake.params import OFFLINE_SECONDS, SEQ_MOD, SYSTEM_TAG, OomParams
 from beaconlake.session import ship_package
-from beaconlake.sources.frames import scan
+from beaconlake.sources.frames import DELTA, FIELDS, KEYFRAME, parse_keyframe, scan
 
 DECODED = "device_id string, chunk_no long, status string, packet_type int, sequence_num int, timestamp_ticks long, payload binary"
 STATES = "device_id string, pkt_no long, late boolean, epoch long, heap_free_bytes long, cpu_utilization_pct long, packet_count long, drop_count long"
-PROJECTIONS = "device_id string, pkt_no long, n long, slope double, r2 double, projection double"
+FIELD_NAMES = [name for name, _ in FIELDS.values()]
+FULL = "device_id string, pkt_no long, late boolean, epoch long, task_idx int, task_name string, " + ", ".join(f"{name} long" for name in FIELD_NAMES)
+PROJECTIONS = "device_id string, pkt_no long, late boolean, n long, slope double, r2 double, projection double"
+SILENT = "device_id string, last_seen timestamp, offline boolean"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -36,15 +41,19 @@ class FrameDecoder(StatefulProcessor):
     """Frames from chunks that cut them anywhere; the unfinished frame waits in the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "bytes binary")
+        self.rest = handle.getValueState("rest", "bytes binary, chunk_no long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rest = bytes(self.rest.get()[0]) if self.rest.exists() else b""
-        out = []
+        rest, last = self.rest.get() if self.rest.exists() else (b"", None)
+        rest, out = bytes(rest), []
         for r in _in_order(rows, "chunk_no").itertuples(index=False):
+            if last is not None and r.chunk_no <= last:
+                out.append((key[0], r.chunk_no, "late", None, None, None, r.bytes))
+                continue
+            last = int(r.chunk_no)
             found, rest = scan(rest + bytes(r.bytes or b""))
             out += [(key[0], r.chunk_no, f.status, f.packet_type, f.sequence_num, f.timestamp_ticks, f.payload) for f in found]
-        self.rest.update((rest,))
+        self.rest.update((rest, last))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in DECODED.split(", ")])
         yield frame.astype({"packet_type": "Int32", "sequence_num": "Int32", "timestamp_ticks": "Int64"})
 
@@ -81,6 +90,102 @@ class StateTracker(StatefulProcessor):
         pass
 
 
+class FullStateTracker(StatefulProcessor):
+    """The system fields and every task's after each packet that sets them, from keyframes and deltas.
+
+    Input has ``keyframe`` (parsed, null where there is none or it is malformed) and ``payload``. A task goes out with its name and fields, the system as ``task_idx`` 15.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.system = handle.getValueState("system", "pkt_no long, epoch long, heap_free_bytes long, heap_min_ever_bytes long, cpu_utilization_pct long")
+        self.tasks = handle.getMapState("tasks", "task_idx int", "task_name string, state long, priority long, stack_hwm_words long, runtime_ticks long")
+
+    @staticmethod
+    def entries(payload: bytes, known) -> Iterator[tuple[int, str, int]]:
+        """(task, field, value) of a delta; what it says of unknown tasks is skipped by the field's width, and elsewhere an unknown field or a cut-off value ends it."""
+        at = 0
+        while at < len(payload):
+            task, (name, width) = payload[at] >> 4, FIELDS.get(payload[at] & 15, ("", 0))
+            if (name in FIELD_NAMES[4:]) != (task == SYSTEM_TAG):
+                width = 0
+            at += 1
+            if task == SYSTEM_TAG or task in known:
+                if not width or at + width > len(payload):
+                    return
+                yield task, name, int.from_bytes(payload[at : at + width], "little")
+            at += width
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, epoch, *values = self.system.get() if self.system.exists() else (None, 0, None, None, None)
+        system = dict(zip(FIELD_NAMES[4:], values, strict=True))
+        tasks = {k[0]: dict(zip(["task_name", *FIELD_NAMES[:4]], v, strict=True)) for k, v in self.tasks.iterator()}
+        out = []
+        for r in _in_order(rows, "pkt_no").itertuples(index=False):
+            if last is not None and r.pkt_no <= last:
+                out.append({"pkt_no": r.pkt_no, "late": True, "epoch": epoch})
+                continue
+            last, changed = int(r.pkt_no), []
+            if r.keyframe is not None:
+                epoch, system = epoch + 1, {name: int(r.keyframe[name]) for name in FIELD_NAMES[4:]}
+                tasks = {i: {"task_name": t["name"], **{name: int(t[name]) for name in FIELD_NAMES[:4]}} for i, t in enumerate(r.keyframe["tasks"])}
+                changed = [SYSTEM_TAG, *tasks]
+            elif r.packet_type == DELTA and epoch:
+                for task, name, value in self.entries(bytes(r.payload or b""), tasks):
+                    (system if task == SYSTEM_TAG else tasks[task])[name] = value
+                    changed.append(task)
+            out += [{"pkt_no": last, "late": False, "epoch": epoch, "task_idx": i, **(system if i == SYSTEM_TAG else tasks[i])} for i in dict.fromkeys(changed)]
+        self.system.update((last, epoch, *system.values()))
+        self.tasks.clear()
+        for i, t in tasks.items():
+            self.tasks.updateValue((i,), tuple(t.values()))
+        frame = pd.DataFrame([{"device_id": key[0], **x} for x in out], columns=[c.split()[0] for c in FULL.split(", ")])
+        yield frame.astype({"task_idx": "Int32", "task_name": object, **dict.fromkeys(FIELD_NAMES, "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+class OfflineTracker(StatefulProcessor):
+    """A row when a device appears, and one when it was silent for longer than the timeout; its state is removed then.
+
+    The silence ends with the watermark's timer or with the device's next packet, whichever comes first.
+    """
+
+    def __init__(self, timeout_seconds: int):
+        self.timeout = timeout_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.seen.get()[0] if self.seen.exists() else None
+        out = []
+        for t in sorted({int(t.timestamp() * 1000) for part in rows for t in part["arrival_ts"]}):
+            if last is not None and t - last > self.timeout:
+                out.append(self._row(key, last, True))
+            if last is None or t - last > self.timeout:
+                out.append(self._row(key, t, False))
+            last = t if last is None else max(last, t)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.timeout + 1)
+        self.seen.update((last,))
+        yield pd.concat(out) if out else self._row(key, last, False).iloc[:0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.seen.get()[0]
+        self.seen.clear()
+        yield self._row(key, last, True)
+
+    @staticmethod
+    def _row(key, last: int, offline: bool) -> pd.DataFrame:
+        return pd.DataFrame({"device_id": [key[0]], "last_seen": [pd.Timestamp(last, unit="ms")], "offline": [offline]})
+
+    def close(self) -> None:
+        pass
+
+
 class LeakTracker(StatefulProcessor):
     """The projection at every sample, over the last ``window_size`` samples kept in a list state."""
 
@@ -89,16 +194,23 @@ class LeakTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.samples = handle.getListState("samples", "x double, heap long")
+        self.last = handle.getValueState("last", "pkt_no long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        p = self.params
-        kept = list(self.samples.get()) if self.samples.exists() else []
+        kept = deque(self.samples.get() if self.samples.exists() else [], self.params.window_size)
+        last = self.last.get()[0] if self.last.exists() else None
         out = []
         for r in _in_order(rows, "pkt_no").itertuples(index=False):
-            kept = [*kept[1 - p.window_size :], (r.arrival_ts.timestamp(), int(r.heap_free_bytes))] if len(kept) >= p.window_size else [*kept, (r.arrival_ts.timestamp(), int(r.heap_free_bytes))]
-            out.append((key[0], int(r.pkt_no), len(kept), *self.project(np.array([k[0] for k in kept]), np.array([k[1] for k in kept], float))))
-        self.samples.put(kept)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PROJECTIONS.split(", ")])
+            if last is not None and r.pkt_no <= last:
+                out.append((key[0], int(r.pkt_no), True, None, None, None, None))
+                continue
+            last = int(r.pkt_no)
+            kept.append((r.arrival_ts.timestamp(), int(r.heap_free_bytes)))
+            window = np.array(kept)
+            out.append((key[0], last, False, len(kept), *self.project(window[:, 0], window[:, 1])))
+        self.samples.put(list(kept))
+        self.last.update((last,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PROJECTIONS.split(", ")]).astype({"n": "Int64"})
 
     def project(self, t: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         """Slope, r2 and projection, by the rules of the batch operator."""
@@ -118,9 +230,9 @@ class LeakTracker(StatefulProcessor):
         pass
 
 
-def _keyed(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _keyed(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("device_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    return stream.groupBy("device_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
 
 
 def stream_decode(chunks: DataFrame) -> DataFrame:
@@ -133,6 +245,17 @@ def stream_state(packets: DataFrame) -> DataFrame:
     return _keyed(packets.select("device_id", "pkt_no", "sequence_num", "is_valid_keyframe", "heap_d", "cpu_d"), StateTracker(), STATES)
 
 
+def stream_full_state(packets: DataFrame) -> DataFrame:
+    """Columns of FULL from a stream of ``device_id, pkt_no, packet_type, payload``: the task map and the system fields after every packet."""
+    keyframe = F.when(F.col("packet_type") == KEYFRAME, parse_keyframe(F.col("payload")))
+    return _keyed(packets.select("device_id", "pkt_no", "packet_type", "payload", keyframe.alias("keyframe")), FullStateTracker(), FULL)
+
+
+def stream_offline(packets: DataFrame, timeout_seconds: int = OFFLINE_SECONDS, lateness: str = "0 seconds") -> DataFrame:
+    """Columns of SILENT from a stream of ``device_id, arrival_ts``: each device when it appears and when the watermark says that it was silent too long."""
+    return _keyed(packets.select("device_id", "arrival_ts").withWatermark("arrival_ts", lateness), OfflineTracker(timeout_seconds), SILENT, "EventTime")
+
+
 def stream_oom(samples: DataFrame, params: OomParams = OomParams()) -> DataFrame:
     """Columns of PROJECTIONS from a stream of ``device_id, pkt_no, arrival_ts, heap_free_bytes``."""
     return _keyed(samples.select("device_id", "pkt_no", "arrival_ts", "heap_free_bytes"), LeakTracker(params), PROJECTIONS)

@@ -1,5 +1,6 @@
 """Every registered query with SQL against DuckDB on the smallest tables, and streams against batch."""
 
+import datetime
 import glob
 import tempfile
 
@@ -89,3 +90,39 @@ def test_stream_oom_equals_batch(spark):
     want = trend.oom_series(samples, queries.P40)
     columns = ["device_id", "pkt_no", "n", F.round("projection", 3).alias("projection")]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_stream_full_state_equals_batch(spark):
+    from beaconlake.operators import state
+    from beaconlake.sources import frames
+
+    packets = frames.packets_of(frames.ingest_frames(some_devices(queries.chunks(spark, SF)))).select("device_id", "pkt_no", "packet_type", "payload").cache()
+    got = run_stream(spark, packets, processors.stream_full_state, in_two("pkt_no")).filter("not late").cache()
+    changes = frames.expand_payloads(packets).cache()
+    system = ["device_id", "epoch", "pkt_no", "heap_free_bytes", "heap_min_ever_bytes", "cpu_utilization_pct"]
+    want = state.full_state(changes).select(*system)
+    assert want.count() > 0 and sorted(map(tuple, got.filter("task_idx = 15").select(*system).collect())) == sorted(map(tuple, want.collect()))
+    task = ["device_id", "epoch", "pkt_no", "task_idx", "task_name", "state", "priority", "stack_hwm_words", "runtime_ticks"]
+    want = state.task_state(changes).join(frames.task_names(packets), ["device_id", "epoch", "task_idx"]).select(*task)
+    assert sorted(map(tuple, got.filter("task_idx < 15").select(*task).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("transform", [processors.stream_decode, processors.stream_full_state, processors.stream_oom])
+def test_late_rows_change_nothing(spark, transform):
+    """A row that comes again in a later micro-batch goes out marked, and what follows is as without it."""
+    rows = [("d", i, i, 1, b"\xf7" + bytes([i]), datetime.datetime(2026, 1, 1, 0, 0, i), 1000 - i, b"") for i in range(1, 7)]
+    source = spark.createDataFrame(rows, "device_id string, pkt_no long, chunk_no long, packet_type int, payload binary, arrival_ts timestamp, heap_free_bytes long, bytes binary")
+    plain = run_stream(spark, source, transform, lambda s: [s.filter("pkt_no <= 3"), s.filter("pkt_no > 3")])
+    again = run_stream(spark, source, transform, lambda s: [s.filter("pkt_no <= 3"), s.filter("pkt_no in (2, 3)").unionByName(s.filter("pkt_no > 3"))])
+    late = "status = 'late'" if "status" in again.columns else "late"
+    assert again.filter(late).count() == 2 and plain.filter(late).count() == 0
+    assert sorted(map(str, again.filter(f"not ({late})").collect())) == sorted(map(str, plain.collect()))
+
+
+def test_stream_offline(spark):
+    at = lambda s: datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("a", at(0), 1), ("b", at(0), 1), ("a", at(20), 2), ("a", at(60), 3), ("a", at(95), 4), ("b", at(96), 4), ("a", at(97), 5)]
+    source = spark.createDataFrame(rows, "device_id string, arrival_ts timestamp, part int")
+    got = run_stream(spark, source, processors.stream_offline, lambda s: [s.filter(f"part = {i}") for i in range(1, 6)])
+    found = sorted((r.device_id, (pd.Timestamp(r.last_seen) - pd.Timestamp(2026, 1, 1)).total_seconds(), r.offline) for r in got.collect())
+    assert found == [("a", 0, False), ("a", 20, True), ("a", 60, False), ("a", 60, True), ("a", 95, False), ("b", 0, False), ("b", 0, True), ("b", 96, False)]
