@@ -27,6 +27,26 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+_OP2 = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0)
+), flat AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM shingles
+), sizes AS (SELECT d.doc_id, count(x) AS n_shingles FROM documents d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (SELECT doc_id, doc_id AS met FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.met = l.a)
+"""
+OP2_SQL = _OP2 + "SELECT r.doc_id, any_value(n_shingles) AS n_shingles, min(met) AS component_id FROM reach r JOIN sizes USING (doc_id) GROUP BY r.doc_id"
+OP2_LINKS_SQL = (
+    _OP2
+    + """SELECT r.doc_id, any_value(n_shingles) AS n_shingles, min(met) AS component_id, coalesce(any_value(n), 0) AS n_links
+FROM reach r JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a) USING (doc_id) GROUP BY r.doc_id"""
+)
+
+
 def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of op2_ngram_join with the number of other documents that each document is linked with."""
     counted = ngram_join.link_counts(table(spark, sf_dir, "documents"), ngram_join.JoinParams(words=4, percent=85))
@@ -85,7 +105,52 @@ FROM checked GROUP BY conv_id
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the divergence verdict of every document."""
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "class_distance", "word_distance")
+    distances = [F.round(c, 6).alias(c) for c in ("class_distance", "word_distance")]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", *distances)
+
+
+def _divergence(p: str, q: str) -> str:
+    """One cell's part of twice the Jensen-Shannon divergence in SQL."""
+    return f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END"
+
+
+OP4_SQL = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM split)
+), repeated AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT *, count(*) OVER (PARTITION BY rid, w) AS times FROM windows), range(3) r(k) WHERE times > 1 GROUP BY rid
+), counted AS (
+  SELECT rid, doc_id, lang, words, len(words) AS n_words, length(text) AS n_chars, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    length(regexp_replace(text, '[^a-z]+', '', 'g')) AS c0, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS c2, length(regexp_replace(text, '[^0-9]+', '', 'g')) AS c3,
+    length(regexp_replace(text, '[^.,;:!?''"()\\-]+', '', 'g')) AS c4, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM split
+), based AS (
+  SELECT c.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_chars - word_chars AS c1, word_chars - c0 - c2 - c3 - c4 AS c5,
+    n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM counted c LEFT JOIN repeated USING (rid)
+), cells AS (
+  SELECT rid, lang, base_failed, k, CASE k WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 WHEN 4 THEN c4 ELSE c5 END / n_chars AS p FROM based, range(6) r(k) WHERE n_chars > 0
+), refs AS (SELECT lang, count(*) AS docs FROM based WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20
+), class_refs AS (SELECT lang AS name, k, avg(p) AS q FROM cells JOIN refs USING (lang) WHERE NOT base_failed GROUP BY lang, k
+), worded AS (
+  SELECT rid, lang, base_failed, n_words, word, count(*) AS times FROM (SELECT rid, lang, base_failed, n_words, unnest(list_transform(words, lambda x: lower(x))) AS word FROM based) GROUP BY ALL
+), word_refs AS (
+  SELECT lang AS name, word, sum(times * 1000000000 // n_words) / 1e9 / any_value(docs) AS q FROM worded JOIN refs USING (lang) WHERE NOT base_failed GROUP BY lang, word
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= 8
+), compared AS (SELECT b.rid, b.n_words, r.lang AS name FROM based b JOIN refs r ON b.n_words > 0 AND (b.lang IS NULL OR b.lang IN (SELECT lang FROM refs))
+), class_distances AS (SELECT rid, name, sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) AS c FROM cells JOIN class_refs USING (k) GROUP BY rid, name
+), word_cells AS (SELECT rid, name, coalesce(times, 0) / c.n_words AS p, q FROM compared c JOIN word_refs USING (name) LEFT JOIN worded USING (rid, word)
+), all_words AS (SELECT rid, name, p, q FROM word_cells UNION ALL SELECT rid, name, 1 - sum(p), greatest(0, 1 - sum(q)) FROM word_cells GROUP BY rid, name
+), word_distances AS (SELECT rid, name, sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) AS w FROM all_words GROUP BY rid, name
+), near AS (
+  SELECT rid, name, c, w FROM compared JOIN class_distances USING (rid, name) JOIN word_distances USING (rid, name) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CAST(round((c + w) * 1e9) AS BIGINT), name) = 1
+), judged AS (SELECT b.*, name AS nearest, CASE WHEN n_chars >= 200 THEN c END AS class_distance, CASE WHEN n_words >= 50 THEN w END AS word_distance FROM based b LEFT JOIN near USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(class_distance > 0.22, FALSE) OR coalesce(word_distance > sqrt(0.0625 + 1.44 * greatest(1 / n_words - 1 / 100, 0)), FALSE)) AS kept,
+  nearest, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM judged
+"""
 
 
 def _remainder(of: str, n: int):
@@ -190,4 +255,4 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": op9_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op9_url_filters": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "op9_url_filters": OP9_SQL}
