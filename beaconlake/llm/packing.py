@@ -3,8 +3,9 @@
 Texts are cut into pieces of at most ``max_len`` words; the global histogram of piece lengths (at most ``max_len``
 numbers, whatever the size of the corpus) is brought to the driver, where dynamic programming picks the bucket
 bounds that minimise padding. Every piece goes to the smallest bucket that holds it, and batches of
-``budget // bound`` rows form inside the buckets. A bucket is dealt by hash into shards of about ``shard_rows`` pieces, so
-that no task gets a whole bucket; only the last batch of a shard can be short.
+``budget // bound`` rows form inside the buckets. A bucket is dealt into shards of about ``shard_rows`` pieces, or of ``shard_batches`` batches where that is more, so
+that no task gets a whole bucket; only the last batch of a shard can be short. Pieces are dealt by a hash of their id and their place in the input, so that
+an id that is repeated very often is spread too; other splits of the input give other batches of the same sizes.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D. Defined results: a null or empty text
 has no words and gives one piece of length 0, which stands in the smallest bucket, so no document is lost; repeated rows
@@ -31,6 +32,7 @@ class PackParams:
     buckets: int = 12
     budget: int = 16384
     shard_rows: int = 2048
+    shard_batches: int = 64
 
 
 def n_words(text: Column) -> Column:
@@ -90,7 +92,8 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), doc_id: str = "doc_
     """
     from .scratch import written
 
-    cut = written(pieces(docs, params, doc_id, text), "pieces")
+    # the place is written, so that a task that is run again deals its rows as before
+    cut = written(pieces(docs, params, doc_id, text).withColumn("place", F.monotonically_increasing_id()), "pieces")
     histogram = cut.groupBy("n_tokens").count().toPandas()  # at most max_len + 1 rows
     bounds = optimal_bounds(histogram["n_tokens"].to_numpy(), histogram["count"].to_numpy(), params.buckets)
     if not bounds:
@@ -102,11 +105,11 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), doc_id: str = "doc_
     for bound, rows in reversed(list(zip(bounds, held, strict=True))):
         here = F.col("n_tokens") <= bound
         bucket = F.when(here, F.lit(bound)).otherwise(bucket)
-        shards = F.when(here, F.lit(max(1, -(-int(rows) // params.shard_rows)))).otherwise(shards)
-        per_batch = F.when(here, F.lit(max(1, params.budget // max(1, bound)))).otherwise(per_batch)
-    placed = cut.withColumns({"bucket": bucket, "per_batch": per_batch, "shard": F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), shards).cast("int")})
-    # Rows alike in id and piece would all share a shard; the row's own hash order spreads them only among themselves.
-    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1
+        fits = max(1, params.budget // max(1, bound))
+        shards = F.when(here, F.lit(max(1, -(-int(rows) // max(params.shard_rows, params.shard_batches * fits))))).otherwise(shards)
+        per_batch = F.when(here, F.lit(fits)).otherwise(per_batch)
+    placed = cut.withColumns({"bucket": bucket, "per_batch": per_batch, "shard": F.pmod(F.xxhash64("doc_id", "piece", "place"), shards).cast("int")})
+    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "place")) - 1
     return placed.withColumn("at", at).select(
         "doc_id", "piece", "first_word", "n_tokens", "bucket", "shard",
         F.floor(F.col("at") / F.col("per_batch")).alias("batch"), (F.col("at") % F.col("per_batch")).alias("slot"),
