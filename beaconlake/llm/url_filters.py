@@ -8,8 +8,9 @@
   blocks of eight 64-bit words, one bit a word) of the listed canonical URLs passes the possible hits on to a hash
   join with the list, which removes the false positives. URLs that the filter clears are never shuffled.
 
-The filter has at most ``MAX_BLOCKS`` blocks of 72 bytes (under 10 MB), which bounds its broadcast at any list
-length; a longer list only raises the share of URLs that the exact join has to clear.
+The filter has as many blocks of 72 bytes as fit in ``filter_mb``, which bounds its broadcast at any list
+length; a list over about 4 million URLs for 10 MB raises the share of URLs that the exact join has to clear, so a long list calls for a
+larger budget. The canonical list is written once.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and no canonical form, and is
 allowed. Null URLs in ``listed`` are skipped; repeated ones count once. A very common URL makes one large join key,
@@ -24,7 +25,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 17
+from .scratch import written
+
+FILTER_MB = 10
+BLOCK_BYTES = 72
+MAX_BLOCKS = 1 << ((FILTER_MB << 20) // BLOCK_BYTES).bit_length() - 1
 BITS_PER_KEY = 16
 WORDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,21 +106,22 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return masked.groupBy("bloom_block").agg(*(F.bit_or(f"w{j}").alias(f"w{j}") for j in range(WORDS)))
 
 
-def blocks_for(n_keys: int) -> int:
-    """Blocks for ``BITS_PER_KEY`` bits a key, as a power of two, at most ``MAX_BLOCKS``."""
+def blocks_for(n_keys: int, filter_mb: int = FILTER_MB) -> int:
+    """Blocks for ``BITS_PER_KEY`` bits a key, as a power of two, as far as they fit in ``filter_mb``."""
     blocks = 1
-    while blocks < MAX_BLOCKS and blocks * 64 * WORDS < n_keys * BITS_PER_KEY:
+    while 2 * blocks * BLOCK_BYTES <= filter_mb << 20 and blocks * 64 * WORDS < n_keys * BITS_PER_KEY:
         blocks *= 2
     return blocks
 
 
-def url_filter(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, page_id: str = "page_id", url: str = "url", listed_url: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, page_id: str = "page_id", url: str = "url", listed_url: str = "url", filter_mb: int = FILTER_MB) -> DataFrame:
     """``page_id, host, path, rule, verdict, canonical_url, bloom_hit`` for every row of ``pages``.
 
     ``bloom_hit`` says whether the exact join had to look the URL up (false where a rule decided).
     """
     keys = listed.select(canonical(F.col(listed_url)).alias("listed_key")).filter(F.col("listed_key").isNotNull()).distinct()
-    blocks = blocks_for(keys.count())
+    keys = written(keys, "listed")
+    blocks = blocks_for(keys.count(), filter_mb)
     bloom = bloom_blocks(keys, "listed_key", blocks)
 
     address = F.col(url)
