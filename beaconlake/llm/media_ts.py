@@ -1,8 +1,9 @@
 """Media columns as MPEG transport streams.
 
-``mux`` stores a payload of 8-bit samples as a transport stream: a program association table, a program map table, and
-packetised elementary packets of at most ``FRAMES_PER_PES`` frames of 576 samples, each with a presentation timestamp; the first
-transport packet of each carries a clock reference and the random-access mark. ``demux`` reads a stream back from its bytes
+``mux`` stores a payload of 8-bit samples as a transport stream of packetised elementary packets of at most ``FRAMES_PER_PES`` frames of 576 samples. Before
+each stand a program association table and a program map table, and its first transport packet carries a presentation timestamp, a clock reference and the random-access
+mark, so that a reader can start at any access point (``demux`` of the bytes from there on). Clock references are as far apart as elementary packets, 4.6 seconds: the
+streams are for storage, not for broadcast. ``demux`` reads a stream back from its bytes
 alone: it parses and checks the program tables, follows the continuity counters, reassembles the elementary packets, and lists timestamps
 and random-access points. ``store_media`` writes the streams as a binary column with their timestamps and access points;
 ``read_media`` recomputes everything from the stored bytes.
@@ -76,8 +77,11 @@ def _clock(ticks: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload whose length is a positive multiple of 576."""
-    out, counter = [TABLES], 0
-    for first in range(0, len(payload), FRAME * FRAMES_PER_PES):
+    out, counter = [], 0
+    for nth, first in enumerate(range(0, len(payload), FRAME * FRAMES_PER_PES)):
+        tables = bytearray(TABLES)
+        tables[3] = tables[PACKET + 3] = 0x10 | nth & 15
+        out.append(bytes(tables))
         data = payload[first : first + FRAME * FRAMES_PER_PES]
         ticks = first // FRAME * TICKS_PER_FRAME
         pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(ticks) + data
@@ -108,7 +112,7 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What ``demux`` finds: the payload, a timestamp an elementary packet, access points as (timestamp, byte offset), and errors."""
+    """What ``demux`` finds: the payload, a timestamp an elementary packet, access points as (timestamp, byte offset of its program tables), and errors."""
 
     payload: bytes
     timestamps: list[int] = field(default_factory=list)
@@ -125,7 +129,7 @@ def _section(packets: np.ndarray, pid: int, table_id: int, pids: np.ndarray) ->
     at = 5 + packet[4]
     length = (packet[at + 1] & 0x0F) << 8 | packet[at + 2]
     section = packet[at : at + 3 + length]
-    if section[0] != table_id or _checked(section[:-4]) != int.from_bytes(section[-4:], "big"):
+    if len(section) < 12 or section[0] != table_id or _checked(section[:-4]) != int.from_bytes(section[-4:], "big"):
         raise ValueError(f"damaged table on pid {pid}")
     return section[8:-4]
 
@@ -165,17 +169,21 @@ def demux(media: bytes) -> Stream:
     data = own[np.arange(PACKET)[None, :] >= first[:, None]].tobytes()
     ends = np.cumsum(PACKET - first)
     begins = np.flatnonzero(own[:, 1] & 0x40)
+    if not len(begins):
+        raise ValueError("no elementary stream")
     cuts = [0 if b == 0 else int(ends[b - 1]) for b in begins] + [len(data)]
     stream, parts = Stream(b"", continuity_errors=errors), []
     for k, b in enumerate(begins.tolist()):
         pes = data[cuts[k] : cuts[k + 1]]
-        if pes[:3] != b"\x00\x00\x01":
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < 14:
             raise ValueError("no elementary packet where one begins")
         s = pes[9:14]
         ticks = (s[0] & 0x0E) << 29 | s[1] << 22 | (s[2] & 0xFE) << 14 | s[3] << 7 | s[4] >> 1
         stream.timestamps.append(ticks)
         if adapted[b] and own[b, 4] and own[b, 5] & 0x40:
-            stream.access_points.append((ticks, int(at[b]) * PACKET))
+            place = int(at[b])
+            has_tables = place >= 2 and pids[place - 2] == PAT_PID and pids[place - 1] == pmt
+            stream.access_points.append((ticks, (place - 2 * has_tables) * PACKET))
         parts.append(pes[9 + pes[8] : 6 + int.from_bytes(pes[4:6], "big")])
     stream.payload = b"".join(parts)
     return stream
