@@ -1,12 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-``fit`` trains on a bounded sample of labelled rows: at most ``per_language`` rows of each of the ``max_languages`` most
-frequent languages, chosen by a hash of the id, and of each at most ``sample_chars`` characters from a place that the hash picks.
+``fit`` trains on a bounded sample of labelled rows: at most ``per_language`` rows of each language, or an equal share of ``max_rows`` where there are many (of
+up to ``max_languages``, the most frequent), chosen by a hash of the id, and of each at most ``sample_chars`` characters from a place that the hash picks.
 Every byte position of a window carries the label of its text. ``predict`` reads whole texts: they are cut into windows of ``window``
 bytes, every position is labelled, and a document's probabilities are the mean over all its positions.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or a model without languages; equal texts get equal results; the
-label, the source and the id are never read for a prediction.
+label, the source and the id are never read for a prediction. Scores have five digits, so that they don't depend on what else is in a batch.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ SCHEMA = "doc_id long, lang_pred string, score double"
 @dataclass(frozen=True)
 class LanguageParams:
     per_language: int = 400
-    max_languages: int = 32
+    max_rows: int = 12_800
+    max_languages: int = 1024
     sample_chars: int = 1024
     hidden: int = 8
     window: int = 128
@@ -51,24 +52,23 @@ class LanguageModel:
 
 
 def sample(docs: DataFrame, p: LanguageParams, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """(language, text) of the training rows; the driver gets at most twice ``per_language * max_languages`` rows."""
+    """(language, text) of the training rows; the driver gets at most about twice ``max_rows``."""
     named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_languages).collect()
     if not counts:
         return []
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 1.5 * p.per_language / row["count"]))).otherwise(share)
+    most = max(1, min(p.per_language, p.max_rows // len(counts)))
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], min(1.0, 1.5 * most / row["count"]))]), F.col("lang")), F.lit(0.0))
     dealt = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
     chosen = named.filter(dealt < share)
     place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - p.sample_chars, F.lit(1))) + 1
     cut = chosen.select("id", "lang", F.substring("text", place.cast("int"), F.lit(p.sample_chars)).alias("text"))
-    rows = cut.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(2 * p.per_language * len(counts)).collect()
+    rows = cut.orderBy(F.xxhash64("id"), "id", "lang", "text").limit(2 * most * len(counts)).collect()
     kept: dict[str, int] = {}
     out = []
     for row in rows:
         kept[row["lang"]] = kept.get(row["lang"], 0) + 1
-        if kept[row["lang"]] <= p.per_language:
+        if kept[row["lang"]] <= most:
             out.append((row["lang"], row["text"]))
     return out
 
@@ -94,28 +94,35 @@ def train(rows: list[tuple[str, str]], p: LanguageParams) -> LanguageModel:
             at = rng.integers(max(1, len(data) - p.train_window + 1))
             part = data[at : at + p.train_window]
             symbols[: len(part), b] = part
-        both = np.stack([symbols, symbols[::-1]], 1)  # steps, direction, batch
-        x = np.stack([params["E"][way][:, both[:, way]] for way in (0, 1)], 0).transpose(2, 0, 1, 3, 4)
-        h, kept = bigru.forward(x, params)
-        states = bigru.both_ways(h)
-        logits = states @ params["V"] + params["c"]
-        prob = np.exp(logits - logits.max(-1, keepdims=True))
-        prob /= prob.sum(-1, keepdims=True)
-        d = prob
-        d[:, np.arange(p.batch), labels] -= 1
-        real = symbols != PAD
-        d *= (real / max(1, real.sum()))[..., None].astype(np.float32)
-        grads = {"V": states.reshape(-1, states.shape[-1]).T @ d.reshape(-1, d.shape[-1]), "c": d.sum((0, 1))}
-        dx, recurrent = bigru.backward(bigru.split_ways(d @ params["V"].T), h, kept, params)
-        de = np.zeros_like(params["E"])
-        for way in (0, 1):
-            for gate in range(3):
-                np.add.at(de[way, gate], both[:, way].ravel(), dx[:, way, gate].reshape(-1, p.hidden))
         adam.rate = p.rate * (1 - 0.9 * step / p.steps)
-        adam.update(grads | recurrent | {"E": de})
+        adam.update(gradients(params, symbols, labels)[1])
     return model
 
 
+def gradients(params: bigru.Params, symbols: np.ndarray, labels: np.ndarray) -> tuple[float, bigru.Params]:
+    """Mean cross-entropy over all real positions of a batch (steps, batch), and the gradient of every parameter."""
+    both = np.stack([symbols, symbols[::-1]], 1)  # steps, direction, batch
+    x = np.stack([params["E"][way][:, both[:, way]] for way in (0, 1)], 0).transpose(2, 0, 1, 3, 4)
+    h, kept = bigru.forward(x, params)
+    states = bigru.both_ways(h)
+    logits = states @ params["V"] + params["c"]
+    prob = np.exp(logits - logits.max(-1, keepdims=True))
+    prob /= prob.sum(-1, keepdims=True)
+    columns, real = np.arange(symbols.shape[1]), symbols != PAD
+    share = (real / max(1, real.sum())).astype(prob.dtype)
+    loss = float(-(np.log(prob[:, columns, labels]) * share).sum())
+    d = prob
+    d[:, columns, labels] -= 1
+    d *= share[..., None]
+    grads = {"V": states.reshape(-1, states.shape[-1]).T @ d.reshape(-1, d.shape[-1]), "c": d.sum((0, 1))}
+    dx, recurrent = bigru.backward(bigru.split_ways(d @ params["V"].T), h, kept, params)
+    de = np.zeros_like(params["E"])
+    for way in (0, 1):
+        for gate in range(3):
+            np.add.at(de[way, gate], both[:, way].ravel(), dx[:, way, gate].reshape(-1, de.shape[-1]))
+    return loss, grads | recurrent | {"E": de}
+
+
 def fit(docs: DataFrame, p: LanguageParams = LanguageParams(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     return train(sample(docs, p, doc_id, text, lang), p)
 
@@ -178,6 +185,7 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
             readable = np.array(batch.column(2)) & bool(languages)
             if languages:
                 pooled = scorer.pooled(data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - offsets[0])
+                pooled = np.round(pooled, 5)
                 best, score = pooled.argmax(1), np.clip(pooled.max(1), 0.0, 1.0)
                 names = [languages[b] if ok else UNKNOWN for b, ok in zip(best, readable, strict=True)]
                 score = np.where(readable, score, 0.0)
