@@ -22,8 +22,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def forward(x: np.ndarray, p: Params) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """States (steps + 1, direction, batch, hidden) for gate inputs x (steps, direction, gate, batch, hidden), in reading order."""
     steps, _, _, batch, hidden = x.shape
-    h = np.zeros((steps + 1, 2, batch, hidden), np.float32)
-    z, r, n, q = (np.empty((steps, 2, batch, hidden), np.float32) for _ in range(4))
+    h = np.zeros((steps + 1, 2, batch, hidden), x.dtype)
+    z, r, n, q = (np.empty((steps, 2, batch, hidden), x.dtype) for _ in range(4))
     for t in range(steps):
         now = h[t]
         z[t] = _sigmoid(x[t, :, 0] + now @ p["U"][:, 0])
@@ -38,10 +38,10 @@ def backward(dh: np.ndarray, h: np.ndarray, kept: dict[str, np.ndarray], p: Para
     """Gradients of the gate inputs and the recurrent parameters, from those of the states after each step."""
     z, r, n, q = kept["z"], kept["r"], kept["n"], kept["q"]
     steps, _, batch, hidden = dh.shape
-    dx = np.empty((steps, 2, 3, batch, hidden), np.float32)
-    dq = np.empty((steps, 2, batch, hidden), np.float32)
+    dx = np.empty((steps, 2, 3, batch, hidden), h.dtype)
+    dq = np.empty((steps, 2, batch, hidden), h.dtype)
     back = p["U"].transpose(0, 1, 3, 2)
-    carry = np.zeros((2, batch, hidden), np.float32)
+    carry = np.zeros((2, batch, hidden), h.dtype)
     for t in range(steps - 1, -1, -1):
         d = dh[t] + carry
         dn = d * (1 - z[t]) * (1 - n[t] ** 2)

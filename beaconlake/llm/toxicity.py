@@ -1,9 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling over word and character inputs.
 
 A text is read as words (runs of ASCII letters, digits and bytes above 127, A-Z in lower case). Each word gives the word
-itself and its characters: its first 4 to 10 bytes, where more follow, and its last four. An input known to the model is a row of a table: its
-smoothed log-odds in the training rows, and components that are learned with the network; unknown inputs are zero. The network
-runs over windows of ``window`` words, each overlapping the next by half; attention pools the states of a window into one
+itself and its characters. They come in twice: its first 4 to 10 bytes, where more follow, and its last four are looked up like the word; and its bytes (of a word
+over ``CHARS`` bytes the first and the last) run through a learned byte embedding, a convolution of three bytes, and a maximum over the places, which needs no table.
+A looked-up input known to the model is a row of a table: its smoothed log-odds in the training rows, and components that are learned with the network; unknown
+ones are zero. The network runs over windows of ``window`` words, each overlapping the next by half; attention pools the states of a window into one
 logit. A document's score is that of its worst window, so every word of every text is read twice or more.
 
 ``fit`` learns from a bounded sample of labelled rows: at most ``max_toxic`` and ``max_clean`` of them, chosen by a hash of the id, texts over
@@ -11,7 +12,7 @@ logit. A document's score is that of its worst window, so every word of every te
 a training row leave its own label out, so a word seen once teaches nothing about the row that it came from.
 
 Defined results: a null or empty text, or one without words, gets the share of toxic rows in the training sample; without training rows of both labels every
-score is 0; rows of one id with several labels count as toxic if one of them does.
+score is 0; rows of one id with several labels count as toxic if one of them does. Scores have five digits, so that they don't depend on what else is in a batch.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .chunks import sliced
 SCHEMA = "doc_id long, score double, predicted int"
 HEADS = (4, 5, 6, 7, 8, 10)
 TAIL = 4
+CHARS = 16
 INPUTS = ("word", *(f"head{k}" for k in HEADS), "tail")
 
 
@@ -42,6 +44,8 @@ class ToxicityParams:
     max_chars: int = 8000
     window: int = 64
     learned: int = 2
+    embedding: int = 4
+    filters: int = 8
     hidden: int = 8
     attention: int = 8
     smoothing: float = 2.0
@@ -68,13 +72,12 @@ _BYTE[65:91] = _BYTE[97:123]
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 
 
-def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (inputs, words) of all words in a buffer of texts, and the number of words of each text.
-
-    A text ends a word; the hash of a word is the sum of its bytes' numbers, each times a power for its place.
-    """
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and the number of words of each text."""
     inside = _LETTER[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -83,8 +86,17 @@ def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cuts = offsets[1:-1][offsets[1:-1] < len(data)]
     begins[cuts] |= inside[cuts]
     ends[cuts[cuts > 0] - 1] |= inside[cuts[cuts > 0] - 1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    counts = np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets[1:]) - np.searchsorted(start, offsets[:-1])
+
+
+def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (inputs, words) of all words in a buffer of texts, and the number of words of each text.
+
+    A text ends a word; the hash of a word is the sum of its bytes' numbers, each times a power for its place.
+    """
+    inside = _LETTER[data]
+    start, stop, counts = _words(data, offsets)
     if not len(start):
         return np.zeros((len(INPUTS), 0), np.uint64), counts
     length = stop - start
@@ -110,6 +122,41 @@ def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, counts
 
 
+def word_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes of every word (words, CHARS + 2), A-Z in lower case, with zeros on both sides; of a longer word its first and last ones."""
+    start, stop, _ = _words(data, offsets)
+    length = (stop - start)[:, None]
+    place = np.arange(CHARS)[None, :]
+    at = np.where((length > CHARS) & (place >= CHARS // 2), stop[:, None] - CHARS + place, start[:, None] + place)
+    out = np.zeros((len(start), CHARS + 2), np.uint8)
+    if len(start):
+        out[:, 1:-1] = np.where(place < length, _LOWER[data[np.minimum(at, len(data) - 1)]], 0)
+    return out
+
+
+def char_features(chars: np.ndarray, params: bigru.Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, filters) of ``word_bytes``, the place of each maximum, and the embedded bytes by threes."""
+    embedded = params["C"][chars] * (chars > 0)[..., None]
+    threes = np.concatenate([embedded[:, :-2], embedded[:, 1:-1], embedded[:, 2:]], -1)
+    found = np.tanh(threes @ params["K"])
+    place = found.argmax(1)
+    return np.take_along_axis(found, place[:, None], 1)[:, 0], place, threes
+
+
+def char_gradients(d: np.ndarray, chars: np.ndarray, out: np.ndarray, place: np.ndarray, threes: np.ndarray, params: bigru.Params) -> bigru.Params:
+    """Gradients of the embedding and the convolution from those of ``char_features``."""
+    dz = d * (1 - out**2)  # words, filters
+    at = np.arange(len(chars))[:, None]
+    chosen = threes[at, place]  # words, filters, inputs
+    dk = np.einsum("wfi,wf->if", chosen, dz)
+    dthree = (dz[..., None] * params["K"].T).reshape(*dz.shape, 3, -1)
+    dc = np.zeros_like(params["C"])
+    for k in range(3):
+        np.add.at(dc, chars[at, place + k].ravel(), dthree[:, :, k].reshape(-1, dc.shape[1]))
+    dc[0] = 0
+    return {"C": dc, "K": dk}
+
+
 def rows_of(keys: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     """Table rows (inputs, words) of hashed inputs; 0 where unknown."""
     out = np.zeros(hashes.shape, np.int64)
@@ -136,7 +183,9 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
     label = np.array([y for y, _ in rows], np.int64)
     width = 1 + p.learned
     params = bigru.init_recurrent(rng, p.hidden)
-    inputs = len(INPUTS) * width
+    inputs = len(INPUTS) * width + p.filters
+    params["C"] = (rng.standard_normal((256, p.embedding)) / 2).astype(np.float32)
+    params["K"] = (rng.standard_normal((3 * p.embedding, p.filters)) / np.sqrt(3 * p.embedding)).astype(np.float32)
     params["W"] = (rng.standard_normal((2, 3, inputs, p.hidden)) / np.sqrt(inputs)).astype(np.float32)
     params["b"] = np.zeros((2, 3, 1, p.hidden), np.float32)
     params["A"] = (rng.standard_normal((2 * p.hidden, p.attention)) / 4).astype(np.float32)
@@ -146,11 +195,14 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
     if len(label) == 0 or label.min() == label.max():
         return ToxicityModel([], params, p.window)
 
-    parts = []
+    parts, chars = [], []
     for first in range(0, len(rows), 128):  # the inputs of a few texts at a time, as they take many times the texts' size
         texts = [t.encode("utf-8", "replace") for _, t in rows[first : first + 128]]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        parts.append(word_inputs(np.frombuffer(b"".join(texts), np.uint8), offsets))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        parts.append(word_inputs(data, offsets))
+        chars.append(word_bytes(data, offsets))
+    chars = np.concatenate([*chars, np.zeros((1, CHARS + 2), np.uint8)])  # the last row stands for no word
     counts = np.concatenate([c for _, c in parts])
     owner = np.repeat(np.arange(len(rows)), counts)
     base = label.mean()
@@ -204,47 +256,63 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
             place[:n, b] = starts[r] + skip + np.arange(n)
         real = place >= 0
         at_b = np.where(real, at[:, place], 0)  # inputs, steps, batch
-        features = np.concatenate([np.concatenate([np.where(real, odds[i][place], 0)[..., None], p_[f"L{i}"][at_b[i]]], -1) for i in range(len(INPUTS))], -1).astype(np.float32)
-        both = np.stack([features, features[::-1]], 1)  # steps, direction, batch, inputs
-        x = both[:, :, None] @ p_["W"][None] + p_["b"][None]
-        h, kept = bigru.forward(x, p_)
-        states = bigru.both_ways(h)
-        u = np.tanh(states @ p_["A"])
-        e = np.where(real, u @ p_["a"], -1e9)
-        w = np.exp(e - e.max(0))
-        w *= real
-        w /= np.maximum(w.sum(0), 1e-9)
-        pooled = (w[..., None] * states).sum(0)
-        logit = pooled @ p_["V"] + p_["c"]
-        d = ((0.5 * np.tanh(0.5 * logit) + 0.5) - y) / p.batch
-        grads = {"V": pooled.T @ d, "c": d.sum(keepdims=True)}
-        dp = d[:, None] * p_["V"]
-        dstates = w[..., None] * dp
-        dw = (states * dp).sum(-1)
-        de = w * (dw - (w * dw).sum(0))
-        du = de[..., None] * p_["a"] * (1 - u**2)
-        grads["a"] = (u * de[..., None]).sum((0, 1))
-        grads["A"] = states.reshape(-1, states.shape[-1]).T @ du.reshape(-1, p.attention)
-        dstates += du @ p_["A"].T
-        dx, recurrent = bigru.backward(bigru.split_ways(dstates.astype(np.float32)), h, kept, p_)
-        grads["b"] = dx.sum((0, 3))[:, :, None]
-        flat_x = both.transpose(1, 3, 0, 2).reshape(2, inputs, -1)
-        grads["W"] = np.stack([flat_x @ dx[:, :, g].transpose(1, 0, 2, 3).reshape(2, -1, p.hidden) for g in range(3)], 1)
-        dfeat = sum((dx[:, :, g] @ p_["W"][:, g].transpose(0, 2, 1)) for g in range(3))
-        dfeat = dfeat[:, 0] + dfeat[::-1, 1]
-        for i in range(len(INPUTS)):
-            g = np.zeros_like(p_[f"L{i}"])
-            np.add.at(g, at_b[i].ravel(), dfeat[..., i * width + 1 : (i + 1) * width].reshape(-1, p.learned))
-            g[0] = 0
-            grads[f"L{i}"] = g
+        odds_b = np.where(real, odds[:, place], 0).astype(np.float32)
+        grads = gradients(p_, odds_b, at_b, chars[place], real, y)[1]
         adam.rate = p.rate * (1 - 0.9 * step / p.steps)
-        adam.update(grads | recurrent)
+        adam.update(grads)
     for i in range(len(INPUTS)):
         params[f"T{i}"][:, 1:] = p_.pop(f"L{i}")
     params.update(p_)
     return ToxicityModel(keys, params, p.window, float(base))
 
 
+def gradients(params: bigru.Params, odds: np.ndarray, at: np.ndarray, chars: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, bigru.Params]:
+    """Mean cross-entropy of a batch of windows and the gradient of every parameter.
+
+    ``odds`` and ``at`` (table rows) have the axes inputs, steps, batch; ``chars`` steps, batch, bytes; ``real`` says where words are.
+    """
+    learned, n = params["L0"].shape[1], len(odds)
+    width, shape = 1 + learned, real.shape
+    by_char, place, threes = char_features(chars.reshape(-1, chars.shape[-1]), params)
+    features = np.concatenate([x for i in range(n) for x in (odds[i][..., None], params[f"L{i}"][at[i]])] + [by_char.reshape(*shape, -1)], -1)
+    both = np.stack([features, features[::-1]], 1)  # steps, direction, batch, inputs
+    x = both[:, :, None] @ params["W"][None] + params["b"][None]
+    h, kept = bigru.forward(x, params)
+    states = bigru.both_ways(h)
+    u = np.tanh(states @ params["A"])
+    e = np.where(real, u @ params["a"], -1e9)
+    w = np.exp(e - e.max(0))
+    w *= real
+    w /= np.maximum(w.sum(0), 1e-9)
+    pooled = (w[..., None] * states).sum(0)
+    logit = pooled @ params["V"] + params["c"]
+    loss = float((np.logaddexp(0, logit) - y * logit).mean())
+    d = ((0.5 * np.tanh(0.5 * logit) + 0.5) - y) / len(y)
+    grads = {"V": pooled.T @ d, "c": d.sum(keepdims=True)}
+    dp = d[:, None] * params["V"]
+    dstates = w[..., None] * dp
+    dw = (states * dp).sum(-1)
+    de = w * (dw - (w * dw).sum(0))
+    du = de[..., None] * params["a"] * (1 - u**2)
+    grads["a"] = (u * de[..., None]).sum((0, 1))
+    grads["A"] = states.reshape(-1, states.shape[-1]).T @ du.reshape(-1, du.shape[-1])
+    dstates += du @ params["A"].T
+    dx, recurrent = bigru.backward(bigru.split_ways(dstates.astype(features.dtype)), h, kept, params)
+    grads["b"] = dx.sum((0, 3))[:, :, None]
+    inputs, hidden = both.shape[-1], dx.shape[-1]
+    flat_x = both.transpose(1, 3, 0, 2).reshape(2, inputs, -1)
+    grads["W"] = np.stack([flat_x @ dx[:, :, g].transpose(1, 0, 2, 3).reshape(2, -1, hidden) for g in range(3)], 1)
+    dfeat = sum((dx[:, :, g] @ params["W"][:, g].transpose(0, 2, 1)) for g in range(3))
+    dfeat = dfeat[:, 0] + dfeat[::-1, 1]
+    for i in range(n):
+        g = np.zeros_like(params[f"L{i}"])
+        np.add.at(g, at[i].ravel(), dfeat[..., i * width + 1 : (i + 1) * width].reshape(-1, learned))
+        g[0] = 0
+        grads[f"L{i}"] = g
+    by_bytes = char_gradients(dfeat[..., n * width :].reshape(by_char.shape), chars.reshape(-1, chars.shape[-1]), by_char, place, threes, params)
+    return loss, grads | recurrent | by_bytes
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     return train(sample(docs, labels, p, doc_id, text, label), p)
 
@@ -267,7 +335,9 @@ class Scorer:
             return np.zeros(len(offsets) - 1)
         hashes, counts = word_inputs(data, offsets)
         rows = rows_of(model.keys, hashes)
-        features = np.concatenate([p[f"T{i}"][rows[i]] for i in range(len(INPUTS))], 1) if rows.shape[1] else np.zeros((0, self.w.shape[2]), np.float32)
+        _, first_of, word_of = np.unique(hashes[0], return_index=True, return_inverse=True)  # each distinct word's bytes once
+        by_char = char_features(word_bytes(data, offsets)[first_of], p)[0][word_of]
+        features = np.concatenate([*[p[f"T{i}"][rows[i]] for i in range(len(INPUTS))], by_char], 1) if rows.shape[1] else np.zeros((0, self.w.shape[2]), np.float32)
         features = np.concatenate([features, np.zeros((1, features.shape[1]), np.float32)])  # the last row stands for no word
         none = len(features) - 1
         tables = np.stack([np.stack([features @ self.w[way, gate] + self.b[way, gate] for gate in range(3)]) for way in (0, 1)])
@@ -293,7 +363,7 @@ class Scorer:
             weight /= np.maximum(weight.sum(0), 1e-9)
             logit = (weight * (states @ p["V"])).sum(0) + p["c"][0]
             np.maximum.at(out, owner[some], logit[:n])
-        return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(out, -30, 30))), model.base)
+        return np.round(np.where(counts > 0, 1 / (1 + np.exp(-np.clip(out, -30, 30))), model.base), 5)
 
 
 def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
