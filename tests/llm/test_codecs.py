@@ -42,6 +42,49 @@ def test_bpe_equals_library(reference):
         assert codec.decode(codec.ids_text(text)) == text.encode()
 
 
+def fuzz(seed, n):
+    """Strings of what tokenizers treat apart: white space of all kinds, added tokens, marks, words."""
+    r = random.Random(seed)
+    white = [chr(c) for c in (0x20, 0x20, 0x20, 0x0A, 0x0A, 0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x3000, 0x200B)] + ["  ", "\n\n", "\r\n"]
+    other = ["a", "b", "the", "word,", "x.", "'s", "1", "é", "!", "漢", "😀", "Foo", "\0", "<|endoftext|>", "<|endof", "e\u0301"]
+    return ["".join(r.choices(white, k=1)[0] if r.random() < 0.5 else r.choice(other) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
+def test_fuzzed_texts_equal_libraries(reference):
+    import pyarrow as pa
+
+    codec = bpe.loaded(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoder = token_codes.loaded(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for seed in range(50):
+        texts = fuzz(seed, 2000)
+        for got, want in ((codec.chunks.ids(pa.array(texts)), [reference.encode_ordinary(t) for t in texts]), (encoder.ids(pa.array(texts)), [e.ids for e in library.encode_batch(texts, add_special_tokens=False)])):
+            parts = np.split(got[0], got[1][:-1])
+            assert [(t, p.tolist()) for t, p, w in zip(texts, parts, want, strict=True) if p.tolist() != w] == []
+
+
+def test_other_patterns_and_tokenizers():
+    """Texts are only cut for the pattern that the rule was made for."""
+    import pyarrow as pa
+
+    words = r"\S+|\s+"
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("other", pat_str=words, mergeable_ranks=ranks, special_tokens={})
+    codec, texts = bpe.RankBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), words), [*ODD, *fuzz(1, 200)]
+    assert [codec.encode(t) for t in texts] == [own.encode_ordinary(t) for t in texts]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encoder = token_codes.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = encoder.ids(pa.array(texts))
+    assert [p.tolist() for p in np.split(got[0], got[1][:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_decodes_unknown_ids(spark):
+    rows = spark.createDataFrame([(1, [220, 50257]), (2, [-1]), (3, None), (4, []), (5, [None]), (6, [464])], "doc_id long, ids array<int>")
+    got = {r.doc_id: None if r.bytes is None else bytes(r.bytes) for r in bpe.decode_ids(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert got == {1: None, 2: None, 3: b"", 4: b"", 5: None, 6: b"The"}
+
+
 def test_bpe_cache_turns_over(reference):
     codec = bpe.RankBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache_size=3)
     assert [codec.encode(t) for t in ODD[:80]] == [reference.encode_ordinary(t) for t in ODD[:80]]
@@ -131,6 +174,17 @@ def test_stream_round_trip(size):
     assert [t for t, _ in stream.access_points] == stream.timestamps
 
 
+def test_reader_starts_at_any_access_point():
+    payload = media_ts.payload_of(bytes(R.randrange(256) for _ in range(90000)))
+    media = media_ts.mux(payload)
+    unit = media_ts.FRAME * media_ts.FRAMES_PER_PES
+    points = media_ts.demux(media).access_points
+    assert len(points) == 3
+    for k, (ticks, offset) in enumerate(points):
+        rest = media_ts.demux(media[offset:])
+        assert rest.payload == payload[k * unit :] and rest.timestamps[0] == ticks and rest.continuity_errors == 0
+
+
 def test_stream_damage_is_found():
     media = bytearray(media_ts.mux(media_ts.payload_of(b"x" * 100000)))
     lost = bytes(media[: 188 * 50] + media[188 * 51 :])
@@ -142,6 +196,34 @@ def test_stream_damage_is_found():
         media_ts.demux(bytes(media))
 
 
+def test_damaged_streams_give_nulls(spark):
+    good = media_ts.mux(media_ts.payload_of(b"x"))
+    stored = spark.createDataFrame([(1, 1, None), (2, 1, b""), (3, 1, b"junk"), (4, 1, good[:-1]), (5, 1, good)], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in media_ts.read_media(stored).collect()}
+    assert [rows[i].feature for i in (1, 2, 3, 4)] == [None] * 4 and rows[5].payload_bytes == 576
+
+
+def test_feature_equals_plain_parse():
+    """The feature of a stream from its packets one by one, without the module's reader."""
+    for text in (b"", b"abc", bytes(range(200)) * 400):
+        payload = media_ts.payload_of(text)
+        media = media_ts.mux(payload)
+        packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+        es = [p for p in packets if (p[1] & 0x1F) << 8 | p[2] == 0x100]
+        data, stamps, access = b"", [], 0
+        for p in es:
+            body = p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+            access += bool(p[3] & 0x20 and p[4] and p[5] & 0x40)
+            if p[1] & 0x40:
+                s = body[9:14]
+                stamps.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1)
+                body = body[9 + body[8] :]
+            data += body
+        assert data == payload and [p[3] & 15 for p in es] == [i % 16 for i in range(len(es))]
+        stream = media_ts.demux(media)
+        assert (stream.timestamps, len(stream.access_points), stream.continuity_errors) == (stamps, access, 0)
+
+
 def test_section_checksum():
     assert media_ts.section_crc(b"123456789") == 0x0376E6E7
 

@@ -45,6 +45,98 @@ def test_runner_equals_forward():
     assert np.allclose(bigru.Runner(p, 5, 3).run(halved, rows)[1:], bigru.forward(x, p)[0][1:], atol=1e-5)
 
 
+def check_gradients(params, loss_and_grads, rng):
+    """Every parameter's gradient against differences, in double precision."""
+    _, grads = loss_and_grads()
+    assert set(grads) == set(params)
+    for name, gradient in grads.items():
+        flat, of = params[name].reshape(-1), np.asarray(gradient).reshape(-1)
+        frozen = gradient.shape[1] if name[0] == "L" else 0  # row 0 stands for unknown inputs and stays zero
+        # the places with the largest gradients, and some others
+        for at in {*np.argsort(-np.abs(of))[:4].tolist(), *rng.integers(frozen, len(flat), 4).tolist()}:
+            value, e = flat[at], 1e-5
+            flat[at] = value + e
+            up = loss_and_grads()[0]
+            flat[at] = value - e
+            down = loss_and_grads()[0]
+            flat[at] = value
+            assert of[at] == pytest.approx((up - down) / (2 * e), rel=1e-3, abs=1e-7), name
+
+
+def test_language_gradients():
+    rng = np.random.default_rng(5)
+    params = {k: v.astype(np.float64) for k, v in bigru.init_recurrent(rng, 3).items()}
+    params |= {"E": rng.standard_normal((2, 3, language_id.PAD + 1, 3)), "V": rng.standard_normal((6, 4)), "c": rng.standard_normal(4)}
+    symbols = rng.integers(97, 105, (6, 5))
+    symbols[4:, 2] = language_id.PAD
+    check_gradients(params, lambda: language_id.gradients(params, symbols, np.array([0, 1, 2, 3, 1])), rng)
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(6)
+    steps, batch, inputs, learned, filters, hidden = 5, 4, len(toxicity.INPUTS), 2, 3, 3
+    params = {k: v.astype(np.float64) for k, v in bigru.init_recurrent(rng, hidden).items()}
+    width = inputs * (1 + learned) + filters
+    params |= {"W": rng.standard_normal((2, 3, width, hidden)) / 4, "b": rng.standard_normal((2, 3, 1, hidden)), "A": rng.standard_normal((2 * hidden, 4)), "a": rng.standard_normal(4), "V": rng.standard_normal(2 * hidden), "c": np.zeros(1)}
+    params |= {"C": rng.standard_normal((256, 4)) / 2, "K": rng.standard_normal((12, filters)) / 2} | {f"L{i}": rng.standard_normal((6, learned)) for i in range(inputs)}
+    for i in range(inputs):
+        params[f"L{i}"][0] = 0
+    real = np.ones((steps, batch), bool)
+    real[3:, 1] = False
+    at = np.where(real, rng.integers(1, 6, (inputs, steps, batch)), 0)
+    chars = np.where(real[..., None], rng.integers(97, 110, (steps, batch, toxicity.CHARS + 2)), 0).astype(np.uint8)
+    chars[..., [0, -1]] = 0
+    odds = np.where(real, rng.standard_normal((inputs, steps, batch)), 0)
+    check_gradients(params, lambda: toxicity.gradients(params, odds, at, chars, real, np.array([0.0, 1.0, 1.0, 0.0])), rng)
+
+
+def plain_states(x, p):
+    """States of both directions, one step and one direction after the other."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    out = []
+    for way in (0, 1):
+        h, states = np.zeros(p["U"].shape[-1]), []
+        for t in range(len(x)) if way == 0 else reversed(range(len(x))):
+            z, r = (sigmoid(x[t][way, g] + h @ p["U"][way, g]) for g in (0, 1))
+            n = np.tanh(x[t][way, 2] + r * (h @ p["U"][way, 2] + p["bn"][way, 0]))
+            h = n + z * (h - n)
+            states.append(h)
+        out.append(states if way == 0 else states[::-1])
+    return np.concatenate([np.array(out[0]), np.array(out[1])], 1)
+
+
+def test_toxicity_scorer_equals_plain_forward():
+    r = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i % 2, " ".join(r.choice(words, 30)) + (" vile" if i % 2 else "")) for i in range(40)]
+    p = toxicity.ToxicityParams(steps=30, window=16)
+    model = toxicity.train(rows, p)
+    q, scorer = model.params, toxicity.Scorer(model)
+    for text in (b"vile word1 other", " ".join(r.choice(words, 50)).encode(), b"x"):
+        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        hashes, _ = toxicity.word_inputs(data, offsets)
+        at = toxicity.rows_of(model.keys, hashes)
+        feature = np.concatenate([*[q[f"T{i}"][at[i]] for i in range(len(at))], toxicity.char_features(toxicity.word_bytes(data, offsets), q)[0]], 1)
+        n, best = len(feature), -np.inf
+        starts = [0] if n <= 16 else [min(8 * k, n - 16) for k in range(-(-(n - 16) // 8) + 1)]
+        for s in starts:
+            part = feature[s : s + 16]
+            padded = np.concatenate([part, np.zeros((16 - len(part), part.shape[1]))])  # windows are padded with empty words
+            x = [np.stack([np.stack([f @ q["W"][way, g] + q["b"][way, g, 0] for g in range(3)]) for way in (0, 1)]) for f in padded]
+            states = plain_states(x, q)[: len(part)]
+            e = np.tanh(states @ q["A"]) @ q["a"]
+            w = np.exp(e - e.max())
+            best = max(best, float((w / w.sum()) @ states @ q["V"] + q["c"][0]))
+        assert scorer.scores(data, offsets)[0] == pytest.approx(1 / (1 + np.exp(-best)), abs=1e-4)
+
+
+def test_word_bytes():
+    texts = [b"One, two", "café".encode(), b"a" * 10 + b"b" * 10]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = [bytes(x).strip(b"\0") for x in toxicity.word_bytes(np.frombuffer(b"".join(texts), np.uint8), offsets)]
+    assert got == [b"one", b"two", "café".encode(), b"a" * 8 + b"b" * 8]
+
+
 # ---- language
 
 
@@ -80,6 +172,20 @@ def test_predictions_do_not_depend_on_batches():
         assert np.allclose(scorer.pooled(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], together[i], atol=1e-5)
 
 
+def test_language_scorer_equals_plain_forward():
+    model = language_id.train([("a", "the and of to"), ("b", "der die und")] * 20, language_id.LanguageParams(steps=20, window=12))
+    q = model.params
+    for text in (b"the and", b"der die und nicht mit von"):
+        total = np.zeros(2)
+        for s in range(0, len(text), 12):
+            part = [*text[s : s + 12]]
+            states = plain_states([q["E"][:, :, b] for b in [*part, *[language_id.PAD] * (12 - len(part))]], q)[: len(part)]
+            logits = states @ q["V"] + q["c"]
+            total += (np.exp(logits) / np.exp(logits).sum(1, keepdims=True)).sum(0)
+        got = language_id.Scorer(model).pooled(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert np.allclose(got, total / len(text), atol=1e-4)
+
+
 # ---- toxicity
 
 

@@ -60,6 +60,15 @@ def test_pack_whole_corpus(spark):
     assert len({r.bucket for r in rows}) <= 3
 
 
+def test_repeated_ids_are_spread(spark):
+    """Rows of one id, or without one, go to all shards of their bucket; a shard holds many whole batches."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.lit("a b c").alias("text"))
+    out = packing.pack(rows, packing.PackParams(budget=6, shard_rows=100)).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in out) == 4000 and len(out) >= 25 and max(r["count"] for r in out) < 300
+    batches = packing.pack(rows, packing.PackParams(budget=30, shard_rows=20)).groupBy("shard", "batch").count().collect()
+    assert sum(r["count"] < 10 for r in batches) <= len({r.shard for r in batches})
+
+
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
