@@ -19,7 +19,7 @@ Steps:
 3. blocks that still hold classes of several components are searched again: first for each class's point of another component with the
    largest bound, after which components are formed again; then for all pairs across components that the bound allows.
 
-A tree has at most about ``cell`` classes. In step 2 a larger block becomes several trees that share its least class. In step 3 its
+A tree has at most about ``cell`` classes. In step 2 a larger block becomes several trees that share about ``pivots`` of its classes. In step 3 its
 largest component and the rest are cut into parts, and pairs of parts meet in trees of their own; parts of the largest component don't meet each other.
 So a group of near copies costs about one verification a member, and no link between different sets is lost where it could join two components.
 ``link_components`` stops there. ``link_counts`` goes on to the links inside the components: every link joins two classes of one component, so all pairs of
@@ -58,7 +58,8 @@ class JoinParams:
     percent: int = 80
     groups: int = 512
     sketch_bits: int = 18
-    cell: int = 4096
+    cell: int = 512
+    pivots: int = 16
     leaf: int = 16
     link_rows: int = 1024
     link_shingles: int = 1 << 20
@@ -386,11 +387,11 @@ def _searched(cells: DataFrame, vectors: DataFrame, p: JoinParams, kind: str) ->
 
 def _preceding(blocks: DataFrame, vectors: DataFrame, p: JoinParams, paths: list[str]) -> DataFrame:
     """``a, b``: of each class the pair with a lower class that has the largest bound of those that its blocks' trees find."""
-    totals = blocks.groupBy("block").agg(F.ceil(F.count("*") / p.cell).cast("int").alias("parts"), F.min("cls").alias("least"))
+    totals = blocks.groupBy("block").agg(F.ceil(F.count("*") / p.cell).cast("int").alias("parts"), F.min("cls").alias("least"), F.ceil(F.count("*") / p.pivots).alias("every"))
     placed = blocks.join(_small(totals.filter("parts > 1"), p, paths), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("cls", F.lit("part")), "parts").cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    cells = placed.select("block", "cls", F.explode(F.when(F.col("cls") == F.col("least"), every).otherwise(own)).alias("c1"))
+    shared = (F.col("cls") == F.col("least")) | (F.pmod(F.xxhash64("cls", F.lit("pivot")), F.col("every")) == 0)
+    cells = placed.select("block", "cls", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)).alias("c1"))
     whole = cells.select("block", "c1", F.col("c1").alias("c2"), "cls", F.lit(0).cast("long").alias("label"), F.lit(0).alias("part"))
     found = _searched(whole, vectors, p, "preceding")
     return found.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b"))
