@@ -20,10 +20,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def byte_values(data: Column) -> Column:
     """The bytes of a binary as array<int>, 0 to 255."""
-    digits = F.hex(data)
-    size = F.octet_length(data)
-    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    return let(digits, lambda h: F.transform(places, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    # the digits are cut in one pass, as a substring walks its string from the front
+    digits = F.regexp_extract_all(F.hex(data), F.lit(".."), F.lit(0))
+    return F.transform(digits, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def number_at(values: Column, at: Column | int, width: int) -> Column:

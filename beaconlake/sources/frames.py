@@ -72,6 +72,14 @@ def read_chunks(source, path: str) -> DataFrame:
     return files.select(F.element_at(parts, -2).alias("device_id"), F.element_at(parts, -1).alias("capture_id"), F.lit(0).cast("long").alias("chunk_no"), F.col("modificationTime").alias("arrival_ts"), F.col("content").alias("bytes"))
 
 
+CHUNKS = "device_id string, capture_id string, chunk_no long, arrival_ts timestamp, bytes binary"
+
+
+def read_chunk_table(source, path: str) -> DataFrame:
+    """Raw chunks from Parquet with the columns of CHUNKS, by ``spark.read`` or ``spark.readStream``; many chunks a capture, in any files."""
+    return source.schema(CHUNKS).parquet(path)
+
+
 def ingest_frames(chunks: DataFrame) -> DataFrame:
     """Columns of FRAMES: every frame found, good or rejected, in order; a frame cut off by the capture's end has the status truncated.
 

@@ -100,3 +100,20 @@ def test_state_from_payloads(spark):
     last = {(r.scope, r.field): r.value for r in out.filter("pkt_no = 3").collect()}
     assert last == {("system", "heap_free_bytes"): 7712, ("system", "cpu_utilization_pct"): 10, ("task", "state"): 2, ("task", "runtime_ticks"): 150}
     assert out.filter("pkt_no = 1").count() == 0
+
+
+def test_captures_as_files_and_as_chunk_tables(spark, tmp_path):
+    """The same frames from one file a capture, from a table of chunks that cut them, and from a stream of that table."""
+    for device in ("a", "b"):
+        (tmp_path / "files" / device).mkdir(parents=True)
+        (tmp_path / "files" / device / "run").write_bytes(b"xx" + DELTA + KEY)
+    whole = frames.read_chunks(spark.read, f"{tmp_path}/files/*/*")
+    columns = ["device_id", "capture_id", "frame_no", "status", "sequence_num", "payload"]
+    want = sorted(map(tuple, frames.ingest_frames(whole).select(*columns).collect()))
+    assert [(r[0], r[1], r[3]) for r in want] == [(d, "run", "ok") for d in "aabb"]
+    data = b"xx" + DELTA + KEY
+    rows = [(d, "run", i, None, data[i * 7 : i * 7 + 7]) for d in "ab" for i in range(-(-len(data) // 7))]
+    spark.createDataFrame(rows, frames.CHUNKS).repartition(3).write.parquet(f"{tmp_path}/table")
+    cut = frames.read_chunk_table(spark.read, f"{tmp_path}/table")
+    assert sorted(map(tuple, frames.ingest_frames(cut).select(*columns).collect())) == want
+    assert frames.read_chunk_table(spark.readStream, f"{tmp_path}/table").isStreaming

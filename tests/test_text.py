@@ -103,3 +103,26 @@ def test_metric_families(spark):
     assert len({m for m, _ in found}) == 8 and len(found) == 12
     assert found["rtos_task_stack_watermark_bytes", None] == 128 and found["rtos_task_cpu_ratio", None] == 1.0 and found["rtos_telemetry_packet_loss_ratio", None] == 0.25
     assert found["rtos_task_state", "blocked"] == 1 and found["rtos_task_state", "ready"] == 0 and found["rtos_cpu_utilization_ratio", None] == 0.1
+
+
+def test_lines_of_a_large_file_keep_their_order(spark, tmp_path):
+    """A file of many splits, next to small ones that share their tasks."""
+    for name, n in (("a", 300), ("b", 3), ("c", 200)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        rows = text.lines_of(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a", 300), ("b", 3), ("c", 200)):
+        own = sorted((r.line_no, r.line) for r in rows if r.file == name)
+        assert [line for _, line in own] == [f"{name} {i}" for i in range(n)] and len({k for k, _ in own}) == n
+
+
+def test_dumps_are_read_to_the_end(spark):
+    """Every data point of a dump, however many there are."""
+    point = "NumberDataPoints #{}\nData point attributes:\n     -> device.id: Str(d)\nTimestamp: 2026-01-01 00:00:00 +0000 UTC\nValue: {}\n"
+    dump = "".join(f"Metric #{m}\nDescriptor:\n     -> Name: m{m}\n     -> Unit: By\n" + "".join(point.format(i, i) for i in range(50)) for m in range(40))
+    rows = text.read_otlp_dump(spark.createDataFrame([(dump,)], "text string")).collect()
+    assert sorted((r.name, r.value) for r in rows) == sorted((f"m{m}", float(i)) for m in range(40) for i in range(50))
