@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, media_ts, ngram_join, packing, quality_rules, token_codes, toxicity, url_filters
+from . import bpe, chat_format, hard_negatives, language_id, media_ts, ngram_join, packing, prefix_trie, quality_rules, token_codes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -242,6 +242,62 @@ SELECT page_id, host, path, rule,
 FROM fitted WHERE place = 1
 """
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the rebuilt conversations: each begins with up to five turns of the conversation whose id is the last multiple of 100."""
+    own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(own, lambda c: F.crc32(c.cast("string")) % 6, lambda c: c - c % 100, 5))
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'key': role || chr(0) || text, 'chars': length(text)} ORDER BY turn NULLS FIRST, role, left(text, 32), md5(strlen(role) || ':' || role || text)) AS seq,
+    xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+      lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.seq[1:o.h], []), o.seq[o.h + 1:]) AS seq FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), nodes AS (
+  SELECT seq[1:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN len(seq) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt) GROUP BY seq[1:d], d
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+), children AS (
+  SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), counted AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * path[depth].chars ELSE 0 END AS own_saved FROM linked l LEFT JOIN children USING (path, depth)
+), below AS (
+  SELECT path[1:d] AS path, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY path[1:d], d
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM counted JOIN below USING (path, depth)
+"""
+
+ANCHOR_EVERY = 100
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives; the label of every seventh id is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), moved, ANCHOR_EVERY)
+
+
+OP13_SQL = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, other_id) AS place, other_id AS negative_id, positive_score, s.score AS negative_score
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE place <= 10
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -254,5 +310,7 @@ QUERIES: dict[str, Query] = {
     "op8_media_ts": op8_media_ts,
     "op9_url_filters": op9_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "op9_url_filters": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op2_ngram_links": OP2_LINKS_SQL, "op3_chat_format": OP3_SQL, "op4_quality_rules": OP4_SQL, "op9_url_filters": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
