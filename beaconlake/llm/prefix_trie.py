@@ -33,7 +33,7 @@ from .chunks import sliced
 from .scratch import dropped, temporary, written
 from .shingles import mixed
 
-#: So many rows are read at once, and so many ids stand in one run.
+#: So many sequences are worked on at once, and so many ids stand in one run at most.
 SLICE = 8192
 #: Turns and bytes of each in a range key.
 HEAD, PART = 16, 8
@@ -61,14 +61,14 @@ def rebuilt(own: DataFrame, shared: Callable[[Column], Column], source: Callable
     return joined.select("conv_id", F.concat(F.slice(F.coalesce("_begin", F.array().cast(TURN)), F.lit(1), F.col("_h")), rest).alias("seq"))
 
 
-def _digests(members: DataFrame) -> DataFrame:
+def _digests(members: DataFrame, slice_rows: int) -> DataFrame:
     """``path, ends``: SHA-256 of the members' ids of each path, in ascending order and separated by commas.
 
     Ids are sorted by range and joined in runs; the runs of a path then go one after the other through one hash.
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, rows=SLICE):
+        for batch in sliced(batches, rows=slice_rows):
             path, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
             out = [(path[a], ids[a], ",".join(map(str, ids[a:b]))) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -124,7 +124,7 @@ class LeastOf:
         return at
 
     def reach_left(self, at: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """The first place down to which the values from there's next place to ``at`` are ``depth`` or more."""
+        """The first place down to which all values behind it, up to ``at`` are ``depth`` or more."""
         at = at.copy()
         for k in range(len(self.levels) - 1, -1, -1):
             level = self.levels[k]
@@ -211,14 +211,14 @@ def nodes_of(keys: np.ndarray, chars: np.ndarray, sizes: np.ndarray, times: np.n
     }
 
 
-def _local_nodes(paths: DataFrame) -> DataFrame:
+def _local_nodes(paths: DataFrame, slice_rows: int) -> DataFrame:
     """Columns of NODES for each slice of the sorted ``paths``; ``p1`` and ``p2`` are null for the root, ``parent_first`` where the parent is open."""
     head = F.concat(*[F.coalesce(F.substring(F.get("seq", i)["key"], 1, PART), F.lit(b"")) for i in range(HEAD)])
     keys = F.array_join(F.transform("seq", lambda x: F.hex(x["key"])), "")
     ordered = paths.withColumn("head", head).repartitionByRange("head").sortWithinPartitions("head", keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, rows=SLICE):
+        for batch in sliced(batches, rows=slice_rows):
             seq = batch.column(0)
             sizes = np.asarray(seq.value_lengths(), np.int64)
             turns = seq.flatten()
@@ -265,16 +265,19 @@ def _summed_up(opened: DataFrame, paths: list[str]) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def trie(members: DataFrame) -> DataFrame:
-    """``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256`` of every node of ``members`` (conv_id, seq)."""
+def trie(members: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256`` of every node of ``members`` (conv_id, seq).
+
+    ``conv_id`` is the node's smallest member. ``slice_rows`` sequences are worked on at once.
+    """
     spark = members.sparkSession
     ship_package(spark)
     with temporary(spark) as own:
         path = F.unhex(F.md5(F.concat_ws("", F.transform("seq", lambda x: F.hex(x["key"])))))
         named = written(members.select("conv_id", "seq", path.alias("path")), "members", own)
         grouped = named.groupBy("path").agg(F.first("seq").alias("seq"), F.count("*").alias("n"), F.min("conv_id").alias("first"))
-        paths = written(grouped.join(_digests(named), "path").select("seq", "n", "first", "ends"), "paths", own)
-        nodes = written(_local_nodes(paths), "nodes", own)
+        paths = written(grouped.join(_digests(named, slice_rows), "path").select("seq", "n", "first", "ends"), "paths", own)
+        nodes = written(_local_nodes(paths, slice_rows), "nodes", own)
         total = [F.sum(c).cast("long").alias(c) for c in ("n", "children", "leaves", "saved")]
         opened = nodes.filter("open").groupBy("k1", "k2", "depth").agg(*[F.max(c).alias(c) for c in ("p1", "p2", "chars", "ends")], F.min("first").alias("first"), *total)
         whole = written(_summed_up(opened, own), "summed", own)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, hard_negatives, language_id, media_ts, ngram_join, packing, prefix_trie, quality_rules, token_codes, toxicity, url_filters
+from . import bpe, chat_format, hard_negatives, language_id, line_crf, media_ts, ngram_join, packing, prefix_trie, quality_rules, token_codes, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -242,6 +242,13 @@ SELECT page_id, host, path, rule,
 FROM fitted WHERE place = 1
 """
 
+def op11_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every whole text, by a chain over its lines that learned from the labelled documents that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_crf.fit(docs, labels.filter(_remainder("doc_id", 5) != 0))
+    return line_crf.score(docs, model).select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the trie of the rebuilt conversations: each begins with up to five turns of the conversation whose id is the last multiple of 100."""
     own = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
@@ -310,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "op8_media_ts": op8_media_ts,
     "op9_url_filters": op9_url_filters,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_line_crf": op11_line_crf,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
