@@ -7,21 +7,23 @@ A looked-up input known to the model is a row of a table: its smoothed log-odds
 ones are zero. The network runs over windows of ``window`` words, each overlapping the next by half; attention pools the states of a window into one
 logit. A document's score is that of its worst window, so every word of every text is read twice or more.
 
-``fit`` learns from a bounded sample of labelled rows: at most ``max_toxic`` and ``max_clean`` of them, chosen by a hash of the id, texts over
-``max_chars`` characters left out. A toxic text teaches with its window of the largest log-odds, a clean one with that and a random one. Log-odds of
+``fit`` learns from a bounded sample of labelled rows: at most ``max_toxic`` and ``max_clean`` of them, chosen by a hash of the id among those that have a text. Of a text over
+``max_chars`` characters a bounded number of windows is taken on Spark: most of them those with the largest log-odds of their words in the sample, the others by a hash. A toxic text teaches with its window of the largest log-odds, a clean one with that and a random one. Log-odds of
 a training row leave its own label out, so a word seen once teaches nothing about the row that it came from.
 
 Defined results: a null or empty text, or one without words, gets the share of toxic rows in the training sample; without training rows of both labels every
-score is 0; rows of one id with several labels count as toxic if one of them does. Scores have five digits, so that they don't depend on what else is in a batch.
+score is 0, and ``fit`` warns; rows of one id with several labels count as toxic if one of them does. Scores have five digits, so that they don't depend on what else is in a batch.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from beaconlake.session import ship_package
 
 from . import bigru
 from .chunks import sliced
+from .shingles import buffer_of, mixed
 
 SCHEMA = "doc_id long, score double, predicted int"
 HEADS = (4, 5, 6, 7, 8, 10)
@@ -42,6 +45,7 @@ class ToxicityParams:
     max_toxic: int = 1000
     max_clean: int = 2000
     max_chars: int = 8000
+    hot_words: int = 8192
     window: int = 64
     learned: int = 2
     embedding: int = 4
@@ -167,15 +171,67 @@ def rows_of(keys: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shortened(rows: DataFrame, p: ToxicityParams) -> DataFrame:
+    """``label, id, text`` with the long texts cut to windows, about ``max_chars`` characters in all; the others as they are."""
+    if not rows.filter(F.length("text") > p.max_chars).limit(1).count():
+        return rows
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, rows=256, megabytes=4):
+            hashes, counts = word_inputs(*buffer_of(batch.column(1)))
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((hashes[0], owner))
+            word, text = hashes[0][order], owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+            toxic = np.asarray(batch.column(0))[text[new]].astype(np.int64)
+            yield pa.record_batch([pa.array(word[new].view(np.int64)), pa.array(toxic)], ["word", "toxic"])
+
+    each = rows.select("label", "text").mapInArrow(counted, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    base = rows.agg(F.avg("label")).first()[0]
+    odds = F.log((F.col("toxic") + p.smoothing * base) / (F.col("n") - F.col("toxic") + p.smoothing * (1 - base))) - F.lit(float(np.log(max(base, 1e-6) / max(1 - base, 1e-6))))
+    hot = each.filter(F.col("n") >= p.min_texts).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(p.hot_words).collect()
+    order = np.argsort(np.array([r["word"] for r in hot], np.int64).view(np.uint64))
+    keys, worth = np.array([r["word"] for r in hot], np.int64).view(np.uint64)[order], np.maximum(np.array([r["odds"] for r in hot], np.float64)[order], 0)
+    most = max(2, p.max_chars // (8 * p.window))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, rows=256, megabytes=4):
+            long = np.asarray(pc.utf8_length(batch.column(2))) > p.max_chars
+            texts = batch.column(2).to_pylist()
+            for i in np.flatnonzero(long):
+                data = np.frombuffer(texts[i].encode(), np.uint8)
+                offsets = np.array([0, len(data)])
+                start, stop, _ = _words(data, offsets)
+                firsts = np.arange(0, len(start), p.window)
+                if not len(firsts):
+                    texts[i] = ""
+                    continue
+                hashes = word_inputs(data, offsets)[0][0]
+                at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+                value = np.where(keys[at] == hashes, worth[at], 0) if len(keys) else np.zeros(len(hashes))
+                sums = np.add.reduceat(value**2, firsts)
+                best = np.argsort(-sums, kind="stable")[: most - most // 4]
+                rest = np.setdiff1d(np.arange(len(firsts)), best)
+                chosen = np.sort(np.concatenate([best, rest[np.argsort(mixed(rest.astype(np.uint64)), kind="stable")[: most // 4]]]))
+                lasts = np.minimum(firsts + p.window, len(start)) - 1
+                texts[i] = "\n".join(data[start[firsts[c]] : stop[lasts[c]]].tobytes().decode("utf-8", "replace") for c in chosen)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["label", "id", "text"])
+
+    return rows.select("label", "id", "text").mapInArrow(cut, "label int, id long, text string")
+
+
 def sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, str]]:
-    """(label, text) of the training rows. Only the chosen ids are broadcast and only their texts come to the driver."""
-    marked = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    """(label, text) of the training rows. Only the chosen ids are broadcast and only their texts come to the driver, long ones in windows."""
+    marked = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    there = marked.join(named.select("id").distinct(), "id", "left_semi")
     order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
-    chosen = marked.filter("label = 1").orderBy(*order).limit(p.max_toxic).unionByName(marked.filter("label = 0").orderBy(*order).limit(p.max_clean))
-    named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= p.max_chars)
-    # an id that is repeated gives as many rows; the bound holds for the rows
-    rows = named.join(F.broadcast(chosen), "id").orderBy(*order, "text").limit(p.max_toxic + p.max_clean).collect()
-    return [(int(r["label"]), r["text"]) for r in rows]
+    chosen = there.filter("label = 1").orderBy(*order).limit(p.max_toxic).unionByName(there.filter("label = 0").orderBy(*order).limit(p.max_clean))
+    # an id that is repeated gives as many rows as it has texts; the bound holds for the rows of each label
+    rows = _shortened(named.join(F.broadcast(chosen), "id").select("label", "id", "text").dropDuplicates(), p)
+    found = [r for y, most in ((1, p.max_toxic), (0, p.max_clean)) for r in rows.filter(F.col("label") == y).orderBy(*order, "text").limit(most).collect()]
+    return [(int(r["label"]), r["text"]) for r in found]
 
 
 def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
@@ -193,6 +249,7 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
     params["V"] = (rng.standard_normal(2 * p.hidden) / 4).astype(np.float32)
     params["c"] = np.zeros(1, np.float32)
     if len(label) == 0 or label.min() == label.max():
+        warnings.warn("no training rows of both labels: every toxicity score is 0", stacklevel=2)
         return ToxicityModel([], params, p.window)
 
     parts, chars = [], []

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from beaconlake.llm import bigru, language_id, queries, toxicity
 
@@ -208,6 +209,43 @@ def test_word_inputs_equal_brute_force():
     assert (alone[:, 0] == hashes[:, 2]).all()
 
 
+def test_long_texts_teach_toxicity(spark):
+    """All toxic rows are far over ``max_chars``, with the toxic words in one place: they are neither left out nor cut to what is clean in them."""
+    r = np.random.default_rng(12)
+    words = np.array([f"word{i}" for i in range(400)])
+    bad = ["vile slur", "hateful vile thing", "slur and filth"]
+
+    def text(i, toxic):
+        own = list(r.choice(words, 3000 if toxic else 80))
+        if toxic:
+            own[int(r.integers(3000))] = bad[i % 3]
+        return " ".join(own)
+
+    rows = [(i, text(i, i % 2)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    got = toxicity.sample(docs, labels, toxicity.ToxicityParams())
+    assert sum(y for y, _ in got) == 60 and all(("vile" in t or "slur" in t) and len(t) < 8192 for y, t in got if y)
+    model = toxicity.fit(docs, labels.filter("doc_id < 80"))
+    held = toxicity.score(docs.filter("doc_id >= 80"), model).collect()
+    assert np.mean([x.predicted for x in held if x.doc_id % 2]) >= 0.9 and np.mean([x.predicted for x in held if x.doc_id % 2 == 0]) <= 0.1
+
+
+def test_toxicity_without_a_label_warns(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="both labels"):
+        model = toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
+    assert {x.score for x in toxicity.score(docs, model).collect()} == {0.0}
+
+
+def test_toxicity_bound_keeps_both_labels(spark):
+    """A repeated id is one row of the sample, so that its copies don't take the others' places."""
+    docs = spark.createDataFrame([(1, "same text")] * 50 + [(i, f"text {i}") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 6)) for i in range(1, 12)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, toxicity.ToxicityParams(max_toxic=3, max_clean=3))
+    assert sorted(y for y, _ in got) == [0, 0, 0, 1, 1, 1]
+
+
 def test_toxicity_odd_rows(spark):
     r = np.random.default_rng(3)
     words = [f"w{i}" for i in range(200)]
