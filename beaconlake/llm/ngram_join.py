@@ -241,16 +241,19 @@ class Tree:
 
 
 def _texts(pairs: DataFrame, least: DataFrame, named: DataFrame, p: JoinParams, paths: list[str]) -> DataFrame:
-    """``cls, text`` of the classes in the pairs: one row's text each; rows of one id are told apart by their texts.
+    """``cls, text`` of the classes in the pairs, a row a class; rows of one id are told apart by their texts, and of rows alike in both one is taken.
 
     The list of wanted rows is broadcast only up to ``broadcast_rows``; a longer one is joined by shuffle.
     """
     classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     chosen = written(least.join(classes, "cls", "left_semi").select("cls", "one.*"), "chosen", paths)
-    if chosen.count() <= p.broadcast_rows:
+    rows, repeated = chosen.agg(F.count("*"), F.max("copies")).first()
+    if rows <= p.broadcast_rows:
         chosen = F.broadcast(chosen)
-    found = named.join(chosen, (named["key"] == chosen["text_key"]) & named["id"].eqNullSafe(chosen["doc_id"]))
-    return written(found.select("cls", "text"), "texts", paths)
+    found = named.join(chosen, (named["key"] == chosen["text_key"]) & named["id"].eqNullSafe(chosen["doc_id"])).select("cls", "text")
+    if (repeated or 1) > 1:  # tasks keep one text a class before they send any
+        found = found.groupBy("cls").agg(F.first("text").alias("text"))
+    return written(found, "texts", paths)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
@@ -489,13 +492,17 @@ def _links_inside(labels: DataFrame, least: DataFrame, named: DataFrame, p: Join
     return written(dealt.mapInArrow(run, "cls long, others long").groupBy("cls").agg(F.sum("others").alias("others")), "others", paths)
 
 
+def classes_of(sets: DataFrame) -> DataFrame:
+    """``cls, first_id, one, n, rows`` of every class: its least id, the row that stands for it (id, text, how many rows are alike in both), its set's size, and its rows."""
+    alike = sets.filter("cls is not null").groupBy("cls", "doc_id", "text_key").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    return alike.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key", "copies")).alias("one"), F.first("n").alias("n"), F.sum("copies").alias("rows"))
+
+
 def _joined(docs: DataFrame, p: JoinParams, doc_id: str, text: str, paths: list[str], counted: bool) -> DataFrame:
     """The rows of ``link_components`` or, if ``counted``, of ``link_counts``; they read tables of ``paths``."""
     ship_package(docs.sparkSession)
     sets = summarise(docs, p, doc_id, text, paths)
-    least = sets.filter("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n").alias("n"), F.count("*").alias("rows")
-    )
+    least = classes_of(sets)
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
 
     with temporary(docs.sparkSession) as own:
@@ -554,11 +561,11 @@ def keep_first(docs: DataFrame, p: JoinParams = JoinParams(), doc_id: str = "doc
     full = judged.filter("class_id is not null")
     ids = full.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("one")).select("one.doc_id", "one.text_key")
     keep = ids.unionByName(judged.filter("class_id is null").select("doc_id", "text_key").distinct())
-    known, key = F.col(doc_id).cast("long"), F.xxhash64(text)
-    keep = keep.select(F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key"))
-    kept = docs.join(keep, known.eqNullSafe(F.col("_keep_id")) & (key == F.col("_keep_key")), "left_semi")
-    repeated = full.groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_key"))
-    if repeated.limit(1).count() == 0:
-        return kept
-    alike = known.eqNullSafe(F.col("_keep_id")) & (key == F.col("_keep_key"))
-    return kept.join(repeated, alike, "left_anti").unionByName(kept.join(repeated, alike, "left_semi").dropDuplicates([doc_id, text]))
+    # the row goes as one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("body"))
+    keep, repeated = (x.select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key")) for x in (keep, full.groupBy("doc_id", "text_key").count().filter("count > 1")))
+    alike = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
+    kept = rows.join(keep, alike, "left_semi")
+    if repeated.limit(1).count():
+        kept = kept.join(repeated, alike, "left_anti").unionByName(kept.join(repeated, alike, "left_semi").dropDuplicates(["id", "body"]))
+    return kept.select("row.*")

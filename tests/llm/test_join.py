@@ -107,6 +107,40 @@ def test_link_counts_equal_brute_force(spark, params):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute(rows, params.words, params.percent)
 
 
+def test_link_counts_of_repeated_rows(spark):
+    """Rows repeated one to five times under one id: each counts, and no link twice."""
+    rows = [row for i, row in enumerate(made_rows(8, 200)) for _ in range(1 + i % 5)]
+    p = ngram_join.JoinParams(words=2, percent=70, cell=20, leaf=4, link_rows=9)
+    got = ngram_join.link_counts(spark.createDataFrame(rows, DOCS).repartition(4), p)
+    assert sorted(map(tuple, got.select("doc_id", "n_links").collect())) == brute_links(rows, 2, 70)
+
+
+def test_repeated_row_is_one_text(spark, tmp_path):
+    """A third of the rows are one row: it is verified as one text, and the other rows' results stay as they are."""
+    rows = made_rows(9, 300)
+    whole = " ".join(f"z{i}" for i in range(80))
+    rows += [(5000, whole, "")] * 150 + [(5001, whole + " end", "")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    paths = []
+    p = ngram_join.JoinParams()
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    sets = ngram_join.summarise(docs, p, "doc_id", "text", paths)
+    least = ngram_join.classes_of(sets)
+    assert least.filter("rows >= 150").select("one.copies").collect()[0][0] == 150
+    pairs = least.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    texts = ngram_join._texts(pairs, least, named, p, paths)
+    assert texts.count() == texts.select("cls").distinct().count() == least.count()
+    got = ngram_join.link_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 80)
+
+
+def test_keep_first_with_any_names(spark):
+    names = ["doc_id", "text", "id", "key", "keep_id", "keep_key", "row", "body", "_keep_id", "cls"]
+    docs = spark.createDataFrame([(1, "a b c d e f", *"qrstuvwx"), (2, "a b c d e f", *"qrstuvwx"), (3, "other", *"qrstuvwx")], names)
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == names and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_link_counts_empty(spark):
     assert ngram_join.link_counts(spark.createDataFrame([], DOCS)).count() == 0
 
