@@ -3,7 +3,7 @@
 A text is read as words (runs of ASCII letters, digits and bytes above 127, A-Z in lower case). Each word gives the word
 itself and its characters. They come in twice: its first 4 to 10 bytes, where more follow, and its last four are looked up like the word; and its bytes (of a word
 over ``CHARS`` bytes the first and the last) run through a learned byte embedding, a convolution of three bytes, and a maximum over the places, which needs no table.
-A looked-up input known to the model is a row of a table: its smoothed log-odds in the training rows, and components that are learned with the network; unknown
+A looked-up input known to the model is a row of a table: its smoothed log-odds in the windows of the training rows, and components that are learned with the network; unknown
 ones are zero. The network runs over windows of ``window`` words, each overlapping the next by half; attention pools the states of a window into one
 logit. A document's score is that of its worst window, so every word of every text is read twice or more.
 
@@ -177,20 +177,31 @@ def _shortened(rows: DataFrame, p: ToxicityParams) -> DataFrame:
         return rows
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many windows (those of toxic rows, all) and texts a word stands; without a word, how many windows there are."""
         for batch in sliced(batches, rows=256, megabytes=4):
             hashes, counts = word_inputs(*buffer_of(batch.column(1)))
-            owner = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((hashes[0], owner))
-            word, text = hashes[0][order], owner[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
-            toxic = np.asarray(batch.column(0))[text[new]].astype(np.int64)
-            yield pa.record_batch([pa.array(word[new].view(np.int64)), pa.array(toxic)], ["word", "toxic"])
-
-    each = rows.select("label", "text").mapInArrow(counted, "word long, toxic long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
-    base = rows.agg(F.avg("label")).first()[0]
-    odds = F.log((F.col("toxic") + p.smoothing * base) / (F.col("n") - F.col("toxic") + p.smoothing * (1 - base))) - F.lit(float(np.log(max(base, 1e-6) / max(1 - base, 1e-6))))
-    hot = each.filter(F.col("n") >= p.min_texts).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(p.hot_words).collect()
+            label = np.asarray(batch.column(0)).astype(np.int64)
+            text = np.repeat(np.arange(len(counts)), counts)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+            order = np.lexsort((place, text, hashes[0]))
+            word, text, window = hashes[0][order], text[order], place[order] // p.window
+            other = np.ones((2, len(order)), bool)  # another text than the row before, another window
+            other[0, 1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+            other[1, 1:] = other[0, 1:] | (window[1:] != window[:-1])
+            new, windows = other[1], -(-counts // p.window)
+            columns = [
+                pa.concat_arrays([pa.array(word[new].view(np.int64)), pa.nulls(len(counts), pa.int64())]), np.concatenate([label[text[new]], label * windows]),
+                np.concatenate([np.ones(new.sum(), np.int64), windows]), np.concatenate([other[0][new].astype(np.int64), np.zeros(len(counts), np.int64)]),
+            ]
+            yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["word", "toxic", "n", "texts"])
+
+    sums = [F.sum(c).alias(c) for c in ("toxic", "n", "texts")]
+    each = rows.select("label", "text").mapInArrow(counted, "word long, toxic long, n long, texts long").groupBy("word").agg(*sums)
+    total = each.filter("word is null").first()
+    base = min(max(total["toxic"] / max(total["n"], 1), 1e-6), 1 - 1e-6)
+    # a window's share, not a text's, as a long text has most words somewhere
+    odds = F.log((F.col("toxic") + p.smoothing * base) / (F.col("n") - F.col("toxic") + p.smoothing * (1 - base))) - float(np.log(base / (1 - base)))
+    hot = each.filter(F.col("word").isNotNull() & (F.col("texts") >= p.min_texts)).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(p.hot_words).collect()
     order = np.argsort(np.array([r["word"] for r in hot], np.int64).view(np.uint64))
     keys, worth = np.array([r["word"] for r in hot], np.int64).view(np.uint64)[order], np.maximum(np.array([r["odds"] for r in hot], np.float64)[order], 0)
     most = max(2, p.max_chars // (8 * p.window))
@@ -262,21 +273,26 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
     chars = np.concatenate([*chars, np.zeros((1, CHARS + 2), np.uint8)])  # the last row stands for no word
     counts = np.concatenate([c for _, c in parts])
     owner = np.repeat(np.arange(len(rows)), counts)
-    base = label.mean()
+    window = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) // p.window
+    windows = -(-counts // p.window)
+    stride, share = int(windows.max(initial=0)) + 1, label.mean()
+    base = float(np.clip((windows * label).sum() / max(windows.sum(), 1), 1e-6, 1 - 1e-6))
     keys = []
     at = np.zeros((len(INPUTS), len(owner)), np.int32)  # table rows
     odds = np.zeros((len(INPUTS), len(owner)), np.float32)
     for i in range(len(INPUTS)):
         values, inverse = np.unique(np.concatenate([h[i] for h, _ in parts]), return_inverse=True)
-        pairs = np.unique(inverse.astype(np.int64) * len(rows) + owner)  # each text counts once
+        found = np.unique((inverse.astype(np.int64) * len(rows) + owner) * stride + window)  # each window counts once
+        pairs, times = np.unique(found // stride, return_counts=True)
         value, text = pairs // len(rows), pairs % len(rows)
-        seen = np.bincount(value, minlength=len(values))
-        toxic = np.bincount(value, weights=label[text], minlength=len(values))
+        texts = np.bincount(value, minlength=len(values))
+        seen = np.bincount(value, weights=times, minlength=len(values))
+        toxic = np.bincount(value, weights=times * label[text], minlength=len(values))
 
         def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
             return np.log((toxic + p.smoothing * base) / (clean + p.smoothing * (1 - base))) - np.log(base / (1 - base))
 
-        known = (seen >= p.min_texts) & (values != 0)
+        known = (texts >= p.min_texts) & (values != 0)
         place = np.cumsum(known) * known  # row of a value, 0 if it isn't known
         keys.append(values[known])
         learned = (0.05 * rng.standard_normal((known.sum() + 1, p.learned))).astype(np.float32)
@@ -284,7 +300,8 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
         own = np.concatenate([[0], log_odds(toxic, seen - toxic)[known]]).astype(np.float32)
         params[f"T{i}"] = np.concatenate([own[:, None], learned], 1)
         y = label[owner]
-        without = log_odds(toxic[inverse] - y, seen[inverse] - toxic[inverse] - (1 - y)) * (seen[inverse] > 1)
+        own_times = times[np.searchsorted(pairs, inverse.astype(np.int64) * len(rows) + owner)]  # a row's own windows are left out
+        without = log_odds(toxic[inverse] - own_times * y, seen[inverse] - toxic[inverse] - own_times * (1 - y)) * (texts[inverse] > 1)
         odds[i] = np.where(known[inverse], without, 0.0)
         at[i] = place[inverse]
     del parts
@@ -320,7 +337,7 @@ def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
     for i in range(len(INPUTS)):
         params[f"T{i}"][:, 1:] = p_.pop(f"L{i}")
     params.update(p_)
-    return ToxicityModel(keys, params, p.window, float(base))
+    return ToxicityModel(keys, params, p.window, float(share))
 
 
 def gradients(params: bigru.Params, odds: np.ndarray, at: np.ndarray, chars: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, bigru.Params]:
