@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beaconlake.operators.quality import loss_ratio
+from beaconlake.functions.scan import WIDTH, Scan, ranges
 from beaconlake.params import COUNTER_MOD, METRICS, TASK_STATES, THRESHOLDS
 
 
@@ -39,8 +40,8 @@ def task_cpu_share(tasks: DataFrame) -> DataFrame:
 
 def interval_cpu_share(tasks: DataFrame) -> DataFrame:
     """``cpu_share`` of the ticks since the task's snapshot before (the counter wraps at 2^32); null where the snapshot has no such ticks."""
-    before = F.lag("runtime_ticks").over(Window.partitionBy("device_id", "task_idx").orderBy("snapshot_id"))
-    stepped = tasks.withColumn("interval_ticks", F.pmod(F.col("runtime_ticks") - before, F.lit(COUNTER_MOD)))
+    before = Scan(["device_id", "task_idx"], ["snapshot_id"], ranges("snapshot_id", WIDTH), before={"_ticks_before": F.col("runtime_ticks")}).over(tasks)
+    stepped = before.withColumn("interval_ticks", F.pmod(F.col("runtime_ticks") - F.col("_ticks_before"), F.lit(COUNTER_MOD))).drop("_ticks_before")
     total = F.sum("interval_ticks").over(Window.partitionBy("device_id", "snapshot_id"))
     return stepped.withColumn("cpu_share", F.col("interval_ticks") / F.nullif(total, F.lit(0)))
 

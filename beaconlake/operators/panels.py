@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from beaconlake.functions.scan import Scan
+
 
 def of_device(metrics: DataFrame, device_id: str | None) -> DataFrame:
     """The rows of one device, or all."""
@@ -34,16 +36,16 @@ def sampled(packets: DataFrame, seconds: int, value: str) -> DataFrame:
     return last.select("device_id", F.col("w.start").alias("bucket"), value)
 
 
-def sampled_asof(packets: DataFrame, scrapes: DataFrame, value: str) -> DataFrame:
+def sampled_asof(packets: DataFrame, scrapes: DataFrame, value: str, seconds: int = 3600) -> DataFrame:
     """The value that each scrape (device_id, scrape_ts) sees: that of the last packet at or before it; null before the first.
 
-    Packets and scrapes are put in one order of each device, and the last value is carried forward: one shuffle by device, no range join.
+    Packets and scrapes are put in one order of each device, and the last value is carried forward: no range join. ``seconds`` of a device are scanned at once.
     """
     both = packets.select("device_id", F.col("arrival_ts").alias("ts"), F.lit(0).alias("scrape"), "pkt_no", F.col(value).alias("v")).unionByName(
         scrapes.select("device_id", F.col("scrape_ts").alias("ts"), F.lit(1).alias("scrape"), F.lit(None).cast("long").alias("pkt_no"), F.lit(None).cast(packets.schema[value].dataType).alias("v"))
     )
-    seen = F.last("v", ignorenulls=True).over(Window.partitionBy("device_id").orderBy("ts", "scrape", "pkt_no").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("seen", seen).filter("scrape = 1").select("device_id", F.col("ts").alias("scrape_ts"), F.col("seen").alias(value))
+    seen = Scan(["device_id"], ["ts", "scrape", "pkt_no"], F.floor(F.unix_micros("ts") / (seconds * 1_000_000)), last={"seen": F.col("v")}).over(both)
+    return seen.filter("scrape = 1").select("device_id", F.col("ts").alias("scrape_ts"), F.col("seen").alias(value))
 
 
 def progress(packets: DataFrame, seconds: int) -> DataFrame:

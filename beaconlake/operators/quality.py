@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from beaconlake.functions.frames import by_device, so_far
+from beaconlake.functions.scan import WIDTH, by_packet
 from beaconlake.params import COUNTER_MOD, SEQ_MOD
 
 
+def seq_gaps(packets: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``gap`` (1 at a discontinuity, the first packet never) and ``missing_packets`` (how many numbers were skipped).
 
-def seq_gaps(packets: DataFrame) -> DataFrame:
-    """``gap`` (1 at a discontinuity, the first packet never) and ``missing_packets`` (how many numbers were skipped)."""
-    before = F.lag("sequence_num").over(by_device())
-    missing = F.pmod(F.col("sequence_num") - before - 1, F.lit(SEQ_MOD))
-    return packets.withColumns({"missing_packets": F.coalesce(missing, F.lit(0)).cast("long"), "gap": F.when(missing > 0, 1).otherwise(0)})
+    A number is compared with the last known one before it; a packet without a number is no gap itself. ``width`` packet numbers are scanned at once.
+    """
+    before = by_packet(width, known={"_before_num": F.col("sequence_num")}).over(packets)
+    missing = F.pmod(F.col("sequence_num") - F.col("_before_num") - 1, F.lit(SEQ_MOD))
+    return before.withColumns({"missing_packets": F.coalesce(missing, F.lit(0)).cast("long"), "gap": F.when(missing > 0, 1).otherwise(0)}).drop("_before_num")
 
 
-def running_counters(packets: DataFrame) -> DataFrame:
+def running_counters(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """``packet_count`` and ``drop_count`` after each packet."""
-    return seq_gaps(packets).withColumns({"packet_count": F.count("*").over(so_far()), "drop_count": F.sum("gap").over(so_far())})
+    return by_packet(width, sums={"packet_count": F.lit(1).cast("long"), "drop_count": F.col("gap").cast("long")}).over(seq_gaps(packets, width))
 
 
 def loss_ratio(drops: Column, packets: Column) -> Column:
@@ -38,10 +40,12 @@ def packet_quality(packets: DataFrame, frames: DataFrame | None = None) -> DataF
     return rated.join(dropped, "device_id", "left").withColumn("crc_drops", F.coalesce("crc_drops", F.lit(0)))
 
 
-def counter_unwrap(readings: DataFrame, value: str = "raw_ticks", modulus: int = COUNTER_MOD) -> DataFrame:
+def counter_unwrap(readings: DataFrame, value: str = "raw_ticks", modulus: int = COUNTER_MOD, width: int = WIDTH) -> DataFrame:
     """``elapsed`` since the reading before (modulo the counter's range) and ``unwrapped``, the sum of them."""
-    elapsed = F.coalesce(F.pmod(F.col(value) - F.lag(value).over(by_device()), F.lit(modulus)), F.lit(0)).cast("long")
-    return readings.withColumn("elapsed", elapsed).withColumn("unwrapped", F.first(value).over(so_far()) + F.sum("elapsed").over(so_far()))
+    before = by_packet(width, before={"_before_value": F.col(value)}, first={"_first_value": F.col(value)}).over(readings)
+    elapsed = F.coalesce(F.pmod(F.col(value) - F.col("_before_value"), F.lit(modulus)), F.lit(0)).cast("long")
+    summed = by_packet(width, sums={"_elapsed_sum": F.col("elapsed")}).over(before.withColumn("elapsed", elapsed))
+    return summed.withColumn("unwrapped", F.col("_first_value") + F.col("_elapsed_sum")).drop("_before_value", "_first_value", "_elapsed_sum")
 
 
 def device_offline(packets: DataFrame, now: Column | DataFrame, timeout_seconds: int) -> DataFrame:

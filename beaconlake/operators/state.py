@@ -4,37 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from beaconlake.functions.frames import by_device, so_far, in_epoch
+from beaconlake.functions.scan import WIDTH, Scan, by_packet, ranges
+from beaconlake.operators.quality import seq_gaps
 from beaconlake.params import KEYFRAME_EVERY, SYSTEM_TAG
 
 
+def _epochs(packets: DataFrame, width: int, **what) -> DataFrame:
+    """``epoch``, ``has_baseline`` and further columns of one scan; values in ``last`` are carried inside an epoch."""
+    epoch = {"epoch": F.col("is_valid_keyframe").cast("long")}
+    return by_packet(width, sums=epoch, reset=F.col("is_valid_keyframe"), **what).over(packets).withColumn("has_baseline", F.col("epoch") > 0)
 
-def keyframe_epoch(packets: DataFrame) -> DataFrame:
-    """``epoch``: number of valid keyframes so far; 0 before the first, when deltas mean nothing."""
-    return packets.withColumn("epoch", F.sum(F.col("is_valid_keyframe").cast("long")).over(so_far())).withColumn("has_baseline", F.col("epoch") > 0)
 
+def keyframe_epoch(packets: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``epoch``: number of valid keyframes so far; 0 before the first, when deltas mean nothing. ``width`` packet numbers are scanned at once."""
+    return _epochs(packets, width)
 
-def rebuild_state(packets: DataFrame, fields: dict[str, str]) -> DataFrame:
+
+def rebuild_state(packets: DataFrame, fields: dict[str, str], width: int = WIDTH) -> DataFrame:
     """The value of each field after each packet: the last one given since the epoch's keyframe.
 
     ``fields`` maps a delta column, null where the packet doesn't give it, to the state column. Packets before the first keyframe have no state.
     """
-    known = keyframe_epoch(packets).filter("has_baseline")
-    return known.withColumns({state: F.last(delta, ignorenulls=True).over(in_epoch()) for delta, state in fields.items()})
+    return _epochs(packets, width, last={state: F.col(delta) for delta, state in fields.items()}).filter("has_baseline")
+
+
+def stale_since_gap(packets: DataFrame, fields: dict[str, str], width: int = WIDTH) -> DataFrame:
+    """``rebuild_state`` with ``<state column>_stale`` for each field, ``stale_since_gap`` (any of them), and ``last_gap_pkt``, the packet behind the epoch's last gap.
+
+    A delta that was lost in a gap leaves a wrong value until the field is given again or the next keyframe comes: a value is stale if a gap of its epoch lies between it and
+    now. A packet that comes behind a gap makes what it gives fresh; a field that the epoch hasn't given yet is stale after any gap.
+    """
+    own = {f"_given_{i}": F.when(F.col(delta).isNotNull(), F.col("pkt_no")) for i, delta in enumerate(fields)}
+    gap = {"last_gap_pkt": F.when(F.col("gap") == 1, F.col("pkt_no"))}
+    rebuilt = _epochs(seq_gaps(packets, width), width, last={**{state: F.col(delta) for delta, state in fields.items()}, **own, **gap}).filter("has_baseline")
+    stale = {f"{state}_stale": F.coalesce(F.col("last_gap_pkt") > F.coalesce(f"_given_{i}", F.lit(-1)), F.lit(False)) for i, state in enumerate(fields.values())}
+    marked = rebuilt.withColumns(stale).drop(*own)
+    return marked.withColumn("stale_since_gap", F.greatest(F.lit(False), *[F.col(c) for c in stale]))
 
 
-def delta_known_task(packets: DataFrame) -> DataFrame:
+def delta_known_task(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """Task changes that apply: their index is below the task count of the epoch's keyframe."""
-    known = rebuild_state(packets, {"task_count": "epoch_task_count"})
+    known = rebuild_state(packets, {"task_count": "epoch_task_count"}, width)
     return known.filter(~F.col("is_valid_keyframe") & (F.col("task_idx_d") < F.col("epoch_task_count")))
 
 
-def rebuild_task_state(packets: DataFrame) -> DataFrame:
+def rebuild_task_state(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """State of each task after each change that applies, with the state before it in the epoch."""
-    by_task = Window.partitionBy("device_id", "epoch", "task_idx_d").orderBy("pkt_no")
-    return delta_known_task(packets).withColumn("state_before", F.lag("state_d").over(by_task))
+    return Scan(["device_id", "epoch", "task_idx_d"], ["pkt_no"], ranges("pkt_no", width), before={"state_before": F.col("state_d")}).over(delta_known_task(packets, width))
 
 
 def full_state(changes: DataFrame) -> DataFrame:
@@ -54,8 +71,8 @@ def _carried(changes: DataFrame, keys: list[str], fields: list[str]) -> DataFram
     """A row a packet with the last value of every field: the fields of a packet come together first, then values are carried inside the epoch."""
     given = [F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("place"))).alias(f) for f in fields]
     packets = changes.groupBy(*keys, "pkt_no").agg(*given)
-    so_far = Window.partitionBy(*keys).orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
-    return packets.select(*keys, "pkt_no", *[F.last(f, ignorenulls=True).over(so_far).alias(f) for f in fields])
+    carried = Scan(keys, ["pkt_no"], ranges("pkt_no", WIDTH), last={f: F.col(f) for f in fields}).over(packets)
+    return carried.select(*keys, "pkt_no", *fields)
 
 
 def current_tasks(tasks: DataFrame, names: DataFrame, include_stale: bool = False) -> DataFrame:
@@ -73,14 +90,13 @@ def current_tasks(tasks: DataFrame, names: DataFrame, include_stale: bool = Fals
     return last.join(newest, ["device_id", "epoch"]).select("device_id", F.col("epoch").alias("snapshot_id"), "task_idx", "s.*")
 
 
-def heap_samples(packets: DataFrame, include_prebaseline: bool = False) -> DataFrame:
+def heap_samples(packets: DataFrame, include_prebaseline: bool = False, width: int = WIDTH) -> DataFrame:
     """``device_id, pkt_no, arrival_ts, heap_free_bytes`` after each packet: the samples of the leak analytics.
 
     Packets before the first keyframe give no sample or, with ``include_prebaseline``, one of 0 bytes.
     """
-    epochs = keyframe_epoch(packets)
-    carried = F.last("heap_d", ignorenulls=True).over(in_epoch())
-    heap = F.when(F.col("has_baseline"), carried).otherwise(F.lit(0)).cast("long")
+    epochs = _epochs(packets, width, last={"_heap": F.col("heap_d")})
+    heap = F.when(F.col("has_baseline"), F.col("_heap")).otherwise(F.lit(0)).cast("long")
     samples = epochs.select("device_id", "pkt_no", "arrival_ts", heap.alias("heap_free_bytes"), "has_baseline")
     return (samples if include_prebaseline else samples.filter("has_baseline")).drop("has_baseline")
 
@@ -97,19 +113,28 @@ def device_get_or_create(wanted: DataFrame, states: DataFrame, defaults: dict[st
     return joined.select("device_id", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()], F.col("found").isNull().alias("created"))
 
 
-def state_transitions(packets: DataFrame, *keys: str) -> DataFrame:
+def _by(keys: tuple[str, ...], width: int, **what) -> Scan:
+    return Scan(["device_id", *keys], ["pkt_no"], ranges("pkt_no", width), **what)
+
+
+def state_transitions(packets: DataFrame, *keys: str, width: int = WIDTH) -> DataFrame:
     """Runs of one state: ``run, state, first_pkt, last_pkt, packets`` of each device (and of further keys)."""
-    order = Window.partitionBy("device_id", *keys).orderBy("pkt_no")
-    starts = packets.withColumn("starts", (~F.col("state").eqNullSafe(F.lag("state").over(order)) | F.lag("pkt_no").over(order).isNull()).cast("int"))
-    runs = starts.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = _by(keys, width, before={"_state_before": F.col("state"), "_pkt_before": F.col("pkt_no")}).over(packets)
+    starts = (~F.col("state").eqNullSafe(F.col("_state_before")) | F.col("_pkt_before").isNull()).cast("long")
+    runs = _by(keys, width, sums={"run": F.col("_starts")}).over(before.withColumn("_starts", starts))
     return runs.groupBy("device_id", *keys, "run").agg(F.first("state").alias("state"), F.min("pkt_no").alias("first_pkt"), F.max("pkt_no").alias("last_pkt"), F.count("*").alias("packets"))
 
 
-def change_capture(snapshots: DataFrame, fields: list[str]) -> DataFrame:
+def _with_before(rows: DataFrame, fields: list[str], keys: tuple[str, ...], width: int) -> DataFrame:
+    """``_first`` and, for each field, ``_before_<n>``: what the row before has."""
+    before = {f"_before_{i}": F.col(f) for i, f in enumerate(fields)}
+    return _by(keys, width, before={**before, "_pkt_before": F.col("pkt_no")}).over(rows).withColumn("_first", F.col("_pkt_before").isNull())
+
+
+def change_capture(snapshots: DataFrame, fields: list[str], width: int = WIDTH) -> DataFrame:
     """``device_id, pkt_no, field, value`` of the fields that differ from the snapshot before; all of them in the first."""
-    first = F.lag("pkt_no").over(by_device()).isNull()
-    marked = snapshots.select("device_id", "pkt_no", first.alias("first"), *fields, *[F.lag(f).over(by_device()).alias(f"{f}_before") for f in fields])
-    each = F.array(*[F.when(F.col("first") | ~F.col(f).eqNullSafe(F.col(f"{f}_before")), F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("value"))) for f in fields])
+    marked = _with_before(snapshots.select("device_id", "pkt_no", *fields), fields, (), width)
+    each = F.array(*[F.when(F.col("_first") | ~F.col(f).eqNullSafe(F.col(f"_before_{i}")), F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("value"))) for i, f in enumerate(fields)])
     return marked.select("device_id", "pkt_no", F.explode(F.array_compact(each)).alias("c")).select("device_id", "pkt_no", "c.field", "c.value")
 
 
@@ -118,23 +143,22 @@ def task_timeline(tasks: DataFrame) -> DataFrame:
     return state_transitions(tasks, "task_idx").filter("state = 0").drop("run", "state")
 
 
-def task_change_capture(tasks: DataFrame, fields: tuple[str, ...] = ("state", "priority", "stack_hwm_words", "runtime_ticks")) -> DataFrame:
+def task_change_capture(tasks: DataFrame, fields: tuple[str, ...] = ("state", "priority", "stack_hwm_words", "runtime_ticks"), width: int = WIDTH) -> DataFrame:
     """``device_id, pkt_no, place, task_idx, field, value``: the task fields that differ from the task's snapshot before; all in its first.
 
     ``place`` orders a packet's changes as they are sent: by task, then in the order of ``fields``. Tasks over 14 have no tag of their own and are left out.
     """
-    order = Window.partitionBy("device_id", "task_idx").orderBy("pkt_no")
-    first = F.lag("pkt_no").over(order).isNull()
+    marked = _with_before(tasks.filter(F.col("task_idx") < SYSTEM_TAG).select("device_id", "pkt_no", "task_idx", *fields), list(fields), ("task_idx",), width)
     each = [
-        F.when(first | ~F.col(f).eqNullSafe(F.lag(f).over(order)), F.struct((F.col("task_idx") * len(fields) + i).cast("int").alias("place"), F.lit(f).alias("field"), F.col(f).cast("long").alias("value")))
+        F.when(F.col("_first") | ~F.col(f).eqNullSafe(F.col(f"_before_{i}")), F.struct((F.col("task_idx") * len(fields) + i).cast("int").alias("place"), F.lit(f).alias("field"), F.col(f).cast("long").alias("value")))
         for i, f in enumerate(fields)
     ]
-    marked = tasks.filter(F.col("task_idx") < SYSTEM_TAG).select("device_id", "pkt_no", "task_idx", F.array(*each).alias("changes"))
-    return marked.select("device_id", "pkt_no", "task_idx", F.explode(F.array_compact("changes")).alias("c")).select("device_id", "pkt_no", "c.place", "task_idx", "c.field", "c.value")
+    listed = marked.select("device_id", "pkt_no", "task_idx", F.explode(F.array_compact(F.array(*each))).alias("c"))
+    return listed.select("device_id", "pkt_no", "c.place", "task_idx", "c.field", "c.value")
 
 
-def snapshot_policy(snapshots: DataFrame, topology: str, every: int = KEYFRAME_EVERY) -> DataFrame:
+def snapshot_policy(snapshots: DataFrame, topology: str, every: int = KEYFRAME_EVERY, width: int = WIDTH) -> DataFrame:
     """``reason`` to store a full snapshot: first, forced (every n-th), topology (count or names changed); else null."""
-    before = F.lag(topology).over(by_device())
-    reason = F.when(F.lag("pkt_no").over(by_device()).isNull(), "first").when(F.col("pkt_no") % every == 0, "forced").when(~F.col(topology).eqNullSafe(before), "topology")
-    return snapshots.withColumn("reason", reason).withColumn("is_keyframe", F.col("reason").isNotNull())
+    marked = _with_before(snapshots, [topology], (), width)
+    reason = F.when(F.col("_first"), "first").when(F.col("pkt_no") % every == 0, "forced").when(~F.col(topology).eqNullSafe(F.col("_before_0")), "topology")
+    return marked.withColumn("reason", reason).withColumn("is_keyframe", F.col("reason").isNotNull()).drop("_first", "_before_0", "_pkt_before")

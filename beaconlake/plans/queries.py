@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from beaconlake.functions.frames import so_far
+from beaconlake.functions.scan import WIDTH, Scan, by_packet, ranges
 from beaconlake.operators import metrics, panels, quality, reports, state, trend
 from beaconlake.params import METRICS as METRIC_FAMILIES
 from beaconlake.params import OFFLINE_SECONDS, PROGRESS_SECONDS, PUSH_SECONDS, SCRAPE_SECONDS, OomParams
@@ -94,6 +94,29 @@ def rebuild_state(spark, sf_dir):
     return rebuilt.select("device_id", "pkt_no", "epoch", "heap_free_bytes", "cpu_utilization_pct")
 
 
+STALE = v.CHANGES + """, sent AS (
+  SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY device_id ORDER BY pkt_no) > 1 THEN pkt_no END AS gap_pkt FROM (SELECT *, pkt_no + 3 * (event_id // 700) AS n FROM epochs)
+), carried AS (
+  SELECT device_id, pkt_no, last_value(heap_d IGNORE NULLS) OVER w AS heap_free_bytes, last_value(cpu_d IGNORE NULLS) OVER w AS cpu_utilization_pct, last_value(gap_pkt IGNORE NULLS) OVER w AS last_gap_pkt,
+    last_value(CASE WHEN heap_d IS NOT NULL THEN pkt_no END IGNORE NULLS) OVER w AS heap_pkt, last_value(CASE WHEN cpu_d IS NOT NULL THEN pkt_no END IGNORE NULLS) OVER w AS cpu_pkt
+  FROM sent WHERE epoch > 0 WINDOW w AS (PARTITION BY device_id, epoch ORDER BY pkt_no ROWS UNBOUNDED PRECEDING)
+), marked AS (
+  SELECT *, coalesce(last_gap_pkt > coalesce(heap_pkt, -1), FALSE) AS heap_stale, coalesce(last_gap_pkt > coalesce(cpu_pkt, -1), FALSE) AS cpu_stale FROM carried
+)"""
+
+
+@query(
+    f"""WITH {STALE} SELECT device_id, pkt_no, heap_free_bytes, cpu_utilization_pct, coalesce(last_gap_pkt, -1) AS last_gap_pkt,
+    heap_stale, cpu_stale, heap_stale OR cpu_stale AS stale_since_gap FROM marked"""
+)
+def stale_since_gap(spark, sf_dir):
+    """State with marks of values that a lost delta may have changed; the sequence numbers jump at every 700th event."""
+    sent = v.changes(spark, sf_dir).withColumn("sequence_num", F.col("pkt_no") + 3 * F.floor(F.col("event_id") / 700))
+    marked = state.stale_since_gap(sent, {"heap_d": "heap_free_bytes", "cpu_d": "cpu_utilization_pct"})
+    stale = [F.col("heap_free_bytes_stale").alias("heap_stale"), F.col("cpu_utilization_pct_stale").alias("cpu_stale")]
+    return marked.select("device_id", "pkt_no", "heap_free_bytes", "cpu_utilization_pct", F.coalesce("last_gap_pkt", F.lit(-1)).alias("last_gap_pkt"), *stale, "stale_since_gap")
+
+
 KNOWN = v.CHANGES + """, known AS (
   SELECT * FROM (SELECT *, last_value(task_count IGNORE NULLS) OVER (PARTITION BY device_id, epoch ORDER BY pkt_no ROWS UNBOUNDED PRECEDING) AS n FROM epochs WHERE epoch > 0)
   WHERE NOT is_valid_keyframe AND task_idx_d < n
@@ -174,7 +197,7 @@ def change_capture(spark, sf_dir):
 def snapshot_policy(spark, sf_dir):
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("task_idx", "task_name"))), lambda t: t["task_name"]), ",")
     snapshots = v.tasks(spark, sf_dir).groupBy("device_id", "snapshot_id").agg(names.alias("topology"))
-    numbered = snapshots.withColumn("pkt_no", F.row_number().over(Window.partitionBy("device_id").orderBy("snapshot_id")).cast("long"))
+    numbered = Scan(["device_id"], ["snapshot_id"], ranges("snapshot_id", WIDTH), sums={"pkt_no": F.lit(1).cast("long")}).over(snapshots)
     return state.snapshot_policy(numbered, "topology").select("device_id", "snapshot_id", "pkt_no", "reason", "is_keyframe")
 
 
@@ -253,7 +276,7 @@ def oom_series_full_frames(spark, sf_dir):
 )
 def oom_projection(spark, sf_dir):
     """Flagship: devices with a projected exhaustion, soonest first."""
-    latest = state.latest_state(_series(spark, sf_dir, P), ["projection", "verdict"])
+    latest = trend.latest_projection(v.telemetry(spark, sf_dir), P)
     return latest.filter("projection > 0").select("device_id", "pkt_no", F.round("projection", 4).alias("projection"), "verdict").orderBy("projection", "device_id")
 
 
@@ -310,13 +333,15 @@ def state_onehot(spark, sf_dir):
 def device_states(spark, sf_dir):
     """The state after each packet, as the metric table takes it."""
     counted = quality.running_counters(v.telemetry(spark, sf_dir))
-    series = trend.oom_series(counted, P)
-    return series.withColumn("heap_min_ever_bytes", F.min("heap_free_bytes").over(so_far()))
+    return by_packet(least={"heap_min_ever_bytes": F.col("heap_free_bytes")}).over(trend.oom_series(counted, P))
 
 
 def _latest_states(spark, sf_dir):
-    columns = ["heap_free_bytes", "heap_min_ever_bytes", "projection", "cpu_utilization_pct", "drop_count", "packet_count", "arrival_ts"]
-    return state.latest_state(device_states(spark, sf_dir), columns)
+    """The last row of ``device_states`` of each device, without the others."""
+    gapped = quality.seq_gaps(v.telemetry(spark, sf_dir))
+    sums = [F.min("heap_free_bytes").alias("heap_min_ever_bytes"), F.sum("gap").cast("long").alias("drop_count"), F.count("*").alias("packet_count"), F.max_by("cpu_utilization_pct", "pkt_no").alias("cpu_utilization_pct")]
+    latest = trend.latest_projection(gapped, P).select("device_id", "pkt_no", "heap_free_bytes", "projection", "arrival_ts")
+    return latest.join(gapped.groupBy("device_id").agg(*sums), "device_id")
 
 
 def _latest_tasks(spark, sf_dir):

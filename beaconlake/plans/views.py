@@ -1,14 +1,15 @@
 """Telemetry-shaped views over the provided tables, in Spark and as SQL text for the twins.
 
-Hot devices: every window of these views is keyed by device, as packets of a device are ordered; no other grouping is unbounded.
+Packets of a device are numbered and summed by ranges of event numbers, so that a device with most events isn't one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from beaconlake.functions.scan import WIDTH, Scan, ranges
 from beaconlake.params import COUNTER_MOD, MAX_TASKS, SEQ_MOD
 
 
@@ -17,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_event(**sums: Column) -> Scan:
+    """Running sums over the events of each user."""
+    return Scan(["user_id"], ["event_id"], ranges("event_id", WIDTH), sums=sums)
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet an event; heap falls, is noisy, or swings, by user."""
-    by_user = Window.partitionBy("user_id").orderBy("event_id")
     state = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "error", 4)
-    numbered = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("arrival_ts"), state.alias("state"),
-        F.row_number().over(by_user).cast("long").alias("pkt_no"), F.round(F.col("value") * 100).cast("long").alias("cents"),
-    )
-    spent = F.sum("cents").over(by_user.rowsBetween(Window.unboundedPreceding, 0))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("arrival_ts"), state.alias("state"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    numbered = by_event(pkt_no=F.lit(1).cast("long"), spent=F.col("cents")).over(events)
+    spent = F.col("spent")
     heap = (
         F.when(F.col("user_id") % 3 == 0, 1000000 - spent)
         .when(F.col("user_id") % 3 == 1, 500000 + F.col("cents"))
@@ -125,12 +128,8 @@ CYCLES = """cycles AS (
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter of 32 bits that wraps."""
-    by_user = Window.partitionBy("user_id").orderBy("event_id")
-    step = F.round(F.col("value") * 5000000).cast("long")
-    total = F.sum(step).over(by_user.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"), F.row_number().over(by_user).cast("long").alias("pkt_no"), F.pmod(total, F.lit(COUNTER_MOD)).alias("raw_ticks")
-    )
+    summed = by_event(pkt_no=F.lit(1).cast("long"), total=F.round(F.col("value") * 5000000).cast("long")).over(table(spark, sf_dir, "events"))
+    return summed.select(F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"), "pkt_no", F.pmod("total", F.lit(COUNTER_MOD)).alias("raw_ticks"))
 
 
 COUNTERS = """counters AS (

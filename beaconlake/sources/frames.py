@@ -1,8 +1,8 @@
 """Captures of framed packets: decoding, checks, and payloads as field changes.
 
 A frame is AA 55, then version, type, sequence (2 bytes), ticks (4), payload length (2), payload, and a CRC of what stands between. A
-capture is a sequence of chunks that cut frames anywhere; ``ingest_frames`` streams each capture through one decoder in chunk order
-with only the unfinished frame in memory. ``parse_framed`` reads one frame a row with built-in functions.
+capture is a sequence of chunks that cut frames anywhere; ``ingest_frames`` scans splits of a capture at once and joins them where one's last frame
+ends. ``parse_framed`` reads one frame a row with built-in functions.
 """
 
 from __future__ import annotations
@@ -12,13 +12,16 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from beaconlake.functions.scan import WIDTH, Scan, ranges
+from beaconlake.functions.tables import kept
 from beaconlake.functions.wire import byte_values, crc16, let, number_at, to_little_endian
-from beaconlake.operators.state import keyframe_epoch
+from beaconlake.operators.state import keyframe_epoch, rebuild_state
 from beaconlake.params import MAX_TASKS, SYSTEM_TAG
 from beaconlake.session import ship_package
 
@@ -42,27 +45,34 @@ class Frame:
     payload: bytes | None = None
 
 
-def scan(data: bytes) -> tuple[list[Frame], bytes]:
-    """Frames in the bytes, and the rest that may be the beginning of one."""
-    found, at = [], 0
+def walk(data: bytes, at: int, limit: int) -> tuple[list[tuple[int, int, Frame]], int, bool]:
+    """(begin, end, frame) of the frames that begin from ``at`` on and before ``limit``, where the scan stands then, and whether an unfinished frame begins there."""
+    found = []
     while True:
-        at = data.find(SYNC, at)
-        if at < 0:
-            return found, data[-1:] if data.endswith(SYNC[:1]) else b""
-        body = at + len(SYNC)
+        begin = data.find(SYNC, at, limit + 1)
+        if begin < 0 or begin >= limit:
+            return found, at, False
+        body = begin + len(SYNC)
         if len(data) < body + HEADER.size:
-            return found, data[at:]
+            return found, begin, True
         version, kind, sequence, ticks, length = HEADER.unpack_from(data, body)
         if version != VERSION:
-            found.append(Frame("version"))
             at = body + HEADER.size
+            found.append((begin, at, Frame("version")))
             continue
         end = body + HEADER.size + length
         if len(data) < end + CRC.size:
-            return found, data[at:]
+            return found, begin, True
         good = CRC.unpack_from(data, end)[0] == binascii.crc_hqx(data[body:end], 0xFFFF)
-        found.append(Frame("ok" if good else "crc", kind, sequence, ticks, data[body + HEADER.size : end]))
         at = end + CRC.size
+        found.append((begin, at, Frame("ok" if good else "crc", kind, sequence, ticks, data[body + HEADER.size : end])))
+
+
+def scan(data: bytes) -> tuple[list[Frame], bytes]:
+    """Frames in the bytes, and the rest that may be the beginning of one."""
+    found, at, unfinished = walk(data, 0, len(data))
+    rest = data[at:] if unfinished else data[-1:] if data[at:].endswith(SYNC[:1]) else b""
+    return [frame for _, _, frame in found], rest
 
 
 def read_chunks(source, path: str) -> DataFrame:
@@ -80,40 +90,121 @@ def read_chunk_table(source, path: str) -> DataFrame:
     return source.schema(CHUNKS).parquet(path)
 
 
-def ingest_frames(chunks: DataFrame) -> DataFrame:
-    """Columns of FRAMES: every frame found, good or rejected, in order; a frame cut off by the capture's end has the status truncated.
+#: Bytes of a capture that one task scans at once, and those of the longest frame.
+SPLIT, LONGEST = 4 << 20, len(SYNC) + HEADER.size + 0xFFFF + CRC.size
+CAPTURE = ["device_id", "capture_id"]
+EVENTS = "device_id string, capture_id string, split long, place long, begin long, end long, chunk_no long, arrival_ts timestamp, status string, packet_type int, sequence_num int, timestamp_ticks long, payload binary"
 
-    One shuffle by (device, capture). ``frame_no`` numbers the frames of a capture; ``chunk_no`` and ``arrival_ts`` are those of the chunk that completed it.
-    """
-    ship_package(chunks.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rest, number, last = None, b"", 0, None
+def _pieces(chunks: DataFrame, split_bytes: int) -> DataFrame:
+    """``device_id, capture_id, split, kind, at, chunk_no, arrival_ts, bytes``: what each split of a capture reads, which is its own bytes and those that a frame of it may reach.
+
+    Rows of kind 1 say where a capture ends (``at``), and which chunk is its last one.
+    """
+    sized = chunks.select(*CAPTURE, "chunk_no", "arrival_ts", F.coalesce("bytes", F.lit(b"")).alias("bytes")).withColumn("size", F.octet_length("bytes").cast("long"))
+    placed = Scan(CAPTURE, ["chunk_no"], ranges("chunk_no", WIDTH), sums={"stop": F.col("size")}).over(sized).withColumn("start", F.col("stop") - F.col("size"))
+    ends = chunks.groupBy(*CAPTURE).agg(F.sum(F.coalesce(F.octet_length("bytes"), F.lit(0)).cast("long")).alias("start"), F.max_by(F.struct("chunk_no", "arrival_ts"), "chunk_no").alias("last"))
+
+    def reached(first: Column, last: Column) -> Column:
+        """The splits that read a place between these two."""
+        return F.explode(F.sequence(F.greatest(F.floor((first - LONGEST) / split_bytes), F.lit(0)), F.greatest(F.floor((last - 1) / split_bytes), F.lit(0)))).alias("split")
+
+    low = F.greatest("start", F.col("split") * split_bytes)
+    cut = F.substring("bytes", (low - F.col("start") + 1).cast("int"), (F.least(F.col("stop"), (F.col("split") + 1) * split_bytes + LONGEST) - low).cast("int"))
+    held = placed.filter("size > 0").select("*", reached(F.col("start"), F.col("stop"))).select(*CAPTURE, "split", F.lit(0).alias("kind"), low.alias("at"), "chunk_no", "arrival_ts", cut.alias("bytes"))
+    marks = ends.select("*", reached(F.col("start"), F.col("start"))).select(*CAPTURE, "split", F.lit(1).alias("kind"), F.col("start").alias("at"), "last.chunk_no", "last.arrival_ts", F.lit(b"").alias("bytes"))
+    return held.union(marks)
+
+
+def _split_events(pieces: DataFrame, split_bytes: int) -> DataFrame:
+    """Columns of EVENTS: the frames that begin in each split, scanned from ``entry`` (a column of ``pieces``), and a row without a status for where the scan entered (``begin``) and left (``end``) the split."""
+    ship_package(pieces.sparkSession)
+    schema = pa.schema([("device_id", pa.string()), ("capture_id", pa.string()), ("split", pa.int64()), ("place", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("chunk_no", pa.int64()), ("arrival_ts", pa.timestamp("us", "UTC")), ("status", pa.string()), ("packet_type", pa.int32()), ("sequence_num", pa.int32()), ("timestamp_ticks", pa.int64()), ("payload", pa.binary())])
+
+    def scanned(key: tuple, parts: list[tuple]) -> list[tuple]:
+        device, capture, split, entry = key
+        own = [x for x in parts if not x[0]]
+        mark = next((x for x in parts if x[0]), None)
+        base = own[0][1] if own else entry
+        data, stops = b"".join(x[4] for x in own), np.cumsum([len(x[4]) for x in own])
+        limit = min((split + 1) * split_bytes - base, len(data))
+        found, at, unfinished = walk(data, max(0, entry - base), limit) if own and entry - base < limit else ([], entry - base, False)
+        out = []
+        if found:
+            chunk = np.searchsorted(stops, np.array([end for _, end, _ in found]) - 1, "right")
+            out = [(begin + base, end + base, *own[c][2:4], f.status, f.packet_type, f.sequence_num, f.timestamp_ticks, f.payload) for c, (begin, end, f) in zip(chunk.tolist(), found, strict=True)]
+        if mark and own and base + len(data) == mark[1]:  # the capture ends here: what is left may be a frame's beginning
+            left = at if unfinished else len(data) - 1 if data[max(at, 0) :].endswith(SYNC[:1]) and len(data) <= limit else None
+            if left is not None:
+                out.append((left + base, mark[1], *mark[2:4], "truncated", None, None, None, data[left:]))
+                at = len(data)
+        rows = [(device, capture, split, i, *x) for i, x in enumerate(out)]
+        return [*rows, (device, capture, split, None, entry, max(at + base, entry), None, None, None, None, None, None, None)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                if (r.device_id, r.capture_id) != key:
-                    if rest:
-                        rows.append((*key, *last, number + 1, "truncated", None, None, None, rest))
-                    key, rest, number = (r.device_id, r.capture_id), b"", 0
-                last = (r.chunk_no, r.arrival_ts)
-                frames, rest = scan(rest + bytes(r.bytes or b""))
-                for f in frames:
-                    number += 1
-                    rows.append((*key, *last, number, f.status, f.packet_type, f.sequence_num, f.timestamp_ticks, f.payload))
+            for *of, kind, at, chunk_no, ts, data in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if tuple(of) != key:
+                    if key is not None:
+                        rows += scanned(key, parts)
+                    key, parts = tuple(of), []
+                parts.append((kind, at, chunk_no, ts, data))
             if rows:
-                yield _frame_rows(rows)
-        if rest:
-            yield _frame_rows([(*key, *last, number + 1, "truncated", None, None, None, rest)])
+                yield _batch(rows)
+        if key is not None:
+            yield _batch(scanned(key, parts))
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    order = [*CAPTURE, "split"]
+    dealt = pieces.select(*order, "entry", "kind", "at", "chunk_no", "arrival_ts", "bytes").repartition(*order).sortWithinPartitions(*order, "kind", "at", "chunk_no")
+    return dealt.mapInArrow(run, EVENTS)
 
-    keys = ["device_id", "capture_id"]
-    ordered = chunks.select(*keys, "chunk_no", "arrival_ts", "bytes").repartition(*keys).sortWithinPartitions(*keys, "chunk_no")
-    return ordered.mapInPandas(run, FRAMES)
 
+def ingest_frames(chunks: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
+    """Columns of FRAMES: every frame found, good or rejected, in order; a frame cut off by the capture's end has the status truncated.
 
-def _frame_rows(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")])
-    return out.astype({"packet_type": "Int32", "sequence_num": "Int32", "timestamp_ticks": "Int64"})
+    ``frame_no`` numbers the frames of a capture; ``chunk_no`` and ``arrival_ts`` are those of the chunk that completed it. The result is that of one scan from a capture's
+    first byte to its last, but splits of ``split_bytes`` are scanned at once, each from its first byte as if no frame reached into it. Then each split is told where
+    the scan of the one before it ended. Frames that begin before that place go. Unless one of them reaches over it, the others are right, as a scan depends on nothing
+    but where it stands; a split where one does, or that was scanned from behind that place, is scanned again from there, and so on until no split's end moves.
+    """
+    cap = F.struct(*CAPTURE)  # null ids meet, too
+    pieces = _pieces(chunks, split_bytes).withColumn("entry", F.col("split") * split_bytes)
+    events = kept(_split_events(pieces, split_bytes), "events")
+    places = events.select(cap.alias("cap"), "split", "begin", "end", F.col("status").isNull().alias("mark"))
+    ends = places.filter("mark").select("cap", "split", F.col("end").alias("exit"))
+    by_capture = Window.partitionBy("cap").orderBy("split")
+    many = (ends.agg(F.max("split")).first()[0] or 0) > 0
+    while True:
+        entered = ends.select("cap", "split", "exit", F.greatest(F.col("split") * split_bytes, F.coalesce(F.lag("exit").over(by_capture), F.lit(0))).alias("entry"))
+        met = places.join(entered, ["cap", "split"]).groupBy("cap", "split").agg(
+            F.first("entry").alias("entry"), F.first("exit").alias("exit"), F.max(F.when(F.col("mark"), F.col("begin") > F.col("entry")).otherwise((F.col("begin") < F.col("entry")) & (F.col("entry") < F.col("end")))).alias("crossed"),
+            F.greatest(F.max(F.when(F.col("mark") | (F.col("begin") >= F.col("entry")), F.col("end"))), F.first("entry")).alias("left"),
+            F.count_if(~F.col("mark") & (F.col("begin") < F.col("entry"))).alias("dropped"), F.count_if(~F.col("mark") & (F.col("begin") >= F.col("entry"))).alias("stay"),
+        )
+        if not many:
+            break
+        met = kept(met, "splits")
+        wrong = met.filter("crossed").select("cap", "split", F.col("entry").alias("from"))
+        moved = met.filter("left <> exit").limit(1).count()
+        if wrong.limit(1).count():
+            again = pieces.drop("entry").withColumn("cap", cap).join(wrong, ["cap", "split"]).withColumn("entry", F.col("from"))
+            right = events.withColumn("cap", cap).join(wrong, ["cap", "split"], "left_anti").select(*events.columns)
+            events = kept(right.union(_split_events(again, split_bytes)), "events")
+            places = events.select(cap.alias("cap"), "split", "begin", "end", F.col("status").isNull().alias("mark"))
+            redone_ends = places.filter("mark").select("cap", "split", F.col("end").alias("mark_end"))
+            ends = met.join(redone_ends, ["cap", "split"]).select("cap", "split", F.when(F.col("crossed"), F.col("mark_end")).otherwise(F.col("left")).alias("exit"))
+        elif moved:
+            ends = met.select("cap", "split", F.col("left").alias("exit"))
+        else:
+            break
+    numbered = met.select("cap", "split", "entry", "dropped", F.coalesce(F.sum("stay").over(by_capture.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    found = events.filter("status is not null").withColumn("cap", cap).join(numbered, ["cap", "split"]).filter("begin >= entry")
+    return found.select("device_id", "capture_id", "chunk_no", "arrival_ts", (F.col("place") - F.col("dropped") + F.col("before") + 1).alias("frame_no"), "status", "packet_type", "sequence_num", "timestamp_ticks", "payload")
 
 
 def parse_framed(frames: DataFrame, data: str = "frame") -> DataFrame:
@@ -137,8 +228,8 @@ def framed(packet_type: Column, sequence_num: Column, ticks: Column, payload: Co
 
 def packets_of(frames: DataFrame) -> DataFrame:
     """Accepted frames as packets, numbered in order for each device."""
-    order = Window.partitionBy("device_id").orderBy("capture_id", "frame_no")
-    return frames.filter("status = 'ok'").withColumn("pkt_no", F.row_number().over(order).cast("long"))
+    some = F.struct(F.col("capture_id"), ranges("frame_no", WIDTH))
+    return Scan(["device_id"], ["capture_id", "frame_no"], some, sums={"pkt_no": F.lit(1).cast("long")}).over(frames.filter("status = 'ok'"))
 
 
 def frame_quality(frames: DataFrame) -> DataFrame:
@@ -211,9 +302,8 @@ def expand_payloads(packets: DataFrame) -> DataFrame:
     Deltas before a device's first valid keyframe say nothing. A keyframe sets all its fields.
     """
     read = packets.withColumn("keyframe", F.when(F.col("packet_type") == KEYFRAME, parse_keyframe(F.col("payload"))))
-    epochs = keyframe_epoch(read.withColumn("is_valid_keyframe", F.col("keyframe").isNotNull())).filter("has_baseline")
-    in_epoch = Window.partitionBy("device_id", "epoch").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
-    counted = epochs.withColumn("task_count", F.last("keyframe.task_count", ignorenulls=True).over(in_epoch))
+    valid = read.withColumns({"is_valid_keyframe": F.col("keyframe").isNotNull(), "given_count": F.col("keyframe.task_count")})
+    counted = rebuild_state(valid, {"given_count": "task_count"})
     code = {name: number for number, (name, _) in FIELDS.items()}
     entry = "array<struct<task_idx:int,field:int,value:bigint>>"
 
