@@ -31,6 +31,7 @@ from beaconlake.session import ship_package
 
 from . import bigru
 from .chunks import sliced
+from .scratch import temporary, written
 from .shingles import buffer_of, mixed
 
 SCHEMA = "doc_id long, score double, predicted int"
@@ -236,12 +237,14 @@ def sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams, doc_id: str =
     """(label, text) of the training rows. Only the chosen ids are broadcast and only their texts come to the driver, long ones in windows."""
     marked = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    there = marked.join(named.select("id").distinct(), "id", "left_semi")
     order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
-    chosen = there.filter("label = 1").orderBy(*order).limit(p.max_toxic).unionByName(there.filter("label = 0").orderBy(*order).limit(p.max_clean))
-    # an id that is repeated gives as many rows as it has texts; the bound holds for the rows of each label
-    rows = _shortened(named.join(F.broadcast(chosen), "id").select("label", "id", "text").dropDuplicates(), p)
-    found = [r for y, most in ((1, p.max_toxic), (0, p.max_clean)) for r in rows.filter(F.col("label") == y).orderBy(*order, "text").limit(most).collect()]
+    with temporary(docs.sparkSession) as paths:
+        there = written(marked.join(named.select("id").distinct(), "id", "left_semi"), "labelled", paths)
+        chosen = there.filter("label = 1").orderBy(*order).limit(p.max_toxic).unionByName(there.filter("label = 0").orderBy(*order).limit(p.max_clean))
+        # an id that is repeated gives as many rows as it has texts; the bound holds for the rows of each label
+        rows = written(named.join(F.broadcast(chosen), "id").select("label", "id", "text").dropDuplicates(), "sample", paths)
+        short = written(_shortened(rows, p), "shortened", paths)
+        found = [r for y, most in ((1, p.max_toxic), (0, p.max_clean)) for r in short.filter(F.col("label") == y).orderBy(*order, "text").limit(most).collect()]
     return [(int(r["label"]), r["text"]) for r in found]
 
 
