@@ -7,8 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from beaconlake.functions import buffers
+from beaconlake.session import ship_package
 
 CRC_INIT, CRC_POLY = 0xFFFF, 0x1021
 
@@ -57,3 +63,14 @@ def crc16(data: Column) -> Column:
         return F.get(table, top).bitwiseXOR(crc.bitwiseAND(F.lit(255)) * 256)
 
     return let(byte_values(data), lambda values: F.aggregate(values, F.lit(CRC_INIT), step))
+
+
+def _checksums(messages: pd.Series) -> pd.Series:
+    data, offsets = buffers.buffer_of(pa.array(messages, pa.large_binary()))
+    return pd.Series(buffers.crc16(data, offsets[:-1], offsets[1:])).where(messages.notna(), None).astype("Int32")
+
+
+def checksum(data: Column) -> Column:
+    """``crc16`` of whole batches in numpy; null for null."""
+    ship_package(SparkSession.active())
+    return F.pandas_udf(_checksums, IntegerType())(data)

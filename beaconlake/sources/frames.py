@@ -2,7 +2,7 @@
 
 A frame is AA 55, then version, type, sequence (2 bytes), ticks (4), payload length (2), payload, and a CRC of what stands between. A
 capture is a sequence of chunks that cut frames anywhere; ``ingest_frames`` scans splits of a capture at once and joins them where one's last frame
-ends. ``parse_framed`` reads one frame a row with built-in functions.
+ends. ``parse_framed`` reads one frame a row.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from beaconlake.functions.buffers import buffer_of, crc16, numbers
 from beaconlake.functions.scan import WIDTH, Scan, ranges
 from beaconlake.functions.tables import kept
-from beaconlake.functions.wire import byte_values, crc16, let, number_at, to_little_endian
+from beaconlake.functions.wire import byte_values, checksum, let, number_at, to_little_endian
 from beaconlake.operators.state import keyframe_epoch, rebuild_state
 from beaconlake.params import MAX_TASKS, SYSTEM_TAG
 from beaconlake.session import ship_package
@@ -207,23 +209,50 @@ def ingest_frames(chunks: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
     return found.select("device_id", "capture_id", "chunk_no", "arrival_ts", (F.col("place") - F.col("dropped") + F.col("before") + 1).alias("frame_no"), "status", "packet_type", "sequence_num", "timestamp_ticks", "payload")
 
 
+PARSED = "status string, packet_type int, sequence_num int, timestamp_ticks long, payload binary"
+
+
 def parse_framed(frames: DataFrame, data: str = "frame") -> DataFrame:
-    """One frame a row: its fields and ``status``, with built-in functions."""
-    d = F.col(data)
-    values = byte_values(F.substring(d, 1, 12))
-    head = let(values, lambda b: F.struct(F.get(b, 2).alias("version"), F.get(b, 3).alias("packet_type"), number_at(b, 4, 2).cast("int").alias("sequence_num"), number_at(b, 6, 4).alias("timestamp_ticks"), number_at(b, 10, 2).cast("int").alias("length")))
-    read = frames.withColumn("head", head)
-    length = F.col("head.length")
-    read = read.withColumns({"own_crc": crc16(F.substring(d, F.lit(3), length + 10)), "sent_crc": let(byte_values(F.substring(d, length + 13, F.lit(2))), lambda b: number_at(b, 0, 2))})
-    whole = (F.substring(d, 1, 2) == F.lit(SYNC)) & (F.octet_length(d) == length + 14)
-    status = F.when(~F.coalesce(whole, F.lit(False)), "truncated").when(F.col("head.version") != VERSION, "version").when(F.col("own_crc") != F.col("sent_crc"), "crc").otherwise("ok")
-    return read.select(*[F.col(f"`{c}`") for c in frames.columns], status.alias("status"), "head.packet_type", "head.sequence_num", "head.timestamp_ticks", F.substring(d, F.lit(13), length).alias("payload"))
+    """One frame a row: its columns, its fields and ``status``; other columns of these names are replaced. Header fields are null where the bytes end before them.
+
+    All frames of a batch are read from one buffer, their fields at computed places and their checksums by ``buffers.crc16``.
+    """
+    ship_package(frames.sparkSession)
+    new = StructType.fromDDL(PARSED)
+    rows = frames.select(*[F.col(f"`{c}`").alias("_frame_bytes" if c in new.names else c) for c in frames.columns if c == data or c not in new.names])
+    at_bytes = [c for c in frames.columns if c == data or c not in new.names].index(data)
+    own = [f for f in rows.schema.fields if f.name != "_frame_bytes"]
+    schema = StructType([*own, *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buffer, offsets = buffer_of(batch.column(at_bytes))
+            start, size = offsets[:-1], np.diff(offsets)
+
+            def field(at: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+                known = size >= at + width  # noqa: B023
+                return numbers(buffer, np.where(known, start + at, 0), width), ~known  # noqa: B023
+
+            (version, _), (kind, no_kind), (sequence, no_sequence), (ticks, no_ticks), (length, no_length) = (field(*x) for x in ((2, 1), (3, 1), (4, 2), (6, 4), (10, 2)))
+            sync, _ = field(0, 2)
+            whole = (size >= 14) & (sync == int.from_bytes(SYNC, "little")) & (size == length + 14)
+            end = np.where(whole, start + size - 2, start)
+            good = crc16(buffer, np.where(whole, start + 2, start), end) == numbers(buffer, np.where(whole, end, 0), 2)
+            status = np.where(~whole, "truncated", np.where(version != VERSION, "version", np.where(good, "ok", "crc")))
+            raw = buffer.tobytes()
+            payload = [None if n else raw[a + 12 : min(a + 12 + int(k), a + int(s))] for a, s, k, n in zip(start.tolist(), size, length, no_length, strict=True)]
+            made = [
+                pa.array(status.tolist(), pa.string()), pa.array(kind.astype(np.int32), mask=no_kind), pa.array(sequence.astype(np.int32), mask=no_sequence), pa.array(ticks, mask=no_ticks), pa.array(payload, pa.binary()),
+            ]
+            yield pa.record_batch([*(c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "_frame_bytes"), *made], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def framed(packet_type: Column, sequence_num: Column, ticks: Column, payload: Column) -> Column:
     """A packet as the bytes of a frame."""
     body = F.concat(F.lit(bytes([VERSION])), to_little_endian(packet_type, 1), to_little_endian(sequence_num, 2), to_little_endian(ticks, 4), to_little_endian(F.octet_length(payload), 2), payload)
-    return let(body, lambda b: F.concat(F.lit(SYNC), b, to_little_endian(crc16(b), 2)))
+    return F.concat(F.lit(SYNC), body, to_little_endian(checksum(body), 2))
 
 
 def packets_of(frames: DataFrame) -> DataFrame:
@@ -296,27 +325,73 @@ def parse_delta(payload: Column, task_count: Column) -> Column:
     return let(byte_values(payload), lambda values: F.aggregate(values, begin, lambda acc, _: step(values, acc), lambda acc: acc["entries"]))
 
 
+CHANGED = "device_id string, epoch long, pkt_no long, place int, scope string, task_idx int, field string, value long"
+#: Places of the fields inside a keyframe's task record, and behind the tasks.
+_IN_TASK, _BEHIND = np.array([16, 17, 18, 20]), np.array([0, 4, 8])
+_WIDTH = np.array([0, *(w for _, w in FIELDS.values()), *[0] * 8])
+
+
+def _keyframe_entries(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """(packet, place, task, field, value) of every field of valid keyframes: the system's, then each task's."""
+    many = len(_BEHIND) + len(_IN_TASK) * count
+    packet = np.repeat(np.arange(len(start)), many)
+    place = np.arange(len(packet)) - np.repeat(np.cumsum(many) - many, many)
+    of_task = place >= len(_BEHIND)
+    task, field = np.divmod(np.maximum(place - len(_BEHIND), 0), len(_IN_TASK))
+    at = start[packet] + 7 + np.where(of_task, 24 * task + _IN_TASK[field], 24 * count[packet] + _BEHIND[np.minimum(place, len(_BEHIND) - 1)])
+    number = np.where(of_task, field + 1, len(_IN_TASK) + 1 + np.minimum(place, len(_BEHIND) - 1))
+    return [packet, place, np.where(of_task, task, SYSTEM_TAG), number, numbers(data, at, _WIDTH[number])]
+
+
+def _delta_entries(data: np.ndarray, start: np.ndarray, stop: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """(packet, place, task, field, value) of deltas by the rules of ``parse_delta``: one entry of every packet a step."""
+    at, place, found = start.copy(), np.zeros(len(start), np.int64), [np.zeros((5, 0), np.int64)]
+    alive = np.flatnonzero(at < stop)
+    while len(alive):
+        tag = data[at[alive]].astype(np.int64)
+        task, field = tag >> 4, tag & 15
+        system = task == SYSTEM_TAG
+        width = np.where((field > len(_IN_TASK)) == system, _WIDTH[field], 0)
+        known = system | (task < count[alive])
+        halts = known & ((width == 0) | (at[alive] + 1 + width > stop[alive]))
+        given = known & ~halts
+        at_value = at[alive] + 1
+        found.append(np.stack([alive[given], place[alive[given]], task[given], field[given], numbers(data, at_value[given], width[given])]))
+        place[alive[given]] += 1
+        at[alive] += 1 + width
+        alive = alive[~halts & (at[alive] < stop[alive])]
+    return list(np.concatenate(found, 1))
+
+
 def expand_payloads(packets: DataFrame) -> DataFrame:
     """``device_id, epoch, pkt_no, place, scope, task_idx, field, value``: what every keyframe and delta sets, in order.
 
-    Deltas before a device's first valid keyframe say nothing. A keyframe sets all its fields.
+    Deltas before a device's first valid keyframe say nothing. A keyframe sets all its fields. The fields of a batch are read from one buffer at computed places.
     """
-    read = packets.withColumn("keyframe", F.when(F.col("packet_type") == KEYFRAME, parse_keyframe(F.col("payload"))))
-    valid = read.withColumns({"is_valid_keyframe": F.col("keyframe").isNotNull(), "given_count": F.col("keyframe.task_count")})
-    counted = rebuild_state(valid, {"given_count": "task_count"})
-    code = {name: number for number, (name, _) in FIELDS.items()}
-    entry = "array<struct<task_idx:int,field:int,value:bigint>>"
-
-    def set_by(at: Column, name: str, value: Column) -> Column:
-        return F.struct(at.cast("int").alias("task_idx"), F.lit(code[name]).alias("field"), value.cast("long").alias("value"))
+    ship_package(packets.sparkSession)
+    count = F.conv(F.hex(F.substring("payload", 7, 1)), 16, 10).cast("int")
+    valid = F.coalesce((F.col("packet_type") == KEYFRAME) & (count <= MAX_TASKS) & (F.octet_length("payload") == 16 + 24 * count), F.lit(False))
+    read = packets.select("device_id", "pkt_no", "packet_type", "payload", valid.alias("is_valid_keyframe"), F.when(valid, count).alias("given_count"))
+    counted = rebuild_state(read, {"given_count": "task_count"}).filter(F.col("is_valid_keyframe") | (F.col("packet_type") == DELTA))
+    names = pa.array([None, *(name for name, _ in FIELDS.values())])
+    columns = [c.split()[0] for c in CHANGED.split(", ")]
 
-    k = F.col("keyframe")
-    system = F.array(*[set_by(F.lit(SYSTEM_TAG), name, k[name]) for name in ("heap_free_bytes", "heap_min_ever_bytes", "cpu_utilization_pct")])
-    by_task = F.flatten(F.transform(k["tasks"], lambda t, i: F.array(*[set_by(i, name, t[name]) for name in ("state", "priority", "stack_hwm_words", "runtime_ticks")])))
-    entries = F.when(k.isNotNull(), F.concat(system.cast(entry), by_task.cast(entry))).when(F.col("packet_type") == DELTA, parse_delta(F.col("payload"), F.col("task_count")))
-    out = counted.select("device_id", "epoch", "pkt_no", F.posexplode(entries).alias("place", "e"))
-    name_of = F.create_map(*[F.lit(x) for number, (name, _) in FIELDS.items() for x in (number, name)])
-    return out.select("device_id", "epoch", "pkt_no", "place", F.when(F.col("e.task_idx") == SYSTEM_TAG, "system").otherwise("task").alias("scope"), "e.task_idx", name_of[F.col("e.field")].alias("field"), "e.value")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffer_of(batch.column(5))
+            key, tasks = np.asarray(batch.column(3)), np.asarray(batch.column(4)).astype(np.int64)
+            parts = []
+            for some, entries in ((np.flatnonzero(key), lambda i: _keyframe_entries(data, offsets[i], tasks[i])), (np.flatnonzero(~key), lambda i: _delta_entries(data, offsets[i], offsets[i + 1], tasks[i]))):  # noqa: B023
+                packet, *rest = entries(some)
+                parts.append(np.stack([some[packet], *rest]))
+            packet, place, task, field, value = np.concatenate(parts, 1)
+            order = np.lexsort((place, packet))
+            at, system = pa.array(packet[order]), task[order] == SYSTEM_TAG
+            own = [batch.column(i).take(at) for i in range(3)]
+            scope = pa.array(["task", "system"]).take(pa.array(system.astype(np.int8)))
+            yield pa.record_batch([*own, pa.array(place[order].astype(np.int32)), scope, pa.array(task[order].astype(np.int32)), names.take(pa.array(field[order])), pa.array(value[order])], columns)
+
+    return counted.select("device_id", "epoch", "pkt_no", "is_valid_keyframe", "task_count", "payload").mapInArrow(run, CHANGED)
 
 
 def task_names(packets: DataFrame) -> DataFrame:
