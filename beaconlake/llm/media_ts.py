@@ -118,6 +118,7 @@ class Stream:
     timestamps: list[int] = field(default_factory=list)
     access_points: list[tuple[int, int]] = field(default_factory=list)
     continuity_errors: int = 0
+    broken_packets: int = 0  # elementary packets that aren't as long as they say
 
 
 def _section(packets: np.ndarray, pid: int, table_id: int, pids: np.ndarray) -> bytes:
@@ -184,7 +185,9 @@ def demux(media: bytes) -> Stream:
             place = int(at[b])
             has_tables = place >= 2 and pids[place - 2] == PAT_PID and pids[place - 1] == pmt
             stream.access_points.append((ticks, (place - 2 * has_tables) * PACKET))
-        parts.append(pes[9 + pes[8] : 6 + int.from_bytes(pes[4:6], "big")])
+        length = 6 + int.from_bytes(pes[4:6], "big")
+        stream.broken_packets += len(pes) != length
+        parts.append(pes[9 + pes[8] : length])
     stream.payload = b"".join(parts)
     return stream
 
@@ -213,7 +216,8 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def read_media(stored: DataFrame) -> DataFrame:
     """Digests and features of every stored stream, computed from the bytes read back (columns of FEATURES).
 
-    Of a null or damaged stream all of them are null.
+    Of a null or damaged stream all of them are null: one that can't be parsed, whose counters don't follow each other, or of whose elementary packets one isn't as long as it says,
+    as where a transport packet was lost, doubled or moved.
     """
     ship_package(stored.sparkSession)
 
@@ -223,6 +227,8 @@ def read_media(stored: DataFrame) -> DataFrame:
             for media in batch.column(2).to_pylist():
                 try:
                     stream = demux(media or b"")
+                    if stream.continuity_errors or stream.broken_packets:
+                        raise ValueError("lost, doubled or moved packets")
                 except ValueError:
                     for column in columns:
                         column.append(None)

@@ -203,6 +203,17 @@ def test_damaged_streams_give_nulls(spark):
     assert [rows[i].feature for i in (1, 2, 3, 4)] == [None] * 4 and rows[5].payload_bytes == 576
 
 
+@pytest.mark.parametrize("damage", ["lost", "doubled", "swapped", "tail"])
+def test_lost_and_moved_packets_give_nulls(spark, damage):
+    media = media_ts.mux(media_ts.payload_of(bytes(range(256)) * 200))
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    at = len(packets) // 2
+    changed = {"lost": packets[:at] + packets[at + 1 :], "doubled": packets[:at] + packets[at - 1 :], "swapped": [*packets[:at], packets[at + 1], packets[at], *packets[at + 2 :]], "tail": packets[:-1]}[damage]
+    stored = spark.createDataFrame([(1, 51200, b"".join(changed)), (2, 51200, media)], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in media_ts.read_media(stored).collect()}
+    assert rows[1].payload_sha256 is None and rows[1].feature is None and rows[2].payload_bytes == 51264
+
+
 def test_feature_equals_plain_parse():
     """The feature of a stream from its packets one by one, without the module's reader."""
     for text in (b"", b"abc", bytes(range(200)) * 400):
