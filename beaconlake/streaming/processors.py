@@ -313,13 +313,13 @@ class LeakTracker(StatefulProcessor):
 
 
 class Reorderer(StatefulProcessor):
-    """Rows in the order of their numbers: each waits until the device's newest arrival is ``delay`` past its own, or until the device is silent for ``idle``.
+    """Rows in the order of their numbers: each waits until the device's newest arrival is ``delay`` past its own, or until the device is silent for ``idle`` (None: it waits on).
 
     A row with a number that was passed already goes out at once as ``late``, and so does a second one of a waiting number; none is lost. The clock is the device's own: the
     engine's watermark would drop late rows before they come here.
     """
 
-    def __init__(self, schema: StructType, delay_ms: int, idle_ms: int):
+    def __init__(self, schema: StructType, delay_ms: int, idle_ms: int | None):
         self.schema, self.delay, self.idle = schema, delay_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -343,9 +343,10 @@ class Reorderer(StatefulProcessor):
         # what this batch brought is written only if it still waits afterwards
         out, released = self._released({**{k[0]: v for k, v in self.waiting.iterator()}, **own}, own, released, None if newest is None else newest - 1000 * self.delay)
         self.clock.update((released, newest))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield self._frame(out, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -385,17 +386,18 @@ def _keyed(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mo
     return stream.groupBy("device_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
 
 
-def stream_in_order(rows: DataFrame, delay_seconds: float, idle_seconds: float = 60) -> DataFrame:
+def stream_in_order(rows: DataFrame, delay_seconds: float, idle_seconds: float | None = None) -> DataFrame:
     """The rows of a stream with ``device_id, pkt_no, arrival_ts`` (and others) in the order of ``pkt_no`` of each device, and ``late``.
 
-    A row waits for ``delay_seconds`` of the device's own time. What comes later than that is marked ``late`` and stands outside the order. After
-    ``idle_seconds`` without rows a device's waiting rows are released.
+    A row waits for ``delay_seconds`` of the device's own time. What comes later than that is marked ``late`` and stands outside the order. With ``idle_seconds``,
+    the waiting rows of a device that sends nothing for so long are released by a timer; such a query runs until it is stopped, as its timers need the clock.
     """
     schema = StructType([f for f in rows.schema.fields if f.name != "device_id"])
     use_rocksdb(rows.sparkSession)
     out = StructType([rows.schema["device_id"], *schema.fields, StructField("late", BooleanType())])
-    inner = _WithKey(Reorderer(schema, int(delay_seconds * 1000), int(idle_seconds * 1000)))
-    return rows.groupBy("device_id").transformWithStateInPandas(statefulProcessor=inner, outputStructType=out, outputMode="Append", timeMode="ProcessingTime")
+    inner = _WithKey(Reorderer(schema, int(delay_seconds * 1000), None if idle_seconds is None else int(idle_seconds * 1000)))
+    mode = "None" if idle_seconds is None else "ProcessingTime"
+    return rows.groupBy("device_id").transformWithStateInPandas(statefulProcessor=inner, outputStructType=out, outputMode="Append", timeMode=mode)
 
 
 class _WithKey(StatefulProcessor):

@@ -1,8 +1,10 @@
 """Streams with linear windows, reordering and late rows, and the chain from chunks to alerts with a restart in the middle."""
 
 import datetime
+import glob
 import random
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -33,7 +35,7 @@ def source(spark, schema, path):
 
 def run(writer):
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination(240)
+    assert query.awaitTermination(240)
     assert query.exception() is None
     return query
 
@@ -134,7 +136,7 @@ def test_shuffled_rows_come_in_order(spark):
     parts = [rows[:30], rows[30:70], rows[70:] + late, [("a", 1000, T0 + datetime.timedelta(seconds=1000), None, None), ("b", 1000, T0 + datetime.timedelta(seconds=1000), None, None)]]
     at = folder()
     write_parts(spark, ROWS, parts, f"{at}/in")
-    ordered = processors.stream_in_order(source(spark, ROWS, f"{at}/in"), 10, idle_seconds=36_000)
+    ordered = processors.stream_in_order(source(spark, ROWS, f"{at}/in"), 10)
     assert ordered.columns == ["device_id", "pkt_no", "arrival_ts", "value", "payload", "late"]
     run(processors.write_with_late_rows(ordered, f"{at}/good", f"{at}/late", f"{at}/c"))
     good = spark.read.parquet(f"{at}/good").collect()
@@ -151,8 +153,17 @@ def test_silent_devices_are_released(spark):
     parts = [[("a", i, T0 + datetime.timedelta(seconds=i), "x", b"") for i in (3, 1, 2)], [("b", 1, T0, "y", b"")], [("b", 2, T0, "y", b"")]]
     at = folder()
     write_parts(spark, ROWS, parts, f"{at}/in")
-    run(processors.write_with_late_rows(processors.stream_in_order(source(spark, ROWS, f"{at}/in"), 10, idle_seconds=0.001), f"{at}/good", f"{at}/late", f"{at}/c"))
-    good = spark.read.parquet(f"{at}/good").filter("device_id = 'a'").collect()
+    writer = processors.write_with_late_rows(processors.stream_in_order(source(spark, ROWS, f"{at}/in"), 10, idle_seconds=0.001), f"{at}/good", f"{at}/late", f"{at}/c")
+    query, good = writer.trigger(processingTime="100 milliseconds").start(), []
+    try:
+        for _ in range(100):
+            time.sleep(1)
+            folders = glob.glob(f"{at}/good/batch=*")
+            if folders and len(good := spark.read.option("basePath", f"{at}/good").schema(f"{ROWS}, batch int").parquet(*folders).filter("device_id = 'a'").collect()) == 3:
+                break
+    finally:
+        query.stop()
+    assert query.exception() is None
     assert sorted(r.pkt_no for r in good) == [1, 2, 3] and len({r.batch for r in good}) == 1
 
 
