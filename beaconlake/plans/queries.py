@@ -408,6 +408,15 @@ def series_cardinality(spark, sf_dir):
     return metrics.series_cardinality(metrics_long(spark, sf_dir))
 
 
+@query(f"WITH {METRICS} SELECT device_id, count(DISTINCT metric || labels) AS series, TRUE AS within FROM metrics_long GROUP BY device_id")
+def series_sketches(spark, sf_dir):
+    """Distinct series of each device, exactly, and whether the merged sketches of its days are within four standard errors of it."""
+    rows = metrics_long(spark, sf_dir)
+    estimated = metrics.estimate_series(metrics.series_sketches(rows, F.to_date("ts")), "device_id").withColumnRenamed("series", "about")
+    near = F.abs(F.col("about") - F.col("series")) <= F.greatest(F.lit(1.0), 4 * F.col("series") / 64)
+    return metrics.series_cardinality(rows).join(estimated, "device_id").select("device_id", "series", near.alias("within"))
+
+
 @query(f"WITH {METRICS} SELECT DISTINCT device_id FROM metrics_long WHERE metric = 'rtos_task_cpu_ratio'")
 def label_values(spark, sf_dir):
     return panels.label_values(metrics_long(spark, sf_dir), "rtos_task_cpu_ratio")
