@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from beaconlake.functions.tables import kept
 from beaconlake.functions.scan import WIDTH, Scan, by_packet, ranges
 from beaconlake.operators import metrics, panels, quality, reports, state, trend
 from beaconlake.params import METRICS as METRIC_FAMILIES
@@ -662,7 +663,8 @@ def chunks(spark, sf_dir, repeat=False):
     first = F.row_number().over(order) == 1
     own = F.when(first, F.col("frame")).otherwise(F.substring(F.col("frame"), F.lit(6), F.octet_length("frame")))
     cut = F.concat(own, F.coalesce(F.substring(following, 1, 5), F.lit(b"")))
-    return frame_rows(spark, sf_dir, repeat).select("device_id", F.lit("run").alias("capture_id"), F.col("pkt_no").alias("chunk_no"), F.lit(None).cast("timestamp").alias("arrival_ts"), cut.alias("bytes"))
+    rows = frame_rows(spark, sf_dir, repeat).select("device_id", F.lit("run").alias("capture_id"), F.col("pkt_no").alias("chunk_no"), F.lit(None).cast("timestamp").alias("arrival_ts"), cut.alias("bytes"))
+    return kept(rows, "chunks")  # a capture is a table, and is read more than once
 
 
 @query(f"WITH {v.CHANGES} SELECT device_id, count(*) FILTER (event_id % 97 <> 0) AS packets, count(*) FILTER (event_id % 97 = 0) AS crc_drops, CAST(0 AS BIGINT) AS version_rejects, CAST(0 AS BIGINT) AS truncated FROM changes WHERE state IS NOT NULL GROUP BY device_id")
