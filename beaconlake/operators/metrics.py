@@ -133,15 +133,50 @@ def otel_rename(metrics: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(metric_dimension(metrics.sparkSession)), "metric").select(F.col("otel_name").alias("name"), "unit", renamed.alias("attributes"), "ts", "value")
 
 
-def otlp_export(metrics: DataFrame, seconds: int) -> DataFrame:
-    """The last value of each series in each push interval, and its JSON payload; of values at one instant the largest."""
+def _last_values(metrics: DataFrame, seconds: int) -> DataFrame:
+    """The last value of each series in each interval ``w``, with what its family is called; of values at one instant the largest."""
     every = metrics.filter("ts is not null").withColumn("series", F.to_json(F.array_sort(F.map_entries("attrs"))))
     last = every.groupBy("metric", "series", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max(F.struct("ts", "value")).alias("s"), F.first("attrs").alias("attrs"))
-    last = last.select("metric", "series", "w", "s.value", "s.ts", "attrs")
-    named = last.join(F.broadcast(metric_dimension(metrics.sparkSession)), "metric")
+    return last.select("metric", "series", "w", "s.value", "s.ts", "attrs").join(F.broadcast(metric_dimension(metrics.sparkSession)), "metric")
+
+
+def _payload() -> Column:
     points = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
-    payload = F.to_json(F.struct(F.col("otel_name").alias("name"), "unit", F.struct(F.array(F.struct(points.alias("attributes"), F.col("value").alias("asDouble"))).alias("dataPoints")).alias("data")))
-    return named.select(F.col("otel_name").alias("name"), "unit", "attrs", F.col("w.start").alias("push_start"), "ts", "value", payload.alias("payload"))
+    return F.to_json(F.struct(F.col("otel_name").alias("name"), "unit", F.struct(F.array(F.struct(points.alias("attributes"), F.col("value").alias("asDouble"))).alias("dataPoints")).alias("data")))
+
+
+def otlp_export(metrics: DataFrame, seconds: int) -> DataFrame:
+    """The last value of each series in each push interval, and its JSON payload; of values at one instant the largest."""
+    named = _last_values(metrics, seconds)
+    return named.select(F.col("otel_name").alias("name"), "unit", "attrs", F.col("w.start").alias("push_start"), "ts", "value", _payload().alias("payload"))
+
+
+def _objects(lines: DataFrame, text: Column) -> DataFrame:
+    """``object, text``: one a device and interval; a device's series are at most its tasks' and its own."""
+    each = lines.groupBy("device_id", "w").agg(F.array_sort(F.collect_list("line")).alias("found"))
+    name = F.concat_ws("/", F.coalesce("device_id", F.lit("unknown")), F.date_format("w.start", "yyyy-MM-dd_HH-mm-ss"))
+    return each.select(name.alias("object"), text.alias("text"))
+
+
+def scrape_objects(metrics: DataFrame, seconds: int) -> DataFrame:
+    """``object, text``: the metric text of every device and scrape interval, ``<device>/<start of the interval>``; rows of a table, or of a stream with a watermark on ``ts``.
+
+    It has the last value of each series that has one in the interval, with help and type before the first of each family. Values without a time are left out.
+    """
+    sample = F.concat("metric", F.lit("{"), label_text(F.col("attrs")), F.lit("} "), F.coalesce(F.col("value").cast("string"), F.lit("NaN")))
+    lines = _last_values(metrics, seconds).select(F.col("attrs")["device_id"].alias("device_id"), "w", F.struct("metric", sample.alias("sample"), "description").alias("line"))
+
+    def with_head(x: Column, i: Column) -> Column:
+        head = F.concat(F.lit("# HELP "), x["metric"], F.lit(" "), x["description"], F.lit("\n# TYPE "), x["metric"], F.lit(" gauge\n"))
+        return F.concat(F.when((i > 0) & (F.get("found", i - 1)["metric"] == x["metric"]), F.lit("")).otherwise(head), x["sample"], F.lit("\n"))
+
+    return _objects(lines, F.array_join(F.transform("found", with_head), ""))
+
+
+def push_objects(metrics: DataFrame, seconds: int) -> DataFrame:
+    """``object, text``: what every device pushes in an interval, a payload of ``otlp_export`` a line; rows of a table, or of a stream with a watermark on ``ts``."""
+    lines = _last_values(metrics, seconds).select(F.col("attrs")["device_id"].alias("device_id"), "w", _payload().alias("line"))
+    return _objects(lines, F.array_join("found", "\n"))
 
 
 def threshold_class(metrics: DataFrame) -> DataFrame:

@@ -5,19 +5,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from beaconlake.functions.tables import kept
+from beaconlake.functions.tables import kept, shared_folder
 from beaconlake.functions.scan import WIDTH, Scan, by_packet, ranges
 from beaconlake.operators import metrics, panels, quality, reports, state, trend
 from beaconlake.params import METRICS as METRIC_FAMILIES
 from beaconlake.params import OFFLINE_SECONDS, PROGRESS_SECONDS, PUSH_SECONDS, SCRAPE_SECONDS, OomParams
 from beaconlake.plans import views as v
-from beaconlake.sources import frames, text
+from beaconlake.sources import frames, sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -901,3 +902,36 @@ def read_soak_metadata(spark, sf_dir):
     body = F.concat(F.lit("Run notes\nBoard: "), "c_name", F.lit("\nNotes: "), "c_mktsegment", F.lit(": "), F.col("c_nationkey").cast("string"))
     texts = v.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("file"), body.alias("text"))
     return text.read_soak_metadata(texts)
+
+
+def _sunk(objects: DataFrame, batch: str) -> DataFrame:
+    """The objects' lines, written through the sink (twice, of which one counts) and read back."""
+    path = f"{shared_folder(objects.sparkSession)}/objects-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_objects(objects, path, batch)
+    return sinks.read_objects(objects.sparkSession, path)
+
+
+#: Packets of the views are hours apart, so the objects below are of a month each.
+MONTH = 30 * 86400
+
+
+@query(
+    f"""WITH {PACKET_METRICS} SELECT metric, device_id, epoch_us(ts) // {MONTH * 1000000} * {MONTH} AS scrape_s, round(arg_max(value, ts), 4) AS value
+    FROM packet_metrics WHERE value IS NOT NULL GROUP BY ALL"""
+)
+def scrape_objects(spark, sf_dir):
+    """The metric text of every device and month as objects, read again."""
+    lines = _sunk(metrics.scrape_objects(packet_metrics(spark, sf_dir).filter("value is not null"), MONTH), "scrapes")
+    read = text.read_exposition(lines.withColumnRenamed("object", "file"))
+    return read.select("metric", F.col("attrs")["device_id"].alias("device_id"), F.unix_seconds("ts").alias("scrape_s"), F.round("value", 4).alias("value"))
+
+
+@query(
+    f"""WITH {PACKET_METRICS}{DIM} SELECT otel_name AS name, unit, device_id, round(arg_max(value, ts), 4) AS value
+    FROM packet_metrics JOIN dim USING (metric) WHERE value IS NOT NULL GROUP BY otel_name, unit, device_id, epoch_us(ts) // {MONTH * 1000000}"""
+)
+def push_objects(spark, sf_dir):
+    """What every device pushes in a month as objects, read again."""
+    lines = _sunk(metrics.push_objects(packet_metrics(spark, sf_dir).filter("value is not null"), MONTH), "pushes")
+    return text.read_otlp_json(lines, "line").select("name", "unit", F.col("attrs")["device_id"].alias("device_id"), F.round("value", 4).alias("value"))

@@ -106,6 +106,14 @@ class FullStateTracker(StatefulProcessor):
         self.system = handle.getValueState("system", "pkt_no long, epoch long, heap_free_bytes long, heap_min_ever_bytes long, cpu_utilization_pct long")
         self.tasks = handle.getMapState("tasks", "task_idx int", "task_name string, state long, priority long, stack_hwm_words long, runtime_ticks long")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A record of the registry as the state, before the first packets."""
+        for r in initialState.itertuples(index=False):
+            numbers = [None if pd.isna(x) else int(x) for x in (r.pkt_no, r.epoch, *(getattr(r, f) for f in FIELD_NAMES[4:]))]
+            self.system.update(tuple(numbers))
+            for t in r.tasks:
+                self.tasks.updateValue((int(t["task_idx"]),), (t["task_name"], *(int(t[f]) for f in FIELD_NAMES[:4])))
+
     @staticmethod
     def entries(payload: bytes, known) -> Iterator[tuple[int, str, int]]:
         """(task, field, value) of a delta; what it says of unknown tasks is skipped by the field's width, and elsewhere an unknown field or a cut-off value ends it."""
@@ -381,9 +389,10 @@ class Reorderer(StatefulProcessor):
         pass
 
 
-def _keyed(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+def _keyed(stream: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", records: DataFrame | None = None) -> DataFrame:
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("device_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
+    first = None if records is None else records.groupBy("device_id")
+    return stream.groupBy("device_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode, initialState=first)
 
 
 def stream_in_order(rows: DataFrame, delay_seconds: float, idle_seconds: float | None = None) -> DataFrame:
@@ -454,9 +463,14 @@ def stream_full_state(packets: DataFrame, samples: bool = False) -> DataFrame:
 
     With ``samples``, the system fields after every packet since a device's first keyframe.
     """
+    return full_state_rows(packets, samples)
+
+
+def full_state_rows(packets: DataFrame, samples: bool = False, records: DataFrame | None = None) -> DataFrame:
+    """``stream_full_state``, from the state of ``records`` (a row a device) if they are given."""
     keyframe = F.when(F.col("packet_type") == KEYFRAME, parse_keyframe(F.col("payload")))
     arrival = F.col("arrival_ts") if "arrival_ts" in packets.columns else F.lit(None).cast("timestamp")
-    return _keyed(packets.select("device_id", "pkt_no", "packet_type", "payload", arrival.alias("arrival_ts"), keyframe.alias("keyframe")), FullStateTracker(samples), FULL)
+    return _keyed(packets.select("device_id", "pkt_no", "packet_type", "payload", arrival.alias("arrival_ts"), keyframe.alias("keyframe")), FullStateTracker(samples), FULL, records=records)
 
 
 def stream_offline(packets: DataFrame, timeout_seconds: int = OFFLINE_SECONDS, lateness: str = "0 seconds") -> DataFrame:
