@@ -6,21 +6,27 @@ counts and two histograms: characters by class, and candidate words. ``fit_refer
 the documents that pass the base rule together into one reference for every language that has ``min_reference_docs`` of them; its common words are the ``common_words``
 candidates with the largest exact share of these documents. ``judge`` rejects a document that
 fails the base rule, or whose distance to the nearest reference is over the limit; a histogram under its minimum
-length says too little and isn't compared, and a document whose language has no reference isn't either. The word limit widens for texts under ``full_limit_words``, as the squared distance of a
+length says too little and isn't compared.
+
+A document of a language without a reference is compared with the pool of all languages: the shares of letters of any script, digits, punctuation and symbols among
+the characters of words, as means over all documents that have a language and pass the base rule. A language whose own documents are, in the mean, farther from the pool than the limit is not
+trusted as a reference (its documents are mostly junk), and so its documents are compared with the pool, too. Signs that are none of these symbols count as letters there. The word limit widens for texts under ``full_limit_words``, as the squared distance of a
 sample of n words to its own distribution is about (cells - 1) / (8 ln 2 n): 1.44 / n for eight common words and the rest.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D. Defined results: a null text has no words and no
-characters and so fails the base rule; repeated rows are judged alike; a document without a language is compared with all references; without
-a reference the base rule alone decides.
+characters and so fails the base rule; repeated rows are judged alike; a document without a language is compared with all references, or the pool if there are none; without
+``min_reference_docs`` good documents in all, the base rule alone decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .packing import BREAKS, WORD_BREAK
 from .scratch import written
@@ -57,6 +63,16 @@ class Reference:
     shares: tuple[float, ...]
 
 
+class References(dict):
+    """A Reference by language, and the pool's shares (FOLDED), or None where too few documents are good."""
+
+    pool: tuple[float, ...] | None = None
+
+
+#: The pool's cells.
+FOLDED = ["letters", "digits", "punctuation", "symbols"]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -167,25 +183,45 @@ def base_failed(params: QualityParams) -> Column:
     return (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.repeat_percent * F.col("n_words"))
 
 
-def fit_references(features: DataFrame, params: QualityParams) -> dict[str, Reference]:
-    """A reference for every language with ``min_reference_docs`` documents that pass the base rule; each document weighs alike.
+def fit_references(features: DataFrame, params: QualityParams) -> References:
+    """A reference for every trusted language with ``min_reference_docs`` documents that pass the base rule, and the pool of all; each document weighs alike.
 
-    The driver gets at most ``candidates`` words and a histogram of a language.
+    The driver gets ``common_words`` words and two histograms of each such language, and a histogram of all.
     """
     good = features.filter(~base_failed(params) & F.col("lang").isNotNull())
-    shares = good.select("lang", _normalised(F.col("class_counts")).alias("c"))
-    found = shares.groupBy("lang").agg(F.count("*").alias("docs"), *[F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES))]).filter(F.col("docs") >= params.min_reference_docs).collect()
-    held = good.select("lang", "n_words", F.explode("word_counts").alias("word", "times"))
+    shares = good.select("lang", _normalised(F.col("class_counts")).alias("c"), _folded().alias("f"))
+    means = [F.avg(F.col(x)[i]).alias(f"{x}{i}") for x, n in (("c", len(CLASSES)), ("f", len(FOLDED))) for i in range(n)]
+    found = shares.rollup("lang").agg(F.grouping("lang").alias("all"), F.count("*").alias("docs"), *means).filter(F.col("docs") >= params.min_reference_docs).collect()
+    out = References()
+    folded = {row["lang"]: tuple(row[f"f{i}"] or 0.0 for i in range(len(FOLDED))) for row in found if not row["all"]}
+    out.pool = next((tuple(row[f"f{i}"] or 0.0 for i in range(len(FOLDED))) for row in found if row["all"] and row["docs"]), None)
+    trusted = [name for name, own in folded.items() if _distance(own, out.pool) <= params.max_class_distance]
+    held = good.filter(F.col("lang").isin(trusted)).select("lang", "n_words", F.explode("word_counts").alias("word", "times"))
     # integer parts of a billion add up alike in any order
-    words = held.groupBy("lang", "word").agg(F.count("*").alias("holders"), F.sum(F.expr("times * 1000000000 div n_words")).alias("weight")).collect()
-    out = {}
+    weights = held.groupBy("lang", "word").agg(F.count("*").alias("holders"), F.sum(F.expr("times * 1000000000 div n_words")).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("holders"), "word"))
+    words = weights.withColumn("place", place).filter(F.col("place") <= params.common_words).collect() if trusted else []
     for row in found:
-        common = sorted((w for w in words if w["lang"] == row["lang"]), key=lambda w: (-w["holders"], w["word"]))[: params.common_words]
+        if row["all"] or row["lang"] not in trusted:
+            continue
+        common = sorted((w for w in words if w["lang"] == row["lang"]), key=lambda w: w["place"])
         part = [w["weight"] / 1e9 / row["docs"] for w in common]
         out[row["lang"]] = Reference(tuple(row[f"c{i}"] or 0.0 for i in range(len(CLASSES))), tuple(w["word"] for w in common), (*part, max(0.0, 1.0 - sum(part))))
     return out
 
 
+def _folded() -> Column:
+    """Shares of FOLDED among the characters of words."""
+    _, _, _, digits, punctuation, _ = (F.col("class_counts")[i] for i in range(len(CLASSES)))
+    return _normalised(F.array(F.col("word_chars") - digits - punctuation - F.col("n_symbols"), digits, punctuation, F.col("n_symbols")))
+
+
+def _distance(p: tuple[float, ...], q: tuple[float, ...]) -> float:
+    """Jensen-Shannon distance of two known histograms."""
+    total = sum(x * math.log2(2 * x / (a + b)) for a, b in zip(p, q, strict=True) for x in (a, b) if x > 0)
+    return math.sqrt(max(total / 2, 0.0))
+
+
 def _normalised(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
     return let(total, lambda t: F.transform(counts, lambda x: F.when(t > 0, x / t).otherwise(F.lit(0.0))))
@@ -209,11 +245,11 @@ def word_limit(n_words: Column, params: QualityParams) -> Column:
     return F.sqrt(params.max_word_distance**2 + spread)
 
 
-def judge(features: DataFrame, references: dict[str, Reference], params: QualityParams) -> DataFrame:
+def judge(features: DataFrame, references: References, params: QualityParams) -> DataFrame:
     """The features with ``base_failed``, ``class_distance``, ``word_distance``, ``nearest`` and ``kept``.
 
-    The nearest reference is the one with the least sum of both distances, in billionths (the first by name among equals). All three are null for a document whose
-    language has no reference, and a distance is null where its histogram is too short.
+    The nearest reference is the one with the least sum of both distances, in billionths (the first by name among equals). A document whose
+    language has no reference has the distance to the pool as its ``class_distance`` and nulls in the two others. A distance is null where its histogram is too short.
     """
     out = features.withColumns({"base_failed": base_failed(params), "c": _normalised(F.col("class_counts"))})
     if references:
@@ -236,9 +272,12 @@ def judge(features: DataFrame, references: dict[str, Reference], params: Quality
         out = out.withColumn("near", F.when(compared, F.array_min(summed)))
     else:
         out = out.withColumn("near", F.lit(None).cast("struct<total:bigint,name:string,c:double,w:double>"))
+    pool = F.lit(None).cast("double")
+    if references.pool:
+        pool = F.when(F.col("near").isNull() & (F.col("word_chars") >= params.min_chars_for_classes), js_distance(_folded(), list(references.pool)))
     n_chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumns({
-        "class_distance": F.when(n_chars >= params.min_chars_for_classes, F.col("near")["c"]),
+        "class_distance": F.coalesce(F.when(n_chars >= params.min_chars_for_classes, F.col("near")["c"]), pool),
         "word_distance": F.when(F.col("n_words") >= params.min_words_for_lexicon, F.col("near")["w"]),
         "nearest": F.col("near")["name"],
     })

@@ -131,7 +131,12 @@ WITH split AS (
     n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM counted c LEFT JOIN repeated USING (rid)
 ), cells AS (
   SELECT rid, lang, base_failed, k, CASE k WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 WHEN 4 THEN c4 ELSE c5 END / n_chars AS p FROM based, range(6) r(k) WHERE n_chars > 0
-), refs AS (SELECT lang, count(*) AS docs FROM based WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20
+), folded AS (
+  SELECT rid, lang, base_failed, k, CASE k WHEN 0 THEN word_chars - c3 - c4 - n_symbols WHEN 1 THEN c3 WHEN 2 THEN c4 ELSE n_symbols END / word_chars AS p FROM based, range(4) r(k) WHERE word_chars > 0
+), pool AS (SELECT k, avg(p) AS q FROM folded WHERE NOT base_failed AND lang IS NOT NULL GROUP BY k HAVING count(*) >= 20
+), trusted AS (
+  SELECT lang FROM (SELECT lang, k, avg(p) AS p FROM folded WHERE NOT base_failed GROUP BY lang, k) JOIN pool USING (k) GROUP BY lang HAVING sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) <= 0.22
+), refs AS (SELECT lang, count(*) AS docs FROM based JOIN trusted USING (lang) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 20
 ), class_refs AS (SELECT lang AS name, k, avg(p) AS q FROM cells JOIN refs USING (lang) WHERE NOT base_failed GROUP BY lang, k
 ), worded AS (
   SELECT rid, lang, base_failed, n_words, word, count(*) AS times FROM (SELECT rid, lang, base_failed, n_words, unnest(list_transform(words, lambda x: lower(x))) AS word FROM based) GROUP BY ALL
@@ -145,7 +150,10 @@ WITH split AS (
 ), word_distances AS (SELECT rid, name, sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) AS w FROM all_words GROUP BY rid, name
 ), near AS (
   SELECT rid, name, c, w FROM compared JOIN class_distances USING (rid, name) JOIN word_distances USING (rid, name) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CAST(round((c + w) * 1e9) AS BIGINT), name) = 1
-), judged AS (SELECT b.*, name AS nearest, CASE WHEN n_chars >= 200 THEN c END AS class_distance, CASE WHEN n_words >= 50 THEN w END AS word_distance FROM based b LEFT JOIN near USING (rid))
+), pool_distances AS (SELECT rid, sqrt(greatest(sum({_divergence("p", "q")}) / 2, 0)) AS d FROM folded JOIN pool USING (k) WHERE rid NOT IN (SELECT rid FROM near) GROUP BY rid
+), judged AS (
+  SELECT b.*, name AS nearest, CASE WHEN name IS NOT NULL AND n_chars >= 200 THEN c WHEN name IS NULL AND word_chars >= 200 THEN d END AS class_distance, CASE WHEN n_words >= 50 THEN w END AS word_distance
+  FROM based b LEFT JOIN near USING (rid) LEFT JOIN pool_distances USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (coalesce(class_distance > 0.22, FALSE) OR coalesce(word_distance > sqrt(0.0625 + 1.44 * greatest(1 / n_words - 1 / 100, 0)), FALSE)) AS kept,
   nearest, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance

@@ -148,6 +148,43 @@ def test_keep_good_keeps_rows(spark):
     assert quality_rules.keep_good(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def odd_language_docs(spark, lang, junk, good=0, script="a"):
+    """The given corpus with further documents of one language: junk of digits and symbols, and prose of made-up words."""
+    r = random.Random(f"{lang}{junk}{good}")
+    first = ord(script)
+    words = ["".join(chr(first + r.randrange(26)) for _ in range(r.randint(2, 9))) for _ in range(400)]
+
+    def prose():
+        return ". ".join(" ".join(r.choice(words) for _ in range(r.randint(6, 12))) for _ in range(12)) + "."
+
+    def rubbish():
+        return " ".join("".join(r.choice("0123456789#%&|<>*$;:xq") for _ in range(r.randint(3, 12))) for _ in range(120))
+
+    rows = [(10**9 + i, rubbish() if i < junk else prose(), lang) for i in range(junk + good)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    return docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+@pytest.mark.parametrize(("junk", "good", "script"), [(5, 5, "a"), (25, 0, "a"), (25, 3, "а"), (0, 12, "а"), (3, 30, "a")])
+def test_quality_of_rare_and_dirty_languages(spark, junk, good, script):
+    """Junk of a language with few good documents, or of one that is mostly junk, goes; prose of an unseen language and script stays, and others are judged as before."""
+    docs = odd_language_docs(spark, "zz", junk, good, script)
+    got = quality_rules.quality_rules(docs).select("doc_id", "kept", "base_failed", "nearest").collect()
+    own = [x for x in got if x.doc_id >= 10**9]
+    assert not any(x.base_failed for x in own)
+    assert [x.kept for x in sorted(own, key=lambda x: x.doc_id)] == [False] * junk + [True] * good
+    if good < 20:
+        assert all(x.nearest is None for x in own)
+    plain = quality_rules.quality_rules(docs.filter(F.col("doc_id") < 10**9)).select("doc_id", "kept").collect()
+    assert sorted((x.doc_id, x.kept) for x in plain) == sorted((x.doc_id, x.kept) for x in got if x.doc_id < 10**9)
+
+
+def test_quality_without_a_pool(spark):
+    """Too few good documents in all: the base rule alone decides."""
+    docs = odd_language_docs(spark, "zz", 5, 5).filter(F.col("doc_id") >= 10**9)
+    assert all(x.kept and x.class_distance is None for x in quality_rules.quality_rules(docs).collect())
+
+
 def test_quality_against_labels(spark):
     sf = "/root/testdata/sf0.1"
     judged = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed")
