@@ -652,9 +652,8 @@ def frame_rows(spark, sf_dir, repeat=False):
     ticks = F.col("event_id")
     key = frames.keyframe_payload(F.col("sequence_num"), ticks, tasks, F.col("heap_d"), F.col("heap_d"), F.col("cpu_d"))
     payload = F.when(F.col("is_valid_keyframe"), key).otherwise(frames.delta_payload(entries))
-    frame = frames.framed(F.col("packet_type"), F.col("sequence_num"), ticks, payload)
-    broken = F.concat(F.substring(frame, F.lit(1), F.octet_length(frame) - 2), F.lit(b"\x00\x00"))
-    return rows.select("device_id", "pkt_no", "event_id", F.when(F.col("event_id") % 97 == 0, broken).otherwise(frame).alias("frame"))
+    frame = frames.framed(F.col("packet_type"), F.col("sequence_num"), ticks, payload, broken=F.col("event_id") % 97 == 0)
+    return rows.select("device_id", "pkt_no", "event_id", frame.alias("frame"))
 
 
 def chunks(spark, sf_dir, repeat=False):

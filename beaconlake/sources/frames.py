@@ -249,10 +249,11 @@ def parse_framed(frames: DataFrame, data: str = "frame") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def framed(packet_type: Column, sequence_num: Column, ticks: Column, payload: Column) -> Column:
-    """A packet as the bytes of a frame."""
+def framed(packet_type: Column, sequence_num: Column, ticks: Column, payload: Column, broken: Column | None = None) -> Column:
+    """A packet as the bytes of a frame; where ``broken``, all bits of its checksum are turned, so that it is wrong whatever it was."""
     body = F.concat(F.lit(bytes([VERSION])), to_little_endian(packet_type, 1), to_little_endian(sequence_num, 2), to_little_endian(ticks, 4), to_little_endian(F.octet_length(payload), 2), payload)
-    return F.concat(F.lit(SYNC), body, to_little_endian(checksum(body), 2))
+    turned = F.lit(0) if broken is None else F.when(broken, F.lit(0xFFFF)).otherwise(F.lit(0))
+    return F.concat(F.lit(SYNC), body, to_little_endian(checksum(body).bitwiseXOR(turned), 2))
 
 
 def packets_of(frames: DataFrame) -> DataFrame:

@@ -117,3 +117,15 @@ def test_captures_as_files_and_as_chunk_tables(spark, tmp_path):
     cut = frames.read_chunk_table(spark.read, f"{tmp_path}/table")
     assert sorted(map(tuple, frames.ingest_frames(cut).select(*columns).collect())) == want
     assert frames.read_chunk_table(spark.readStream, f"{tmp_path}/table").isStreaming
+
+
+def test_broken_frames_are_never_ok(spark, tmp_path):
+    """The frame of event 4295548 has the checksum 0, so that writing zeros over it would break nothing."""
+    from beaconlake.plans import queries
+
+    row = spark.range(1).select(F.lit(4295548).alias("event_id"), F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    row.select(F.col("event_id").cast("long").alias("event_id"), "ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    frame = queries.frame_rows(spark, str(tmp_path))
+    right = crc16(F.substring("frame", F.lit(3), F.octet_length("frame") - 4))
+    assert frame.select(right.alias("right")).first().right == 0
+    assert [r.status for r in queries.parse_framed(spark, str(tmp_path)).collect()] == ["crc"]
