@@ -17,6 +17,7 @@ score is 0, and ``fit`` warns; rows of one id with several labels count as toxic
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -233,19 +234,24 @@ def _shortened(rows: DataFrame, p: ToxicityParams) -> DataFrame:
     return rows.select("label", "id", "text").mapInArrow(cut, "label int, id long, text string")
 
 
-def sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, str]]:
-    """(label, text) of the training rows. Only the chosen ids are broadcast and only their texts come to the driver, long ones in windows."""
+def _chosen(docs: DataFrame, labels: DataFrame, p: ToxicityParams, paths: list[str], doc_id: str, text: str, label: str) -> DataFrame:
+    """``label, id, text`` of the training rows, toxic ones first, in the order of a hash: one sorted partition. Only the chosen ids are broadcast; long texts are in windows."""
     marked = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
     order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
+    there = written(marked.join(named.select("id").distinct(), "id", "left_semi"), "labelled", paths)
+    chosen = there.filter("label = 1").orderBy(*order).limit(p.max_toxic).unionByName(there.filter("label = 0").orderBy(*order).limit(p.max_clean))
+    # an id that is repeated gives as many rows as it has texts; the bound holds for the rows of each label
+    rows = written(named.join(F.broadcast(chosen), "id").select("label", "id", "text").dropDuplicates(), "sample", paths)
+    short = written(_shortened(rows, p), "shortened", paths)
+    toxic, clean = (short.filter(F.col("label") == y).orderBy(*order, "text").limit(most) for y, most in ((1, p.max_toxic), (0, p.max_clean)))
+    return toxic.unionByName(clean).coalesce(1).sortWithinPartitions(F.desc("label"), *order, "text")
+
+
+def sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[int, str]]:
+    """(label, text) of the training rows, in the driver."""
     with temporary(docs.sparkSession) as paths:
-        there = written(marked.join(named.select("id").distinct(), "id", "left_semi"), "labelled", paths)
-        chosen = there.filter("label = 1").orderBy(*order).limit(p.max_toxic).unionByName(there.filter("label = 0").orderBy(*order).limit(p.max_clean))
-        # an id that is repeated gives as many rows as it has texts; the bound holds for the rows of each label
-        rows = written(named.join(F.broadcast(chosen), "id").select("label", "id", "text").dropDuplicates(), "sample", paths)
-        short = written(_shortened(rows, p), "shortened", paths)
-        found = [r for y, most in ((1, p.max_toxic), (0, p.max_clean)) for r in short.filter(F.col("label") == y).orderBy(*order, "text").limit(most).collect()]
-    return [(int(r["label"]), r["text"]) for r in found]
+        return [(int(r["label"]), r["text"]) for r in _chosen(docs, labels, p, paths, doc_id, text, label).collect()]
 
 
 def train(rows: list[tuple[int, str]], p: ToxicityParams) -> ToxicityModel:
@@ -390,8 +396,24 @@ def gradients(params: bigru.Params, odds: np.ndarray, at: np.ndarray, chars: np.
     return loss, grads | recurrent | by_bytes
 
 
+def _trained(batches: Iterator[pa.RecordBatch], p: ToxicityParams) -> Iterator[pa.RecordBatch]:
+    """The model of all rows, pickled."""
+    rows = [(int(y), x) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the driver warns
+        yield pa.record_batch([pa.array([pickle.dumps(train(rows, p))], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    return train(sample(docs, labels, p, doc_id, text, label), p)
+    """The model is trained in a task, whose work is bounded by the sample, so that the driver gets the model alone: neither texts nor the arrays that training takes."""
+    ship_package(docs.sparkSession)
+    with temporary(docs.sparkSession) as paths:
+        rows = _chosen(docs, labels, p, paths, doc_id, text, label).select("label", "text")
+        found = rows.mapInArrow(lambda batches: _trained(batches, p), "model binary").collect()
+    model = pickle.loads(found[0]["model"]) if found else train([], p)
+    if found and not model.keys:
+        warnings.warn("no training rows of both labels: every toxicity score is 0", stacklevel=2)
+    return model
 
 
 class Scorer:

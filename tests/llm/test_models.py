@@ -263,3 +263,21 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
     untrained = toxicity.fit(docs, labels.filter("toxic = 0"))
     assert {r.score for r in toxicity.score(docs, untrained).collect()} == {0.0}
+
+
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    """The driver gets a model and no training rows."""
+    rows = [(i, f"plain words number {i % 7} here" + (" vile awful" if i % 3 == 0 else ""), None, None, "") for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    p = toxicity.ToxicityParams(steps=60)
+    here = toxicity.train(toxicity.sample(docs, labels, p), p)
+
+    def nothing(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "train", nothing)
+    monkeypatch.setattr(toxicity, "sample", nothing)
+    model = toxicity.fit(docs, labels, p)
+    assert all((a == b).all() for a, b in zip(model.keys, here.keys, strict=True))
+    assert {r.predicted for r in toxicity.score(docs, model).filter("doc_id % 3 = 0").collect()} == {1}
