@@ -906,6 +906,7 @@ def read_soak_metadata(spark, sf_dir):
 def _sunk(objects: DataFrame, batch: str) -> DataFrame:
     """The objects' lines, written through the sink (twice, of which one counts) and read back."""
     path = f"{shared_folder(objects.sparkSession)}/objects-{uuid.uuid4().hex}"
+    objects = kept(objects, "objects")  # what both writes read is made once
     for _ in range(2):
         sinks.write_objects(objects, path, batch)
     return sinks.read_objects(objects.sparkSession, path)

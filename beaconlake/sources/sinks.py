@@ -18,8 +18,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,6 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourc
 from pyspark.sql.streaming import DataStreamWriter
 
 from beaconlake.session import ship_package
-from beaconlake.sources.text import lines_of
 
 OBJECT = "object string, text string"
 LINES = "object string, path string, line_no long, line string"
@@ -136,10 +136,18 @@ def _registered(spark: SparkSession) -> None:
     spark.dataSource.register(ObjectSink)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many parts as shuffles have here: a row is a file, whose cost isn't that of its few bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def write_objects(objects: DataFrame, path: str, batch: str | None = None) -> None:
     """Write ``object, text``; a batch of a name that is committed already changes nothing."""
     _registered(objects.sparkSession)
-    writer = objects.select("object", "text").write.format("objects").mode("append").option("path", path)
+    store, root = fs.FileSystem.from_uri(path)
+    if batch is not None and store.get_file_info(f"{root}/commits/{quote(batch, safe='')}.json").type != fs.FileType.NotFound:
+        return  # the commit looks again, for a write that runs beside
+    writer = _spread(objects.select("object", "text")).write.format("objects").mode("append").option("path", path)
     (writer if batch is None else writer.option("batch", batch)).save()
 
 
@@ -157,14 +165,44 @@ def _committed(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of LINES: the lines of all committed objects. ``line_no`` orders those of one ``path``; ``object`` is the name (its beginning and a digest, if it was too long)."""
+    """Columns of LINES: the lines of all committed objects. ``line_no`` orders those of one ``path``; ``object`` is the name (its beginning and a digest, if it was too long).
+
+    Tasks list the folders and then read files one after the other; the driver has the folders' names alone, and no table of files is kept anywhere.
+    """
     folders = _committed(spark, path)
     if not folders:
         return spark.createDataFrame([], LINES)
-    lines = lines_of(spark, [f"{path}/data/{name}/*" for name in folders])
-    # the reader gives the names of files quoted once more
-    quoted = F.substring("file", F.lit(len(HEAD) + 1), F.length("file") - len(HEAD + TAIL))
-    return lines.select(F.url_decode(F.url_decode(quoted)).alias("object"), "path", "line_no", "line")
+    ship_package(spark)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                inside = f"{root}/data/{folder}"
+                found = [f.path[len(inside) :].lstrip("/") for f in store.get_file_info(fs.FileSelector(inside, recursive=True)) if f.is_file]
+                yield pa.record_batch([pa.array([f"{folder}/{x}" for x in found], pa.string())], ["name"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            rows: list[tuple] = []
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/data/{name}") as source:
+                    text = source.read().replace(b"\r\n", b"\n").replace(b"\r", b"\n").decode("utf-8", "replace").removesuffix("\n")
+                file = name.rsplit("/", 1)[1]
+                called, own = unquote(file[len(HEAD) : -len(TAIL)]), f"{path}/data/{name}"
+                rows += [(called, own, i, line) for i, line in enumerate(text.split("\n") if text else [])]
+                if len(rows) >= 10_000:
+                    yield _lines(rows)
+                    rows = []
+            if rows:
+                yield _lines(rows)
+
+    def _lines(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["object", "path", "line_no", "line"])
+
+    names = spark.createDataFrame([(x,) for x in folders], "folder string").repartition("folder").mapInArrow(listed, "name string")
+    return _spread(names).mapInArrow(lines, LINES)
 
 
 def remove_leftovers(spark: SparkSession, path: str, hours: float = 24) -> int:

@@ -95,3 +95,19 @@ def test_stream_with_a_repeated_micro_batch(spark, kind):
     else:
         read = text.read_exposition(lines.withColumnRenamed("object", "file"))
         assert read.count() == 4 * 2 * 2 and read.filter("ts is null").count() == 0
+
+
+def test_few_parts_of_many_objects(spark, tmp_path):
+    """Writing is spread over tasks whatever the table's parts; lines end in any of three ways; a committed batch isn't computed again."""
+    from pyspark.errors import PySparkException
+
+    path, parts = f"file://{tmp_path}/objects", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(400).coalesce(1).select(F.concat(F.lit("a/ü "), F.col("id").cast("string")).alias("object"), F.lit("one\ntwo\r\n\rthree\n").alias("text"))
+    sinks.write_objects(rows, path, "b")
+    assert len(sinks._committed(spark, path)) == parts
+    got = sinks.read_objects(spark, path).filter("object = 'a/ü 7'").orderBy("line_no").collect()
+    assert [r.line for r in got] == ["one", "two", "", "three"]
+    failing = rows.withColumn("text", F.raise_error(F.lit("computed again")).cast("string"))
+    sinks.write_objects(failing, path, "b")
+    with pytest.raises(PySparkException):
+        sinks.write_objects(failing, path, "c")
