@@ -3,7 +3,8 @@
 The rule holds for the pattern ``PATTERN`` alone. A pre-token of it holds a space only in front, and of a run of white space before other
 characters the last one stands apart. So a text may be cut before any space or newline that stands alone between characters that aren't white
 space, and before both of two newlines. A text with other white space is cut only at its lone spaces and newlines.
-``chunk_lists`` cuts a batch with Arrow's kernels and numbers the distinct chunks; ``ChunkIds`` keeps the ids of the short ones it has seen, at most
+Letters and marks behind them are pre-tokens of their own, so a text is also cut between an ASCII letter and a mark.
+``chunk_lists`` cuts a batch at bytes, without a copy of it, and numbers the distinct chunks; ``ChunkIds`` keeps the ids of the short ones it has seen, at most
 ``cache_size``. With another pattern, or where a text holds a string that the tokenizer looks for first, the text is one chunk.
 """
 
@@ -24,9 +25,12 @@ _ODD = _WHITE.replace("\n", "")
 #: A run of white space that isn't one character, or two newlines before something else.
 _RUNS = f"[{_ODD}][{_WHITE}]|\n[{_ODD}]|\n\n(?:\n|\\z)"
 _LONE = re.compile(f"(?<=[^{_WHITE}])(?=[ \n][^{_WHITE}])")
-CUT = "\0"
 #: Characters that make pre-tokens of their own after letters; an apostrophe doesn't.
 MARKS = ".,;:!?#*$%&|<>-()\""
+#: What each byte is: white space to cut at, a mark, an ASCII letter, or another.
+_CUT_AT, _MARK, _LETTER = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b" \n")], _KINDS[list(MARKS.encode())], _KINDS[[*range(65, 91), *range(97, 123)]] = _CUT_AT, _MARK, _LETTER
 #: Longer chunks are encoded anew each time, so that a cache holds words and not texts.
 CACHED_CHARS = 64
 
@@ -37,26 +41,33 @@ def chunk_lists(texts: pa.Array, whole: tuple[str, ...] | None = ()) -> tuple[li
     Texts that hold one of the strings ``whole`` stay one chunk; all do if it is None. Null counts as empty.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
-    if whole is None:
-        distinct = texts.dictionary_encode()
-        return distinct.dictionary.to_pylist(), distinct.indices.to_numpy(), np.arange(1, len(texts) + 1)
-    kept = pc.match_substring(texts, CUT)
+    if whole is None or not len(texts):
+        return *_numbered(texts), np.arange(1, len(texts) + 1)
+    kept = np.zeros(len(texts), bool)
     for string in whole:
-        kept = pc.or_(kept, pc.match_substring(texts, string))
-    odd = pc.and_not(pc.match_substring_regex(texts, _RUNS), kept)
-    marked = pc.replace_substring(pc.replace_substring(texts, " ", CUT + " "), "\n", CUT + "\n")
-    lists = pc.split_pattern(marked, CUT)
-    slow = np.flatnonzero(pc.or_(kept, odd).to_numpy(zero_copy_only=False))
-    if len(slow):
-        at, parts = 0, []
-        for i in slow.tolist():
-            text = texts[i].as_py()
-            own = [text] if kept[i].as_py() else _LONE.split(text)
-            parts += [lists.slice(at, i - at), pa.array([own], lists.type)]
-            at = i + 1
-        lists = pa.concat_arrays([*parts, lists.slice(at)])
-    distinct = lists.flatten().dictionary_encode()
-    return distinct.dictionary.to_pylist(), distinct.indices.to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        kept |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+    kinds = _KINDS[data]
+    begins = kinds == _CUT_AT
+    begins[1:] |= (kinds[1:] == _MARK) & (kinds[:-1] == _LETTER)
+    for i in np.flatnonzero(kept | odd).tolist():
+        begins[starts[i] : ends[i]] = False
+        if not kept[i]:
+            sizes = [len(part.encode()) for part in _LONE.split(texts[i].as_py())]
+            begins[starts[i] + np.cumsum(sizes[:-1], dtype=np.int64)] = True
+    begins[starts[starts < ends]] = True
+    at = np.flatnonzero(begins)
+    chunks = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))
+    return *_numbered(chunks), np.searchsorted(at, ends)
+
+
+def _numbered(chunks: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct strings, and the number of each string."""
+    distinct = chunks.dictionary_encode()
+    return distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), distinct.indices.to_numpy()
 
 
 class ChunkIds:
@@ -67,18 +78,23 @@ class ChunkIds:
         self.known: dict[str, bytes] = {}
 
     def _learned(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that aren't known; marks behind letters are encoded apart from them, as the pattern takes them."""
-        if self.whole is None:
-            return self.fresh(chunks)
-        known = self.known
-        bodies = [c.rstrip(MARKS) for c in chunks]
-        cuts = [len(b) if b[1:].isalpha() and (b[0] == " " or b[0].isalpha()) else 0 for b in bodies]
-        parts = {x for c, k in zip(chunks, cuts, strict=True) for x in ((c[:k], c[k:]) if 0 < k < len(c) else (c,))}
-        new = [x for x in parts if x not in known]
-        found = dict(zip(new, self.fresh(new), strict=True))
-        known.update(found if max(map(len, new), default=0) <= CACHED_CHARS else {c: ids for c, ids in found.items() if len(c) <= CACHED_CHARS})
+        """Ids of chunks that aren't known; marks behind other letters than ASCII are encoded apart from them too, as the pattern takes them."""
+        known, cuts = self.known, {}
+        if self.whole is not None:
+            for c in chunks:
+                if c[-1] in MARKS:
+                    body = c.rstrip(MARKS)
+                    if body[1:].isalpha() and (body[0] == " " or body[0].isalpha()):
+                        cuts[c] = len(body)
+        plain = [c for c in chunks if c not in cuts] if cuts else chunks
+        parts = dict.fromkeys([*plain, *(x for c, k in cuts.items() for x in (c[:k], c[k:]) if x not in known)])
+        found = dict(zip(parts, self.fresh(list(parts)), strict=True))
         of = lambda x: found[x] if x in found else known[x]
-        return [of(c[:k]) + of(c[k:]) if 0 < k < len(c) else of(c) for c, k in zip(chunks, cuts, strict=True)]
+        joined = {c: of(c[:k]) + of(c[k:]) for c, k in cuts.items()}
+        for ids in (found, joined):
+            known.update(ids if max(map(len, ids), default=0) <= CACHED_CHARS else {c: x for c, x in ids.items() if len(c) <= CACHED_CHARS})
+        found.update(joined)
+        return list(map(found.__getitem__, chunks))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch (uint32), and where each text's end."""
@@ -87,11 +103,8 @@ class ChunkIds:
         chunks, at, ends = chunk_lists(texts, self.whole)
         found = list(map(self.known.get, chunks))
         missing = [i for i, x in enumerate(found) if x is None]
-        new = [chunks[i] for i in missing]
-        for i, c, ids in zip(missing, new, self._learned(new), strict=True):
+        for i, ids in zip(missing, self._learned([chunks[i] for i in missing]), strict=True):
             found[i] = ids
-            if len(c) <= CACHED_CHARS:
-                self.known[c] = ids
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         taken = sizes[at]

@@ -50,6 +50,20 @@ def fuzz(seed, n):
     return ["".join(r.choices(white, k=1)[0] if r.random() < 0.5 else r.choice(other) for _ in range(r.randint(0, 14))) for _ in range(n)]
 
 
+def test_words_with_marks_share_chunks(reference):
+    """A word is one chunk whatever mark follows it, so its ids are made once."""
+    import pyarrow as pa
+
+    from beaconlake.llm.chunks import chunk_lists
+
+    words = ["cat, cat. cat", "cat! (cat) cat;", "", "it's café, x9, a\tb, <s>, c"]
+    chunks, at, ends = chunk_lists(pa.array(words), ("<s>",))
+    assert chunks[:4] == ["cat", ",", " cat", "."] and len(chunks) == 9 and "".join(chunks[i] for i in at) == "".join(words)
+    assert ["".join(chunks[i] for i in at[a:b]) for a, b in zip([0, *ends], ends)] == words
+    encoder = token_codes.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode([*words, *words])] == [reference.encode_ordinary(t) for t in [*words, *words]]
+
+
 def test_fuzzed_texts_equal_libraries(reference):
     import pyarrow as pa
 
