@@ -66,10 +66,11 @@ def stack_growth(samples: DataFrame, ahead_seconds: float = 3600.0, min_samples:
     no prediction. ``overflow`` compares with the largest ``total``.
     """
     keys = ["device_id", "task_name"]
-    base = samples.groupBy(*keys).agg(F.avg("x").alias("_mid"), F.stddev_pop("x").alias("_unit"))
+    base = samples.groupBy(*keys).agg(F.avg("x").alias("_mid"), F.stddev_pop("x").alias("_unit"), F.min("x").alias("_least"), F.max("x").alias("_most"))
+    between = (F.col("x") > F.col("_least")) & (F.col("x") < F.col("_most"))  # a third time, found without a group for every time
     u, y = (F.col("x") - F.col("_mid")) / F.col("_unit"), F.col("used").cast("double")
     powers = samples.join(base, keys).filter("_unit > 0").groupBy(*keys).agg(
-        F.count("*").alias("samples"), F.count_distinct("x").alias("_times"), F.max("total").alias("_total"), F.max((F.col("x") - F.col("_mid") + ahead_seconds) / F.col("_unit")).alias("_u"),
+        F.count("*").alias("samples"), F.max(between).alias("_between"), F.max("total").alias("_total"), F.max((F.col("x") - F.col("_mid") + ahead_seconds) / F.col("_unit")).alias("_u"),
         *[F.sum(F.pow(u, k)).alias(f"_s{k}") for k in (1, 2, 3, 4)], *[F.sum(y * F.pow(u, k)).alias(f"_t{k}") for k in (0, 1, 2)],
     )
     n, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("samples", "_s1", "_s2", "_s3", "_s4", "_t0", "_t1", "_t2"))
@@ -81,7 +82,7 @@ def stack_growth(samples: DataFrame, ahead_seconds: float = 3600.0, min_samples:
     whole = determinant([(n, s1, s2), (s1, s2, s3), (s2, s3, s4)])
     parts = [determinant([(t0, s1, s2), (t1, s2, s3), (t2, s3, s4)]), determinant([(n, t0, s2), (s1, t1, s3), (s2, t2, s4)]), determinant([(n, s1, t0), (s1, s2, t1), (s2, s3, t2)])]
     at = F.col("_u")
-    enough = (F.col("samples") >= min_samples) & (F.col("_times") >= 3)
+    enough = (F.col("samples") >= min_samples) & F.col("_between")
     predicted = F.when(enough, (parts[0] + parts[1] * at + parts[2] * at * at) / F.nullif(whole, F.lit(0.0)))
     return powers.select(*keys, "samples", predicted.alias("predicted"), "_total").withColumn("overflow", F.col("predicted") > F.col("_total")).drop("_total")
 

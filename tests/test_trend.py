@@ -74,3 +74,13 @@ def test_windows_equal_brute_force(spark, size):
         assert x.one_time == (sxx == 0)
         assert x.slope == pytest.approx(sxy / sxx if sxx else 0.0, rel=1e-6, abs=1e-9)
         assert x.r2 == pytest.approx(sxy**2 / (sxx * syy) if sxx and syy else 0.0, rel=1e-6, abs=1e-9)
+
+
+def test_stack_growth_makes_no_group_for_every_time(spark):
+    """Two times give no prediction, three do; no aggregate groups by the time of a sample."""
+    from beaconlake.operators import reports
+
+    rows = [("d", f"t{k}", float(i % k), i, 50) for k in (1, 2, 3) for i in range(12)]
+    found = reports.stack_growth(spark.createDataFrame(rows, "device_id string, task_name string, x double, used int, total int"))
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.task_name: r.predicted is not None for r in found.collect()} == {"t2": False, "t3": True}
