@@ -42,9 +42,10 @@ def _file_of(rows: DataFrame) -> str:
 
 def _last_wins(names: Column, values: Column) -> Column:
     """A map of names to values; null names are left out, and of a repeated name the last one counts."""
+    plain = F.size(F.array_except(names, F.array(F.lit(None).cast("string")))) == F.size(names)  # no name is null or repeated
     pairs = F.transform(names, lambda name, i: F.struct(name.alias("k"), F.get(values, i).alias("v"), i.alias("i")))
     kept = F.filter(pairs, lambda p: p["k"].isNotNull() & ~F.coalesce(F.array_contains(F.slice(names, p["i"] + 2, F.greatest(F.size(names), F.lit(1))), p["k"]), F.lit(False)))
-    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
+    return F.when(plain, F.map_from_arrays(names, values)).otherwise(F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"]))))
 
 
 def _number(text):
@@ -134,8 +135,13 @@ def profile_rejects(texts: DataFrame) -> DataFrame:
     return _profile(texts).filter(f"not ({_WHOLE})").select("file", "place", "found", F.lit("number over 64 bits").alias("reason"))
 
 
-_METRIC, _POINT = r"^Metric #\d+\s*$", r"^NumberDataPoints #\d+\s*$"
-_STAMP = r"(?m)^Timestamp: (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,6})?)"
+def _line(head: str, rest: str) -> str:
+    """A pattern for a line that begins with ``head``; texts are searched for that first, and only where it stands for the line's beginning."""
+    return f"{head}(?<=^{head}){rest}"
+
+
+_METRIC, _POINT = _line("Metric #", r"\d+\s*$"), _line("NumberDataPoints #", r"\d+\s*$")
+_STAMP, _VALUE = _line("Timestamp: ", r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,6})?)"), _line("Value: ", r"(\S+)")
 _ATTRIBUTE = r"-> ([\w.]+): \w+\((.*)\)"
 
 
@@ -144,15 +150,15 @@ def _dump_points(texts: DataFrame) -> DataFrame:
 
     def behind(column: str, head: str):
         """The parts behind each head line."""
-        return F.explode(F.filter(F.split(column, head), lambda part, i: i > 0))
+        return F.explode(F.slice(F.split(column, head), 2, 1 << 30))
 
     blocks = texts.select(behind("text", f"(?m){_METRIC}").alias("block"))
     head = blocks.select(
         F.regexp_extract("block", r"-> Name: (\S+)", 1).alias("name"), F.regexp_extract("block", r"-> Unit: (\S+)", 1).alias("unit"), behind("block", f"(?m){_POINT}").alias("point")
     )
     names, values = (F.regexp_extract_all("point", F.lit(_ATTRIBUTE), F.lit(i)) for i in (1, 2))
-    value = F.regexp_extract("point", r"(?m)^Value: (\S+)", 1).try_cast("double")
-    return head.select("name", "unit", "point", _last_wins(names, values).alias("attrs"), F.try_to_timestamp(F.regexp_extract("point", _STAMP, 1)).alias("ts"), value.alias("value"))
+    value = F.regexp_extract("point", f"(?m){_VALUE}", 1).try_cast("double")
+    return head.select("name", "unit", "point", _last_wins(names, values).alias("attrs"), F.try_to_timestamp(F.regexp_extract("point", f"(?m){_STAMP}", 1)).alias("ts"), value.alias("value"))
 
 
 def read_otlp_dump(texts: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def _points_of_lines(lines: DataFrame) -> DataFrame:
     order = Scan([name], ["line_no"], ranges("line_no", SPAN), last=first, sums={"metric": metric.cast("long")}, reset=metric)
     inside = order.over(lines.select(name, "line_no", "line")).filter("metric > 0 and point is not null")
     entry = F.when(line.rlike(_ATTRIBUTE), F.struct("line_no", F.regexp_extract("line", _ATTRIBUTE, 1).alias("k"), F.regexp_extract("line", _ATTRIBUTE, 2).alias("v")))
-    stamp, value = F.when(line.rlike(_STAMP), F.regexp_extract("line", _STAMP, 1)), F.when(line.rlike(r"^Value: \S"), F.regexp_extract("line", r"^Value: (\S+)", 1))
+    stamp, value = F.when(line.rlike(f"(?m){_STAMP}"), F.regexp_extract("line", f"(?m){_STAMP}", 1)), F.when(line.rlike(r"^Value: \S"), F.regexp_extract("line", r"^Value: (\S+)", 1))
     points = inside.groupBy(name, "point").agg(
         F.min_by("name", "line_no").alias("name"), F.min_by("unit", "line_no").alias("unit"), F.array_sort(F.collect_list(entry)).alias("entries"),
         F.min_by(stamp, F.when(stamp.isNotNull(), F.col("line_no"))).alias("stamp"), F.min_by(value, F.when(value.isNotNull(), F.col("line_no"))).alias("number"),

@@ -126,3 +126,13 @@ def test_dumps_are_read_to_the_end(spark):
     dump = "".join(f"Metric #{m}\nDescriptor:\n     -> Name: m{m}\n     -> Unit: By\n" + "".join(point.format(i, i) for i in range(50)) for m in range(40))
     rows = text.read_otlp_dump(spark.createDataFrame([(dump,)], "text string")).collect()
     assert sorted((r.name, r.value) for r in rows) == sorted((f"m{m}", float(i)) for m in range(40) for i in range(50))
+
+
+def test_dump_heads_are_found_as_by_plain_patterns():
+    """Searched by a line's first words: the same places as by a search at every line, whatever breaks lines."""
+    import re
+
+    odd = "Metric #1\nxMetric #2\nMetric #3 \n\nMetric #\nMetric #4\rMetric #5x\nNumberDataPoints #0\n NumberDataPoints #1\nValue: 1\nxValue: 2\nValue:  3\nTimestamp: 2024-01-01 00:00:00.5 +0000"
+    for made, plain in ((text._METRIC, r"^Metric #\d+\s*$"), (text._POINT, r"^NumberDataPoints #\d+\s*$"), (text._VALUE, r"^Value: (\S+)"), (text._STAMP, r"^Timestamp: (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,6})?)")):
+        found = [m.span() for m in re.finditer(f"(?m){plain}", odd)]
+        assert found and [m.span() for m in re.finditer(f"(?m){made}", odd)] == found
