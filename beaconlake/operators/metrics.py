@@ -134,14 +134,17 @@ def otel_rename(metrics: DataFrame) -> DataFrame:
 
 
 def _last_values(metrics: DataFrame, seconds: int) -> DataFrame:
-    """The last value of each series in each interval ``w``, with what its family is called; of values at one instant the largest."""
-    every = metrics.filter("ts is not null").withColumn("series", F.to_json(F.array_sort(F.map_entries("attrs"))))
-    last = every.groupBy("metric", "series", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max(F.struct("ts", "value")).alias("s"), F.first("attrs").alias("attrs"))
-    return last.select("metric", "series", "w", "s.value", "s.ts", "attrs").join(F.broadcast(metric_dimension(metrics.sparkSession)), "metric")
+    """The last value of each series in each interval ``w``, with what its family is called; of values at one instant the largest.
+
+    A series is its sorted labels: groups are made by them and ``attrs`` is made from them again, so that no row that is sorted holds them twice.
+    """
+    every = metrics.filter("ts is not null").select("metric", F.sort_array(F.map_entries("attrs")).alias("series"), F.window("ts", f"{seconds} seconds").alias("w"), F.struct("ts", "value").alias("s"))
+    last = every.groupBy("metric", "series", "w").agg(F.max("s").alias("s"))
+    return last.select("metric", "series", "w", "s.value", "s.ts", F.map_from_entries("series").alias("attrs")).join(F.broadcast(metric_dimension(metrics.sparkSession)), "metric")
 
 
 def _payload() -> Column:
-    points = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+    points = F.transform("series", lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
     return F.to_json(F.struct(F.col("otel_name").alias("name"), "unit", F.struct(F.array(F.struct(points.alias("attributes"), F.col("value").alias("asDouble"))).alias("dataPoints")).alias("data")))
 
 

@@ -136,3 +136,16 @@ def test_dump_heads_are_found_as_by_plain_patterns():
     for made, plain in ((text._METRIC, r"^Metric #\d+\s*$"), (text._POINT, r"^NumberDataPoints #\d+\s*$"), (text._VALUE, r"^Value: (\S+)"), (text._STAMP, r"^Timestamp: (\d{4}-\d\d-\d\d \d\d:\d\d:\d\d(?:\.\d{1,6})?)")):
         found = [m.span() for m in re.finditer(f"(?m){plain}", odd)]
         assert found and [m.span() for m in re.finditer(f"(?m){made}", odd)] == found
+
+
+def test_pushed_series_are_sorted_without_a_second_copy(spark):
+    """Groups are made by labels alone; the largest of values at one instant, nulls and labels in any order."""
+    from beaconlake.operators import metrics
+
+    rows = [("rtos_heap_free_bytes", {"b": "2", "a": 'x"1'}, 1.0, 5), ("rtos_heap_free_bytes", {"a": 'x"1', "b": "2"}, 3.0, 5), ("rtos_heap_free_bytes", {"a": 'x"1', "b": "2"}, 9.0, 4), ("rtos_heap_free_bytes", {"a": None}, None, 4), ("rtos_heap_free_bytes", None, 7.0, 4)]
+    table = spark.createDataFrame(rows, "metric string, attrs map<string,string>, value double, s long").selectExpr("metric", "attrs", "value", "timestamp_seconds(s) as ts")
+    found = metrics.otlp_export(table, 30)
+    assert "first(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((repr(r.attrs), r.value) for r in found.collect() if r.value is not None) == [("None", 7.0), (repr({"a": 'x"1', "b": "2"}), 3.0)] and found.filter("value is null").first().attrs == {"a": None}
+    read = {repr(r.attrs): r.value for r in text.read_otlp_json(found.filter("attrs is not null")).collect()}
+    assert read == {repr({"a": 'x"1', "b": "2"}): 3.0, repr({"a": None}): None}
