@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from beaconlake.functions.scan import WIDTH, Scan, by_packet, ranges
 from beaconlake.operators.quality import seq_gaps
@@ -118,11 +119,36 @@ def _by(keys: tuple[str, ...], width: int, **what) -> Scan:
 
 
 def state_transitions(packets: DataFrame, *keys: str, width: int = WIDTH) -> DataFrame:
-    """Runs of one state: ``run, state, first_pkt, last_pkt, packets`` of each device (and of further keys)."""
-    before = _by(keys, width, before={"_state_before": F.col("state"), "_pkt_before": F.col("pkt_no")}).over(packets)
-    starts = (~F.col("state").eqNullSafe(F.col("_state_before")) | F.col("_pkt_before").isNull()).cast("long")
-    runs = _by(keys, width, sums={"run": F.col("_starts")}).over(before.withColumn("_starts", starts))
-    return runs.groupBy("device_id", *keys, "run").agg(F.first("state").alias("state"), F.min("pkt_no").alias("first_pkt"), F.max("pkt_no").alias("last_pkt"), F.count("*").alias("packets"))
+    """Runs of one state: ``run, state, first_pkt, last_pkt, packets`` of each device (and of further keys).
+
+    Runs are found in each range of packet numbers by one sort of narrow rows; only those that touch a range's end, at most two a range, are put together over ranges.
+    """
+    names = ["device_id", *keys]
+    # the key and the range are structs, so that nulls meet in the join
+    rows = packets.select(F.struct(*names).alias("_key"), F.struct(ranges("pkt_no", width)).alias("_range"), "pkt_no", "state")
+    inside = Window.partitionBy("_key", "_range").orderBy("pkt_no")
+    place, after = F.row_number().over(inside).cast("long"), F.lead(F.struct("state")).over(inside)
+    seen = rows.withColumns({"_n": place, "_opens": place == 1, "_closes": after.isNull(), "_new": (place == 1) | ~F.col("state").eqNullSafe(F.lag("state").over(inside)), "_end": after.isNull() | ~F.col("state").eqNullSafe(after["state"])})
+    ends = seen.filter("_new or _end")
+    last = lambda c: F.when(F.col("_end"), F.col(c)).otherwise(F.lead(c).over(inside))
+    runs = ends.select(
+        "_key", "_range", "state", F.col("pkt_no").alias("first_pkt"), last("pkt_no").alias("last_pkt"), (last("_n") - F.col("_n") + 1).alias("packets"), "_opens", last("_closes").alias("_closes"),
+        F.sum(F.col("_new").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_place"), "_new",
+    ).filter("_new").drop("_new")
+
+    order = Window.partitionBy("_key").orderBy("_range", F.desc("_opens"))
+    goes_on = F.col("_opens") & F.coalesce(F.lag(F.struct("state")).over(order) == F.struct("state"), F.lit(False))
+    border = runs.filter("_opens or _closes").withColumn("_goes_on", goes_on)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("_opens"), F.when(F.col("_goes_on"), 0).otherwise(1)).otherwise(F.col("_place") - 1)
+    counted = border.withColumns({"_whole": F.sum((~F.col("_goes_on")).cast("long")).over(so_far), "_run": F.sum(new).over(so_far)})
+    whole = Window.partitionBy("_key", "_whole")
+    joined = counted.withColumns({"_first": F.min("first_pkt").over(whole), "_last": F.max("last_pkt").over(whole), "_packets": F.sum("packets").over(whole)})
+    closing, opening = (lambda c: F.max(F.when(F.col("_closes"), F.col(c)))), (lambda c: F.max(F.when(F.col("_opens"), F.col(c))))
+    carry = joined.groupBy("_key", "_range").agg(closing("_first").alias("_first"), closing("_last").alias("_last"), closing("_packets").alias("_packets"), (opening("_run") - 1).alias("_before"), opening("_goes_on").alias("_goes_on"))
+    known = runs.join(carry, ["_key", "_range"]).filter("not (_opens and _goes_on)")
+    own = {"first_pkt": "_first", "last_pkt": "_last", "packets": "_packets"}
+    return known.select(*[F.col("_key")[c].alias(c) for c in names], (F.col("_before") + F.col("_place")).alias("run"), "state", *[F.when(F.col("_closes"), F.col(w)).otherwise(F.col(c)).alias(c) for c, w in own.items()])
 
 
 def _with_before(rows: DataFrame, fields: list[str], keys: tuple[str, ...], width: int) -> DataFrame:

@@ -137,3 +137,21 @@ def test_runs_over_range_borders(spark):
     for width in (2, 1 << 16):
         got = state.state_transitions(table, width=width).orderBy("run").collect()
         assert [(x.run, x.state, x.first_pkt, x.last_pkt, x.packets) for x in got] == [(1, 1, 0, 1, 2), (2, 2, 2, 4, 3), (3, None, 5, 6, 2), (4, 1, 7, 10, 4)]
+
+
+def test_runs_read_their_rows_twice(spark):
+    """Once for the runs and once for those that go over a range's end: null keys, states and places among them, in narrow and wide ranges."""
+    rows = [(d, t, n, n // 5 % 3 if n % 7 else None) for d in ("a", None) for t in (0, None) for n in range(0, 60, 1 if d else 3)]
+    table = spark.createDataFrame(rows, "device_id string, task_idx int, pkt_no long, state int")
+    want = []
+    for d, t in {(d, t) for d, t, _, _ in rows}:
+        run, before = 0, ()
+        for n, s in sorted((n, s) for e, u, n, s in rows if (e, u) == (d, t)):
+            if before != (s,):
+                run, before = run + 1, (s,)
+                want.append([d, t, run, s, n, n, 0])
+            want[-1][5:] = [n, want[-1][6] + 1]
+    for width in (1, 4, 64):
+        found = state.state_transitions(table, "task_idx", width=width)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+        assert sorted(map(repr, map(list, found.select("device_id", "task_idx", "run", "state", "first_pkt", "last_pkt", "packets").collect()))) == sorted(map(repr, want))
